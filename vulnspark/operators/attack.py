@@ -73,7 +73,7 @@ def kev_bridge(triaged: DataFrame, kevmap: DataFrame, advisories: DataFrame) ->
     return rows.withColumns({
         "map_source": F.when(F.col("map_role") == "implied", "CISA KEV ransomware flag").otherwise("CTID KEV mapping"),
         "map_strength": F.when(F.col("map_role") == "exploitation", "recorded").when(
-            F.col("map_role") == "implied", "implied").otherwise("consequence")})
+            F.col("map_role") == "implied", "implied").otherwise("recorded-impact")})
 
 
 def cve_vectors(advisories: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def attack_placement(findings: DataFrame, reach: DataFrame, coverage: DataFrame,
         F.lit("").alias("platforms"), F.element_at(steps, F.col("technique")).alias("tactic"))
     rows = lookup(chain.unionByName(implied), tactics, ["tactic"], ["tactic_name", "tactic_order"])
     rows = rows.withColumn("map_source", F.explode(F.array("map_source", F.lit("any"))))
-    # The grouping fields of the reference come from a table, so a tactic it does not list drops out.
+    # A tactic the tactic table does not list has no place in the matrix.
     rows = rows.filter(F.col("tactic_name").isNotNull())
     per = rows.groupBy("technique", "technique_name", "tactic_name", "tactic_order", "map_source", "reach_class", "confidence")
     return per.agg(F.count_distinct("cve_id").alias("cves"), F.sum("n_hosts").alias("hosts"),
