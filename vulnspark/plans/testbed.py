@@ -288,4 +288,4 @@ def oracle_text(sql: str) -> str:
     elif head:
         body = f"WITH {head} {body}"
     body = re.sub(r"\bb_([a-z]+)\b", r"\1", body)
-    return _epoch(body, "CAST(epoch({}) AS BIGINT)")
+    return _epoch(body, "CAST(floor(epoch({})) AS BIGINT)")
