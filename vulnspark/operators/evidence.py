@@ -291,7 +291,7 @@ def triage(findings: DataFrame, reach_table: DataFrame, coverage: DataFrame) ->
 def exposure_chain(triaged: DataFrame) -> DataFrame:
     """Hops edge, listener, container, package, CVE of every reachable finding."""
     rows = triaged.filter((F.col("reach_rank") >= 1) & present("chain_text"))
-    rows = rows.withColumn("_hop", F.split(F.explode(F.split("chain_text", ";")), r"\|"))
+    rows = rows.withColumn("_hop", F.explode(F.split("chain_text", ";"))).withColumn("_hop", F.split("_hop", r"\|"))
     edge, proc, cont = (F.get("_hop", F.lit(i)) for i in range(3))
     proc_kind = F.when(proc == "", "listener-unknown").otherwise("listener")
     proc = F.when(proc == "", "unidentified listener").otherwise(proc)

@@ -134,12 +134,12 @@ def lookup(df: DataFrame, table: DataFrame, on: dict[str, str] | list[str], outp
     """
     on = on if isinstance(on, dict) else {k: k for k in on}
     outputs = outputs if isinstance(outputs, dict) else {c: c for c in outputs}
-    right = table.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(on.values())],
-                         *[F.col(c).alias(f"_o_{new}") for c, new in outputs.items()])
-    cond = reduce(lambda a, b: a & b, [df[k] == right[f"_k{i}"] for i, k in enumerate(on)])
+    right = table.select(*[F.col(k).alias(f"__lk{i}") for i, k in enumerate(on.values())],
+                         *[F.col(c).alias(f"__lo_{new}") for c, new in outputs.items()])
+    cond = reduce(lambda a, b: a & b, [df[k] == right[f"__lk{i}"] for i, k in enumerate(on)])
     joined = df.join(right, cond, how)
     kept = [F.col(c) for c in df.columns if c not in outputs.values()]
-    return joined.select(*kept, *[F.col(f"_o_{n}").alias(n) for n in outputs.values()])
+    return joined.select(*kept, *[F.col(f"__lo_{n}").alias(n) for n in outputs.values()])
 
 
 def lookup_values(df: DataFrame, table: DataFrame, on: dict[str, str], outputs: dict[str, str]) -> DataFrame:
