@@ -29,7 +29,7 @@ RANSOM_COMMENT = (
 
 def trimmed_list(c: Column | str) -> Column:
     """A comma list as a distinct, trimmed array without empties."""
-    return F.array_distinct(F.filter(F.transform(F.split(blank(c), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(blank(c), ","), lambda t: F.trim(t)), lambda x: x != ""))
 
 
 def cve_cwes(advisories: DataFrame) -> DataFrame:

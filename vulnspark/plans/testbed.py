@@ -128,7 +128,7 @@ TABLES: dict[str, str] = {
           CASE WHEN okey % 13 = 0 THEN concat('exc-', okey % 50) ELSE '' END AS exception_key,
           CASE WHEN line = 'F' AND n <= 2 THEN last_seen + 500 END AS closed_at,
           CASE WHEN okey % 97 = 0 THEN last_seen END AS archived,
-          round((1005000000 - first_seen) / 86400.0, 1) AS age_days
+          round((1005000000 - first_seen) / CAST(86400 AS DOUBLE), 1) AS age_days
         FROM t_finding_parts""",
     "t_exposure": """
         SELECT concat('host-', l_suppkey) AS hostname, CAST(1 + l_partkey % 30 AS BIGINT) * 100 + l_linenumber AS port,

@@ -71,7 +71,7 @@ def split_ecosystem(c: Column) -> Column:
     types = F.create_map(*[F.lit(x) for kv in OSV_TYPE.items() for x in kv])
     base = F.lower(F.trim(F.split_part(F.trim(blank(c)), F.lit(":"), F.lit(1))))
     rest = F.when(c.contains(":"), F.regexp_replace(F.trim(c), r"^[^:]*:", "")).otherwise("")
-    tokens = F.filter(F.transform(F.split(rest, ":"), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(rest, ":"), lambda t: F.trim(t)), lambda t: t != "")
 
     def fields(ts: Column, name: Column) -> Column:
         is_release = lambda t: t.rlike(r"^v?\d+(?:\.\d+)*$")

@@ -35,7 +35,7 @@ def csv_column(df: DataFrame, *names: str) -> Column:
 
 def cwe_capec(df: DataFrame) -> DataFrame:
     """Weakness to attack pattern, from the ``::21::59::`` list."""
-    parts = F.filter(F.transform(F.split(blank(csv_column(df, "Related Attack Patterns")), "::"), F.trim), lambda p: p.rlike(r"^\d+$"))
+    parts = F.filter(F.transform(F.split(blank(csv_column(df, "Related Attack Patterns")), "::"), lambda t: F.trim(t)), lambda p: p.rlike(r"^\d+$"))
     return df.select(F.concat(F.lit("CWE-"), F.trim(csv_column(df, "CWE-ID"))).alias("cwe"), F.explode(parts).alias("capec"))
 
 
@@ -90,7 +90,7 @@ def attack_techniques(objects: DataFrame, tactics: DataFrame) -> DataFrame:
         F.min(F.struct(F.coalesce("tactic_order", F.lit(999)).alias("o"), F.col("p"))).alias("_o"))
     ordered = phases.groupBy("technique").agg(F.array_sort(F.collect_list(F.struct("_o", "tactic"))).alias("_t")).select(
         "technique", F.transform("_t", lambda t: t["tactic"]).alias("tactics"))
-    platforms = F.array_distinct(F.filter(F.transform(F.coalesce("x_mitre_platforms", F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+    platforms = F.array_distinct(F.filter(F.transform(F.coalesce("x_mitre_platforms", F.array().cast("array<string>")), lambda t: F.trim(t)), lambda x: x != ""))
     out = rows.select("pos", "technique", F.trim(blank("name")).alias("name"), platforms.alias("platforms"))
     out = first_per_key(out, ["technique"], F.col("pos").desc()).drop("pos")
     return lookup(out, ordered, ["technique"], ["tactics"])
