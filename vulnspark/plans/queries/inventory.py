@@ -143,7 +143,7 @@ def host_state(bed: Bed):
 
 
 @query("ecosystem_counts", f"""WITH {_LATEST}, c AS (SELECT hostname, type, count(DISTINCT name) AS components, count(*) AS instances, count_if(purl <> '') AS with_identifier
-  FROM latest GROUP BY ALL)
+  FROM latest WHERE hostname NOT IN (SELECT hostname FROM t_host WHERE 1005000000 - host_last_scan > 180 * 86400) GROUP BY ALL)
 SELECT hostname, type, components, instances, with_identifier, CAST(0 AS BIGINT) AS cpe_ident FROM c
 UNION ALL SELECT '__fleet__', type, CAST(sum(components) AS BIGINT), CAST(sum(instances) AS BIGINT), CAST(sum(with_identifier) AS BIGINT), CAST(0 AS BIGINT) FROM c GROUP BY type""")
 def ecosystem_counts(bed: Bed):
