@@ -144,3 +144,11 @@ def kev_table(bed: Bed):
 @query("package_treemap", f"WITH {_OPEN} SELECT package, count(DISTINCT cve_id) AS cves, max(epss) AS top_epss FROM op GROUP BY package ORDER BY cves DESC, package LIMIT 60")
 def package_treemap(bed: Bed):
     return reports.package_treemap(rollups.rollup_dim(bed.finding))
+
+
+@query("daily_counts", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM b_events GROUP BY ALL")
+def daily_counts(bed: Bed):
+    from vulnspark.streaming.incremental import daily_counts as per_day
+
+    bed.spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return per_day(bed.b_events.withColumn("ts", F.col("ts").cast("timestamp")))

@@ -40,3 +40,39 @@ NOT_AFFECTED = (
 EDGE = ("src_ip string, dest_ip string, port bigint, protocol string, sessions bigint, edge_first_seen bigint, "
         "edge_last_seen bigint")
 ENTRY = "cidr string, name string, pressure string"
+
+#: State tables of the hourly run, used when a table does not exist yet.
+STATE = {
+    "hoststate": "hostname string, host_last_scan bigint, os string, release string, arch string, machine_id string, heartbeat_digest bigint",
+    "matchstate": (
+        "hostname string, digest bigint, feed_gen string, matcher_version string, matched_at bigint, n_components bigint, "
+        "folded_run bigint, folded_at bigint, folded_findings bigint, digest_changed_at bigint"),
+    "foldstate": "hostname string, rows_at_run bigint, state_run bigint, folded_pass_at bigint",
+    "invstate": (
+        "hostname string, package string, path string, current_version string, found_by string, source string, "
+        "inv_time bigint, cat_ran int"),
+    "scanstate": "hostname string, scanned_at bigint, sources_text string, n_sources int, sources_shrank int, has_profile int",
+    "hostcadence": (
+        "hostname string, last_contact_at bigint, first_seen_at bigint, gaps array<bigint>, n_gaps int, median_gap bigint, "
+        "p95_gap bigint, learned int, late int, contact_age bigint"),
+    "exposure": (
+        "hostname string, port bigint, protocol string, address string, bind_scope string, executable string, unit string, "
+        "package string, package_key string, purl string, container_id string, container_name string, confidence string, "
+        "held_by_os int, scanned_at bigint"),
+    "containers": (
+        "hostname string, container_id string, container_short string, container_name string, runtime string, state string, "
+        "image_ref string, image_digest string, os_id string, os_version_id string, endpoints_text string, declared_text string, "
+        "n_endpoints int, n_public_endpoints int, scanned_at bigint"),
+    "findings_state": (
+        "finding_key string, first_seen bigint, last_seen bigint, first_found bigint, last_match_run bigint, first_version string, "
+        "last_version string, current_version string, cve_id string, hostname string, package string, ecosystem string, path string, "
+        "scope string, scope_id string, fixed_version string, confidence string, match_authority string, severity string, epss double, "
+        "kev_added string, kev_due string, url string, title string, times_seen bigint, age_days double, status string, "
+        "closure_reason string, mitigation string, closed_at bigint, accepted string, exception_key string, "
+        "exception_expires_at string, archived bigint"),
+    "exceptions": (
+        "exception_key string, scope_kind string, cve_id string, hostname string, finding_key string, created_at bigint, "
+        "expires_at string, revoked_at string, match_key string, active_match_key string, control string"),
+    "snapshot_meta": "name string, built_at bigint",
+    "stream_progress": "stream string, batch_id bigint",
+}
