@@ -39,11 +39,15 @@ def cve_cwes(advisories: DataFrame) -> DataFrame:
 
 
 def finding_cwes(findings: DataFrame, advisories: DataFrame, per_cve: bool = True) -> DataFrame:
-    """Findings (or CVEs with their hosts and packages) expanded to weaknesses."""
+    """Findings, or CVEs with their counts, expanded to weaknesses.
+
+    The per-CVE form carries counts and not host lists: a CVE may be on every
+    host, and the list would be copied to each of its weaknesses.
+    """
     rows = findings
     if per_cve:
         rows = findings.groupBy("cve_id").agg(
-            values("hostname").alias("hostname"), values("package").alias("package"), values("scope_id").alias("scope_id"),
+            F.count_distinct("hostname").alias("hosts"), F.count_distinct("package").alias("packages"),
             F.max("epss").alias("epss"), F.count(F.lit(1)).alias("findings"))
     return rows.join(cve_cwes(advisories), "cve_id")
 

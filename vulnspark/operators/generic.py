@@ -159,12 +159,6 @@ def lookup_fallback(df: DataFrame, table: DataFrame, keys: list[str], key: str,
     }).drop(*[f"_f{i}_{c}" for i in range(len(keys)) for c in outputs])
 
 
-def broadcast_if_small(df: DataFrame, limit_bytes: int) -> DataFrame:
-    """Hint a broadcast only when the optimizer's size estimate is inside the limit."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= limit_bytes else df
-
-
 # --- state ------------------------------------------------------------------
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

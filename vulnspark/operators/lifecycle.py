@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vulnspark.functions.text import age_days, blank, duration_text, present, stamp_text, unescape_path
 from vulnspark.operators.generic import (
-    earliest, latest, lookup, newest_rows, upsert, values,
+    earliest, latest, lookup, newest_rows, upsert,
 )
 from vulnspark.operators.identity import primary_path, with_role
 from vulnspark.operators.inventory import with_dirty_flag
@@ -248,11 +248,16 @@ def stalled(receipts: DataFrame, matchstate: DataFrame, feedstate: DataFrame, p:
     return never.select("hostname", "match_run", "findings_produced", "folded_run", "problem").unionByName(wrong)
 
 
-def kev_alert(state: DataFrame) -> DataFrame:
-    """Known-exploited CVEs among open, unaccepted, high-confidence findings."""
+def kev_alert_rows(state: DataFrame) -> DataFrame:
+    """Where each known-exploited CVE is open with high confidence: distinct host and package pairs."""
     rows = state.filter("status = 'open' and accepted <> '1' and confidence = 'high'").filter(present("kev_added"))
-    return rows.groupBy("cve_id", "kev_added", "kev_due").agg(
-        F.count_distinct("hostname").alias("hosts"), values("hostname").alias("host_list"), values("package").alias("packages"))
+    return rows.select("cve_id", "kev_added", "kev_due", "hostname", "package").distinct()
+
+
+def kev_alert(state: DataFrame) -> DataFrame:
+    """One row per known-exploited CVE; the hosts stay in :func:`kev_alert_rows`, as a CVE may be on all of them."""
+    return kev_alert_rows(state).groupBy("cve_id", "kev_added", "kev_due").agg(
+        F.count_distinct("hostname").alias("hosts"), F.count_distinct("package").alias("packages"))
 
 
 # --- views ------------------------------------------------------------------

@@ -43,7 +43,6 @@ class Params:
     beyond_break: int = 1
     dirty_host_limit: int = 5000
     catch_up_host_limit: int = 2000
-    max_broadcast_bytes: int = 64 * 1024 * 1024
 
 
 #: Retention of each event table in days (fixed values).

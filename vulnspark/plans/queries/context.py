@@ -116,8 +116,7 @@ _TAC = "tac AS (SELECT DISTINCT * FROM (SELECT cwe, technique, technique_name, m
 
 @query("cwe_expand", f"WITH {_CWE}, {_OPEN} SELECT o.cve_id, cwe, count(*) AS findings, count(DISTINCT hostname) AS hosts, max(epss) AS epss FROM op o JOIN cw ON cw.cve_id = o.cve_id GROUP BY ALL")
 def cwe_expand(bed: Bed):
-    out = attack.finding_cwes(bed.finding.filter(_OPENF), advisories(bed))
-    return out.select("cve_id", "cwe", "findings", F.size("hostname").cast("bigint").alias("hosts"), "epss")
+    return attack.finding_cwes(bed.finding.filter(_OPENF), advisories(bed)).drop("packages")
 
 
 @query("technique_surface_detail", f"WITH {_CWE}, {_OPEN} SELECT o.hostname, a.technique, a.technique_name, count(*) AS n, count(DISTINCT o.finding_key) AS findings FROM op o JOIN cw ON cw.cve_id = o.cve_id JOIN t_attack a ON a.cwe = cw.cwe GROUP BY ALL")

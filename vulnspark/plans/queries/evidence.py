@@ -349,11 +349,16 @@ def coverage_summary(bed: Bed):
     return network.coverage_summary(bed.netevidence).drop("meaning")
 
 
-@query("identity_summary", "SELECT identity_state, count(*) AS rows, string_agg(DISTINCT hostname, ' ' ORDER BY hostname) AS hosts FROM t_netevidence WHERE identity_state <> 'resolved' GROUP BY identity_state")
+@query("identity_summary", "SELECT identity_state, count(*) AS rows, count(DISTINCT hostname) AS hosts FROM t_netevidence WHERE identity_state <> 'resolved' GROUP BY identity_state")
 def identity_summary(bed: Bed):
     return network.identity_summary(bed.netevidence).drop("meaning")
 
 
+@query("identity_hosts", "SELECT DISTINCT identity_state, hostname FROM t_netevidence WHERE identity_state <> 'resolved'")
+def identity_hosts(bed: Bed):
+    return network.identity_hosts(bed.netevidence)
+
+
 @query("cvss_words", """SELECT advisory_id, CASE WHEN cvss_vector = '' THEN 'none published' ELSE cvss_vector END AS vector, CASE WHEN cvss_vector LIKE '%AV:N%' THEN 'over a network' WHEN cvss_vector LIKE '%AV:A%' THEN 'from an adjacent network'
   WHEN cvss_vector LIKE '%AV:L%' THEN 'with local access to the machine' ELSE 'not stated' END AS reach, CASE WHEN cvss_vector LIKE '%UI:N%' THEN 'none, nobody has to be tricked' WHEN cvss_vector LIKE '%UI:R%' THEN 'somebody must open or click something' ELSE 'not stated' END AS user_interaction FROM t_advisory""")
 def cvss_words(bed: Bed):

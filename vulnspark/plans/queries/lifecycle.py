@@ -161,11 +161,17 @@ def stalled_hosts(bed: Bed):
     return out.select("hostname", "match_run", "findings_produced", "folded_run", F.when(F.col("problem") == lifecycle.PROBLEM_UNFOLDED, "unfolded").otherwise("credited").alias("kind"))
 
 
-@query("kev_alert", """SELECT cve_id, kev_added, kev_due, count(DISTINCT hostname) AS hosts, string_agg(DISTINCT hostname, ',' ORDER BY hostname) AS host_list, string_agg(DISTINCT package, ',' ORDER BY package) AS packages
-FROM t_finding WHERE status = 'open' AND accepted <> '1' AND confidence = 'high' AND kev_added <> '' GROUP BY ALL""")
+_KEV = "t_finding WHERE status = 'open' AND accepted <> '1' AND confidence = 'high' AND kev_added <> ''"
+
+
+@query("kev_alert", f"SELECT cve_id, kev_added, kev_due, count(DISTINCT hostname) AS hosts, count(DISTINCT package) AS packages FROM {_KEV} GROUP BY ALL")
 def kev_alert(bed: Bed):
-    out = lifecycle.kev_alert(bed.finding)
-    return out.withColumns({c: F.array_join(c, ",") for c in ("host_list", "packages")})
+    return lifecycle.kev_alert(bed.finding)
+
+
+@query("kev_alert_rows", f"SELECT DISTINCT cve_id, kev_added, kev_due, hostname, package FROM {_KEV}")
+def kev_alert_rows(bed: Bed):
+    return lifecycle.kev_alert_rows(bed.finding)
 
 
 @query("findings_by_filter", "SELECT finding_key FROM t_finding WHERE status = 'open' AND accepted <> '1' AND hostname LIKE 'host-1%' AND confidence = 'high'")
