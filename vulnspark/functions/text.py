@@ -122,7 +122,14 @@ def commas(c: Column) -> Column:
 
 
 def stamp_text(epoch: Column, fmt: str = "yyyy-MM-dd HH:mm") -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), fmt)
+    """Epoch seconds as UTC text, whatever the session's time zone."""
+    zero = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    return F.date_format(F.timestamp_add("SECOND", epoch.cast("bigint"), zero), fmt)
+
+
+def day_epoch(c: Column | str) -> Column:
+    """Epoch seconds at the UTC start of an ISO date text, null when it is not one."""
+    return F.unix_date(F.try_to_date(empty_to_null(c), "yyyy-MM-dd")).cast("bigint") * 86400
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnspark.functions.text import base_name, blank, empty_to_null, extract, null_like_columns, package_from_purl, present
+from vulnspark.functions.text import base_name, blank, day_epoch, empty_to_null, extract, null_like_columns, package_from_purl, present
 from vulnspark.operators.generic import (
     carry_forward, distinct_when, lookup, lookup_fallback, newest_rows, values, values_text,
 )
@@ -203,12 +203,9 @@ def support_lifecycle(latest_rows: DataFrame, lifecycle: DataFrame, exposure: Da
     rows = rows.withColumn("_os", F.concat(F.lower(blank("os_id")), F.lit("|"), blank("os_version_id")))
     rows = lookup(rows, table, {"_os": "_key"}, {"eol_from": "_os_eol"})
 
-    def day(c: str) -> Column:
-        return F.unix_timestamp(F.try_to_timestamp(empty_to_null(c), F.lit("yyyy-MM-dd")))
-
-    past = F.coalesce(day("eol_from") < now, F.lit(False))
+    past = F.coalesce(day_epoch("eol_from") < now, F.lit(False))
     distro = F.col("ecosystem").isin("deb", "rpm", "apk")
-    os_end = day("_os_eol")
+    os_end = day_epoch("_os_eol")
     support = (F.when(~past, "supported")
                .when(F.lower(blank("version")).rlike("esm|fips"), "vendor extended support")
                .when(distro & (os_end > now), "supported by the distribution")
@@ -242,7 +239,7 @@ def product_line() -> Column:
 
 def eol_horizon(eol: DataFrame, months: float, now: int) -> DataFrame:
     """Product lines whose support ends inside the horizon, soonest first."""
-    at = F.unix_timestamp(F.try_to_timestamp(empty_to_null("eol_from"), F.lit("yyyy-MM-dd")))
+    at = day_epoch("eol_from")
     rows = eol.withColumns({"eol_at": at, "days": F.round((at - now) / F.lit(86400.0)).cast("bigint"), "product_line": product_line()})
     rows = rows.filter(F.col("days") <= 30.44 * months)
     return rows.groupBy("product_line").agg(

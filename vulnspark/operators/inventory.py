@@ -33,7 +33,9 @@ def latest_inventory(components: DataFrame, role: bool = True) -> DataFrame:
     fields = [c for c in INVENTORY_FIELDS if c in rows.columns]
     grouped = rows.groupBy(*key).agg(*[latest(c, "scanned_at").alias(c) for c in fields],
                                      F.max("scanned_at").alias("scanned_at"))
-    return newest_rows(grouped, ["hostname"], "scanned_at")
+    # The host's newest scan comes from two columns of the input, not from a second pass over the groups.
+    newest = components.groupBy("hostname").agg(F.max("scanned_at").alias("_newest"))
+    return grouped.join(newest, "hostname").filter(F.col("scanned_at") >= F.col("_newest")).drop("_newest")
 
 
 def inventory_digest(latest_rows: DataFrame) -> DataFrame:

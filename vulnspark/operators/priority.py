@@ -95,7 +95,7 @@ def cve_scores(advisories: DataFrame) -> DataFrame:
         F.max("cvss_score").alias("cvss_score"), F.coalesce(F.min(long_title), F.min("title")).alias("adv_title"))
 
 
-def _scored_inputs(findings: DataFrame, reach: DataFrame, advisories: DataFrame, p: Params) -> DataFrame:
+def scored_inputs(findings: DataFrame, reach: DataFrame, advisories: DataFrame, p: Params) -> DataFrame:
     rows = findings.withColumn("rk_key", scope_key())
     rows = lookup(rows, reach, ["hostname", "rk_key"], ["reach_class", "reach_rank"])
     rows = lookup(rows, cve_scores(advisories), ["cve_id"], ["cvss_score", "adv_title"])
@@ -113,7 +113,7 @@ def candidate_queue(findings: DataFrame, reach: DataFrame, advisories: DataFrame
 
     The cap is the analysis budget of one run; the rest stay queued for the next.
     """
-    rows = _scored_inputs(findings, reach, advisories, p).filter("t0_tier is null")
+    rows = scored_inputs(findings, reach, advisories, p).filter("t0_tier is null")
     rows = rows.withColumn("sig_title", F.coalesce("adv_title", "title", F.lit("")))
     rows = rows.withColumn("sig", signature(p.signature_salt, F.col("cve_id"), F.col("severity"), F.col("is_kev"),
                                             F.col("cvss_score"), F.col("epss"), F.col("sig_title")))
@@ -322,7 +322,7 @@ def apply_rules(df: DataFrame, rules: Mapping[str, str], p: Params = Params()) -
 def score_findings(findings: DataFrame, verdicts: DataFrame, reach: DataFrame, advisories: DataFrame, now: int,
                    p: Params = Params()) -> DataFrame:
     """Score and tier per finding: a rule's verdict, or the CVE's base score adjusted for this host."""
-    rows = _scored_inputs(findings, reach, advisories, p)
+    rows = scored_inputs(findings, reach, advisories, p)
     fields = {"priority_tier": "_tier", "priority_score": "_base", "analysed_at": "_at", "confidence": "_conf",
               "rationale": "_why", "recommended_action": "_action", "analysis_source": "_src"}
     rows = lookup(rows, verdicts, ["cve_id"], {c: n for c, n in fields.items() if c in verdicts.columns})

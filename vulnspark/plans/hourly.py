@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vulnspark.functions.text import stamp_text
 from vulnspark.operators import evidence, exceptions, inventory, lifecycle, matching, rollups
 from vulnspark.operators.generic import first_per_key
 from vulnspark.params import Params
@@ -40,7 +41,7 @@ def _built(store: StateStore, name: str, now: int) -> None:
 
 
 def _day(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn("day", F.date_format(F.timestamp_seconds(column), "yyyy-MM-dd"))
+    return df.withColumn("day", stamp_text(F.col(column), "yyyy-MM-dd"))
 
 
 def ingest(store: StateStore, records: DataFrame) -> None:

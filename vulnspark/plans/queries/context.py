@@ -236,7 +236,7 @@ t0 AS (SELECT *, CASE WHEN coalesce(cvss, 0) < 4 AND coalesce(epss, 0) * 1000 <
 
 
 def _inputs(bed: Bed):
-    return priority._scored_inputs(bed.finding.filter(_OPENF), evidence.reach(bed.exposure, NOW), bed.advisory, Params())
+    return priority.scored_inputs(bed.finding.filter(_OPENF), evidence.reach(bed.exposure, NOW), bed.advisory, Params())
 
 
 @query("t0_rules", f"WITH {_INPUT} SELECT finding_key, zone AS exposure_zone, vm AS version_match, t0 AS t0_tier FROM t0")

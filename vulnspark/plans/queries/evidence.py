@@ -172,7 +172,6 @@ def support_lifecycle(bed: Bed):
 SELECT product_line, min(eol_at) AS eol_at, CAST(min(round((eol_at - 1005000000) / 86400.0)) AS BIGINT) AS days, count(DISTINCT hostname) AS hosts, CASE WHEN min(round((eol_at - 1005000000) / 86400.0)) < 0 THEN 'overdue' ELSE 'supported' END AS state
 FROM d WHERE round((eol_at - 1005000000) / 86400.0) <= 30.44 * 6 GROUP BY product_line""")
 def eol_horizon(bed: Bed):
-    bed.spark.conf.set("spark.sql.session.timeZone", "UTC")
     return evidence.eol_horizon(support(bed), 6, NOW)
 
 

@@ -190,7 +190,6 @@ def close_role_artifacts(bed: Bed):
 
 @query("remediation_daily", """SELECT strftime(to_timestamp(first_seen), '%Y-%m-%d') AS day, status, count(DISTINCT finding_key) AS findings FROM t_finding WHERE archived IS NULL AND first_seen >= 1005000000 - 900 * 86400 GROUP BY ALL""")
 def remediation_daily(bed: Bed):
-    bed.spark.conf.set("spark.sql.session.timeZone", "UTC")
     return lifecycle.remediation_daily(bed.finding, NOW, 900)
 
 

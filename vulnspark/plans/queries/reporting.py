@@ -150,5 +150,4 @@ def package_treemap(bed: Bed):
 def daily_counts(bed: Bed):
     from vulnspark.streaming.incremental import daily_counts as per_day
 
-    bed.spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return per_day(bed.b_events.withColumn("ts", F.col("ts").cast("timestamp")))
+    return per_day(bed.b_events)
