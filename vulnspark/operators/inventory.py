@@ -346,7 +346,7 @@ def arrival_check(scanstate: DataFrame, links: DataFrame) -> DataFrame:
     scan = scanstate.groupBy("hostname").agg(
         F.max("said_component").alias("said_components"), F.max("said_link").alias("said_link"),
         F.max("arrived_components").alias("arrived"), F.max("sources_failed").alias("sources_failed"),
-        values_text("failed_text", "; ").alias("failed_text"), F.max("swinv_version").alias("swinv_version"),
+        values_text("failed_text", "; ").alias("failed_text"), F.max("collector_version").alias("collector_version"),
         F.max("scanned_at").alias("scanned_at"))
     link_rows = links.groupBy("hostname").agg(F.sum("link_rows").alias("links_arrived"))
     rows = scan.join(link_rows, "hostname", "full")
@@ -357,7 +357,7 @@ def arrival_check(scanstate: DataFrame, links: DataFrame) -> DataFrame:
             F.col("arrived").isNull(), "last scan is older than the check window").when(
             F.col("sources_failed") > 0, "a source failed on the host").when(
             short > 0, "components went missing on the way in").otherwise("everything arrived").alias("verdict"),
-        collector_label(F.col("swinv_version")).alias("collector"), "said_components", "arrived",
+        collector_label(F.col("collector_version")).alias("collector"), "said_components", "arrived",
         percent(F.col("arrived"), F.col("said_components")).alias("arrived_pct"), "said_link",
         F.coalesce("links_arrived", F.lit(0)).alias("links_arrived"), "failed_text",
         stamp_text(F.col("scanned_at")).alias("reported"))

@@ -15,6 +15,7 @@ class Params:
     a clock inside an operator; callers pass it.
     """
 
+    # Stamps that must stay as they are for stored state and signatures to compare.
     matcher_version: str = "2026.08.23.2"
     retain_closed_days: int = 30
     host_retire_days: int = 180

@@ -251,12 +251,12 @@ def address_claims(bed: Bed):
     return out.select("hostname", "address", "addr_first_seen", "addr_last_seen", "max_gap", "claimants", "addr_scope")
 
 
-@query("address_coverage", """SELECT h.hostname, coalesce(c.n, 0) AS addresses, coalesce(c.x, 0) AS contested_addresses, CASE WHEN coalesce(c.n, 0) > 0 THEN 'bind' ELSE 'none' END AS addr_source, coalesce(b.v, 'unknown') AS swinv_version FROM t_host h
+@query("address_coverage", """SELECT h.hostname, coalesce(c.n, 0) AS addresses, coalesce(c.x, 0) AS contested_addresses, CASE WHEN coalesce(c.n, 0) > 0 THEN 'bind' ELSE 'none' END AS addr_source, coalesce(b.v, 'unknown') AS collector_version FROM t_host h
 LEFT JOIN (SELECT hostname, count(*) AS n, count_if(max_gap > 86400) AS x FROM t_claim WHERE max_gap > 0 GROUP BY hostname) c ON c.hostname = h.hostname LEFT JOIN (SELECT hostname, arg_max(event_type, (scanned_at, event_type)) AS v FROM t_heartbeat GROUP BY hostname) b ON b.hostname = h.hostname""")
 def address_coverage(bed: Bed):
     claims = bed.claim.filter("max_gap > 0").withColumns({"claimants": F.when(F.col("max_gap") > 86400, 2).otherwise(1), "addr_source": F.lit("bind")})
-    beats = bed.heartbeat.withColumns({"swinv_version": F.col("event_type"), "schema_version": F.lit("1")})
-    return network.address_coverage(bed.host, claims, beats).select("hostname", "addresses", "contested_addresses", "addr_source", "swinv_version")
+    beats = bed.heartbeat.withColumns({"collector_version": F.col("event_type"), "schema_version": F.lit("1")})
+    return network.address_coverage(bed.host, claims, beats).select("hostname", "addresses", "contested_addresses", "addr_source", "collector_version")
 
 
 _OBS = "SELECT o_orderkey, concat(CASE WHEN o_custkey % 2 = 0 THEN '10.' ELSE '52.' END, o_custkey % 13, '.', o_custkey % 5, '.1') AS address, @EPOCH(o_orderdate) AS observed_at FROM b_orders"

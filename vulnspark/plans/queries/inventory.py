@@ -188,7 +188,7 @@ def coverage_status(bed: Bed):
 
 _BEAT_JSON = """
 SELECT concat('host-', o_custkey) AS hostname, @EPOCH(o_orderdate) AS scanned_at, o_orderkey,
-  CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE concat('v0.', o_custkey % 11, '.', o_orderkey % 10) END AS swinv_version,
+  CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE concat('v0.', o_custkey % 11, '.', o_orderkey % 10) END AS collector_version,
   CAST(o_custkey * 10 AS BIGINT) AS n_components, o_orderkey % 3 AS k FROM b_orders"""
 
 
@@ -207,7 +207,7 @@ _MANIFEST = f"""beats AS ({_BEAT_JSON}),
 newest AS (SELECT * FROM beats QUALIFY scanned_at = max(scanned_at) OVER (PARTITION BY hostname) AND row_number() OVER (PARTITION BY hostname, scanned_at ORDER BY o_orderkey DESC) = 1),
 arrived AS (SELECT hostname, n FROM (SELECT concat('host-', o_custkey) AS hostname, count(*) AS n, @EPOCH(o_orderdate) AS seen_at FROM b_orders GROUP BY o_custkey, o_orderdate)
   QUALIFY seen_at = max(seen_at) OVER (PARTITION BY hostname)),
-manifest AS (SELECT w.hostname, w.scanned_at, w.swinv_version, CASE WHEN k = 1 THEN n_components ELSE o_orderkey % 50 END AS said_component, CAST(7 AS BIGINT) AS said_link, a.n AS arrived_components,
+manifest AS (SELECT w.hostname, w.scanned_at, w.collector_version, CASE WHEN k = 1 THEN n_components ELSE o_orderkey % 50 END AS said_component, CAST(7 AS BIGINT) AS said_link, a.n AS arrived_components,
   CASE k WHEN 2 THEN 2 ELSE 1 END AS sources_ok, CASE k WHEN 1 THEN 1 ELSE 0 END AS sources_skipped, CASE k WHEN 1 THEN 0 ELSE 1 END AS sources_failed,
   CASE k WHEN 0 THEN concat('b: r', o_orderkey) WHEN 2 THEN 'c: no reason given' ELSE '' END AS failed_text, CASE k WHEN 2 THEN 'a,b,c' ELSE 'a,b' END AS sources_text,
   CASE WHEN k <> 2 THEN 1 ELSE 0 END AS sources_shrank, CASE k WHEN 0 THEN 1 ELSE 0 END AS has_profile
@@ -222,7 +222,7 @@ def _manifest(bed: Bed):
     return inventory.scan_manifest(beats, comps, old, bed.host.limit(0), NOW)
 
 
-@query("scan_manifest", f"WITH {_MANIFEST} SELECT * EXCLUDE (swinv_version) FROM manifest")
+@query("scan_manifest", f"WITH {_MANIFEST} SELECT * EXCLUDE (collector_version) FROM manifest")
 def scan_manifest(bed: Bed):
     return _manifest(bed).select("hostname", "scanned_at", "said_component", "said_link", "arrived_components", "sources_ok", "sources_skipped", "sources_failed",
                                  "failed_text", "sources_text", "sources_shrank", "has_profile")
@@ -231,10 +231,10 @@ def scan_manifest(bed: Bed):
 @query("arrival_check", f"""WITH {_MANIFEST}
 SELECT hostname, CASE WHEN arrived_components IS NULL THEN 'last scan is older than the check window' WHEN sources_failed > 0 THEN 'a source failed on the host'
     WHEN said_component > arrived_components THEN 'components went missing on the way in' ELSE 'everything arrived' END AS verdict,
-  CASE WHEN swinv_version IS NULL THEN 'not reported' WHEN n < 701 THEN concat(swinv_version, ' (below the 0.7.1 floor)') WHEN n < 800 THEN concat(swinv_version, ' (no configuration surface)')
-    WHEN n < 900 THEN concat(swinv_version, ' (no Windows library loads or Windows autoruns)') WHEN n < 902 THEN concat(swinv_version, ' (no Windows build number)') ELSE swinv_version END AS collector,
+  CASE WHEN collector_version IS NULL THEN 'not reported' WHEN n < 701 THEN concat(collector_version, ' (below the 0.7.1 floor)') WHEN n < 800 THEN concat(collector_version, ' (no configuration surface)')
+    WHEN n < 900 THEN concat(collector_version, ' (no Windows library loads or Windows autoruns)') WHEN n < 902 THEN concat(collector_version, ' (no Windows build number)') ELSE collector_version END AS collector,
   round(100.0 * arrived_components / nullif(said_component, 0), 1) AS arrived_pct, CAST(coalesce(l, 0) AS BIGINT) AS links_arrived
-FROM (SELECT *, CAST(split_part(swinv_version, '.', 2) AS INT) * 100 + CAST(split_part(swinv_version, '.', 3) AS INT) AS n FROM manifest) m
+FROM (SELECT *, CAST(split_part(collector_version, '.', 2) AS INT) * 100 + CAST(split_part(collector_version, '.', 3) AS INT) AS n FROM manifest) m
 LEFT JOIN (SELECT hostname AS h, s_suppkey AS l FROM t_host) x ON x.h = m.hostname""")
 def arrival_check(bed: Bed):
     links = bed.host.select("hostname", F.col("s_suppkey").alias("link_rows"))

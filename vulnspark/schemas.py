@@ -9,7 +9,7 @@ COMPONENT = (
     "root string, vendor string, os_id string, os_version_id string, found_by string, source_key string, source string, "
     "owned_by string, source_package string")
 HEARTBEAT = (
-    "digest bigint, n_components bigint, scan_id string, swinv_version string, schema_version string, "
+    "digest bigint, n_components bigint, scan_id string, collector_version string, schema_version string, "
     "counts struct<component:bigint,exposure:bigint,link:bigint,container:bigint>, "
     "sources map<string,struct<status:string,reason:string>>, "
     "scan_profile struct<full_scan:string,elf_scope:string,config_scope:string>, duration_ms bigint, os_build string, "

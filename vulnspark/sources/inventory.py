@@ -22,20 +22,29 @@ def _normalised(df: DataFrame) -> DataFrame:
         "kb": attribute("kb"), "servicing_stream": attribute("servicing_stream")}).drop("attributes")
 
 
-def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of NDJSON scans; malformed lines keep their text in ``_corrupt``."""
-    raw = spark.read.schema(INVENTORY_RECORD).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return _normalised(raw)
+def _record_schema(version_field: str) -> str:
+    return INVENTORY_RECORD.replace("collector_version", version_field)
 
 
-def stream_inventory(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
+def read_inventory(spark: SparkSession, path: str, version_field: str = "collector_version") -> DataFrame:
+    """Every record of NDJSON scans; malformed lines keep their text in ``_corrupt``.
+
+    ``version_field`` is the name a collector gives its own version in a heartbeat.
+    """
+    raw = spark.read.schema(_record_schema(version_field)).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return _normalised(raw.withColumnRenamed(version_field, "collector_version"))
+
+
+def stream_inventory(spark: SparkSession, folder: str, max_files: int = 1000,
+                     version_field: str = "collector_version") -> DataFrame:
     """The same records as a stream of new files; the checkpoint takes each file once.
 
     The ``-latest.ndjson`` copies of a scan are left out.
     """
-    raw = (spark.readStream.schema(INVENTORY_RECORD).option("columnNameOfCorruptRecord", "_corrupt")
+    raw = (spark.readStream.schema(_record_schema(version_field)).option("columnNameOfCorruptRecord", "_corrupt")
            .option("pathGlobFilter", "*.ndjson").option("maxFilesPerTrigger", max_files).json(folder))
-    return _normalised(raw.filter(~F.col("_metadata.file_name").endswith("-latest.ndjson")))
+    kept = raw.filter(~F.col("_metadata.file_name").endswith("-latest.ndjson"))
+    return _normalised(kept.withColumnRenamed(version_field, "collector_version"))
 
 
 def split_records(df: DataFrame) -> dict[str, DataFrame]:
