@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnspark.llm import exact_dedup, mixing, token_file, url_filter
+from vulnspark.llm import dart_minhash, exact_dedup, mixing, token_file, url_filter
 from vulnspark.llm.common import new_path, table
 
 #: Rules of the URL query: (verdict, host, path prefix).
@@ -67,6 +67,10 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.filter(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
@@ -98,5 +102,5 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
        WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM ruled
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_curriculum_mix, op4_exact_dedup, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_curriculum_mix, op4_exact_dedup, op6_dart_minhash, op8_url_filter)}
 ORACLES = {"op3_curriculum_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_url_filter": OP8_SQL}
