@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnspark.llm import dart_minhash, exact_dedup, mixing, token_file, url_filter
+from vulnspark.llm import dart_minhash, exact_dedup, mixing, substring_dedup, token_file, url_filter
 from vulnspark.llm.common import new_path, table
 
 #: Rules of the URL query: (verdict, host, path prefix).
@@ -102,5 +102,9 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
        WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM ruled
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_curriculum_mix, op4_exact_dedup, op6_dart_minhash, op8_url_filter)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_curriculum_mix, op4_exact_dedup, op6_dart_minhash, op8_url_filter, op9_substring_dedup)}
 ORACLES = {"op3_curriculum_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_url_filter": OP8_SQL}
