@@ -11,10 +11,8 @@ weight bands by rising rank and only up to the rank that is expected to
 fill all coordinates; documents with an empty one go on to twice that rank.
 
 Candidates come from bands of the signature and every one is verified on
-whole texts. Copies with the same words are one node from the start. In a
-bucket each node is first compared with one hub, so a large group needs as
-many comparisons as members; what the components of the verified links leave
-apart within a bucket is then compared pair by pair, so no link is lost.
+whole texts (see ``linking``). Copies with the same words are one node from
+the start.
 """
 
 from __future__ import annotations
@@ -27,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.llm.common import stored, text_or_empty, words_of
-from vulnspark.llm.components import components
 from vulnspark.llm.hashing import WordHashes, mix, shingles
+from vulnspark.llm.linking import linked, shared_buckets
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -156,28 +154,12 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of every document, and (node, class_id, class_size) of every node; class_id is the smallest id."""
     signed = stored(band_keys(docs), "darts")
     bands = signed.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    bands = stored(bands, "bands")
-    hubs = bands.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min_by("node", F.xxhash64("node")).alias("hub"))
-    shared = stored(bands.join(hubs.filter("_n > 1"), "key"), "shared")
+    shared = shared_buckets(bands)
     # Every text that shares a bucket, once: what all comparisons read.
     wanted = shared.select("node").distinct()
     texts = docs.select(node_of(F.col("text")).alias("node"), text_or_empty().alias("text")).join(wanted, "node", "left_semi")
     texts = stored(texts.dropDuplicates(["node"]), "texts")
-    tried = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(verified(tried, texts), "pairs")
-    groups = components(links)
-    # Nodes of one bucket that are in different components so far and were not compared with each other.
-    apart = shared.filter("_n > 2").join(groups, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("component"))
-    mixed = apart.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
-    apart = stored(apart.join(mixed, "key", "left_semi"), "apart")
-    left, right = apart.alias("x"), apart.alias("y")
-    rest = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-                     & (F.col("x.node") != F.col("x.hub")) & (F.col("y.node") != F.col("y.hub")))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = rest.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = stored(verified(rest, texts), "pairs")
-    if not more.isEmpty():
-        groups = components(links.unionByName(more))
+    groups = linked(shared, lambda pairs: verified(pairs, texts))
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_copies"))
     nodes = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = nodes.groupBy("component").agg(F.min("_least").alias("class_id"), F.sum("_copies").alias("class_size"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnspark.llm import dart_minhash, exact_dedup, mixing, substring_dedup, token_file, url_filter
+from vulnspark.llm import dart_minhash, exact_dedup, line_crf, line_dedup, mixing, substring_dedup, token_file, url_filter
 from vulnspark.llm.common import new_path, table
 
 #: Rules of the URL query: (verdict, host, path prefix).
@@ -25,6 +25,10 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (F.col("first_id") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(mixing.sized(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -67,6 +71,10 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -106,5 +114,6 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_curriculum_mix, op4_exact_dedup, op6_dart_minhash, op8_url_filter, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_line_dedup, op3_curriculum_mix, op4_exact_dedup, op5_line_crf, op6_dart_minhash,
+                                   op8_url_filter, op9_substring_dedup)}
 ORACLES = {"op3_curriculum_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_url_filter": OP8_SQL}
