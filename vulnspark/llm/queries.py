@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnspark.llm import dart_minhash, exact_dedup, line_crf, line_dedup, masked_lm, mixing, substring_dedup, token_file, url_filter
+from vulnspark.llm import dart_minhash, exact_dedup, line_crf, line_dedup, masked_lm, mixing, piece_sampling, substring_dedup, token_file, url_filter
 from vulnspark.llm.common import new_path, table
 
 #: Rules of the URL query: (verdict, host, path prefix).
@@ -79,6 +79,12 @@ def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_sampling.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.filter(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
@@ -120,5 +126,5 @@ def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_file, op2_line_dedup, op3_curriculum_mix, op4_exact_dedup, op5_line_crf, op6_dart_minhash,
-                                   op8_url_filter, op9_substring_dedup, op10_masked_lm)}
+                                   op7_piece_sampling, op8_url_filter, op9_substring_dedup, op10_masked_lm)}
 ORACLES = {"op3_curriculum_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_url_filter": OP8_SQL}
