@@ -4,31 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnspark.llm import exact_dedup, mixing
+from vulnspark.llm import dart_minhash, exact_dedup, line_crf, mixing, piece_sampling
 from vulnspark.llm.common import stored, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return line_crf.keep(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     return exact_dedup.survivors(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays."""
+    return dart_minhash.survivors(docs)
+
+
 def curriculum(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, repeated as their source's weight asks."""
     return mixing.mix(docs).select(*docs.columns)
 
 
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of every document of the mix."""
+    return piece_sampling.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_copies), ("mixing", curriculum)]
+STAGES: list[tuple[str, Stage]] = [("quality rules", quality), ("exact dedup", exact_copies), ("near dedup", near_copies), ("mixing", curriculum),
+                                   ("piece encoding", pieces)]
 
-#: Trained models and sampled pieces are beyond SQL; tests/llm compares with brute force.
+#: Trained models and sampled pieces are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

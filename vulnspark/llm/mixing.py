@@ -90,8 +90,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     return rows.withColumn("target", target).select("source", "source_size", "source_no", "weight", "target")
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
-    """Every document with size, source_size, source_no, target, ``offset`` (words of its source before it) and ``copies``.
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, curves=CURVES, repeats: int = MAX_REPEATS) -> DataFrame:
+    """Every document with size, source_size, source_no, target and ``positions``, the training times of the copies taken.
 
     ``docs`` has doc_id, source, size and any further columns, which are kept. A source's order is the MD5 of
     the document id, ties by id and then size, so reruns agree. Repeat number k of a document is taken if the
@@ -111,10 +111,18 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX
     starts = starts.join(sources, keys)
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = docs.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, [*keys, "_bucket"])
-    rows = rows.withColumn("offset", F.col("_start") + F.col("_inside"))
-    taken = [F.when((2 * (F.col("offset") + k * F.col("source_size")) + F.col("size") <= 2 * F.col("target")) & (F.col("size") > 0), 1)
-             .otherwise(0) for k in range(repeats)]
-    return rows.withColumn("copies", sum(taken[1:], taken[0])).drop("_key", "_bucket", "_no_source", "_source", "_start", "_inside")
+    rows = rows.withColumn("_offset", F.col("_start") + F.col("_inside"))
+
+    def time(k: int) -> Column:
+        share = (F.col("_offset") + k * F.col("source_size") + F.col("size") / 2) / F.col("target")
+        at = position(share, curves[-1])
+        for i in reversed(range(len(curves) - 1)):
+            at = F.when(F.col("source_no") % len(curves) == i, position(share, curves[i])).otherwise(at)
+        taken = (2 * (F.col("_offset") + k * F.col("source_size")) + F.col("size") <= 2 * F.col("target")) & (F.col("size") > 0)
+        return F.when(taken, at)
+
+    times = F.array_compact(F.array(*[time(k) for k in range(repeats)]))
+    return rows.withColumn("positions", times).drop("_key", "_bucket", "_no_source", "_source", "_start", "_inside", "_offset")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, curves=CURVES, repeats: int = MAX_REPEATS) -> DataFrame:
@@ -125,15 +133,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, curves=CURVES, repe
     ``docs``, which travel in a struct.
     """
     packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    rows = plan(packed, weights, repeats).filter("copies > 0")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    share = (F.col("offset") + F.col("copy") * F.col("source_size") + F.col("size") / 2) / F.col("target")
-    curve = F.col("source_no") % len(curves)
-    at = position(share, curves[-1])
-    for i in reversed(range(len(curves) - 1)):
-        at = F.when(curve == i, position(share, curves[i])).otherwise(at)
-    ordered = rows.withColumn("position", at).repartitionByRange("position", "source_no", "doc_id").sortWithinPartitions(
-        "position", "source_no", "doc_id", "copy")
+    rows = plan(packed, weights, curves, repeats).select("doc_id", "source_no", "_doc", F.posexplode("positions").alias("copy", "position"))
+    ordered = rows.repartitionByRange("position", "source_no", "doc_id").sortWithinPartitions("position", "source_no", "doc_id", "copy")
     taken = ["copy", "position"]
     return ordered.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns], *[F.col(c) for c in taken if c not in docs.columns])
 

@@ -31,7 +31,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(mixing.sized(table(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    rows = rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"),
+                       F.get("positions", F.lit(0)).alias("first_position"))
+    return rows.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
 OP3_SQL = r"""
@@ -47,16 +49,22 @@ filled AS (
   WINDOW later AS (ORDER BY cap / w, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
          sooner AS (ORDER BY cap / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE
+  SELECT source, source_size, no, CASE WHEN capped THEN cap::DOUBLE ELSE
     (w * (sum(source_size) OVER () - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0)))::BIGINT
     / (sum(CASE WHEN NOT capped THEN w END) OVER ())::BIGINT END AS target FROM filled),
 placed AS (
-  SELECT doc_id, size, source_size, target,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+  SELECT doc_id, size, source_size, target, no,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   (size * ((2 * c + size <= 2 * target)::INT + (2 * (c + source_size) + size <= 2 * target)::INT
-           + (2 * (c + 2 * source_size) + size <= 2 * target)::INT))::BIGINT AS taken FROM placed
+           + (2 * (c + 2 * source_size) + size <= 2 * target)::INT))::BIGINT AS taken,
+  CASE WHEN 2 * c + size <= 2 * target AND size > 0 THEN CASE no % 3
+    WHEN 0 THEN 2 * share / (1.5::DOUBLE + sqrt(2.25::DOUBLE - 2 * share))
+    WHEN 1 THEN 2 * share / (1::DOUBLE + sqrt(1::DOUBLE))
+    ELSE CASE WHEN share <= 0.3125::DOUBLE THEN 2 * share / (0.5::DOUBLE + sqrt(0.25::DOUBLE + share))
+         ELSE 0.5::DOUBLE + 2 * (share - 0.3125::DOUBLE) / (0.75::DOUBLE + sqrt(0.5625::DOUBLE + 5 * (share - 0.3125::DOUBLE))) END END END AS first_position
+FROM (SELECT *, (c + size / 2) / target AS share FROM placed)
 """
 
 
