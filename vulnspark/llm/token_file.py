@@ -19,8 +19,9 @@ so a reader holds at most ``SHARD_IDS`` ids and one document.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql.window import Window
 BLOCK_IDS = 8192
 SHARD_IDS = 1 << 20
 #: Words whose ids a worker remembers; the memory is emptied when full.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 SCHEMA = ("part int, shard int, bits int, block_ids int, n_ids long, block_offset array<long>, doc_id array<long>, "
           "n_tokens array<long>, payload binary")
@@ -78,32 +79,60 @@ def read_ids(payload: bytes, offsets, bits: int, n_ids: int, start: int, count:
     return np.concatenate(parts)[start - first * block_ids : stop - first * block_ids]
 
 
-def word_encoder(path: str) -> tuple[Callable[[list[str]], list[np.ndarray]], int]:
-    """A function from texts to id arrays for a tokenizer file that drops white space, and its vocabulary size.
+def byte_letters() -> dict[int, str]:
+    """The character a byte-level vocabulary writes each byte as: visible Latin-1 as itself, others from U+0100 on."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in visible)}
 
-    Such a tokenizer never joins characters over a space or line feed, so a text's ids are those of its parts
-    in order, and each different part is encoded once. Special tokens have no white space inside.
-    """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, np.ndarray] = {}
+class WordIds(dict):
+    """Ids of white-space-free parts of texts as little-endian u32 bytes, each different part encoded once.
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            parts = text.replace("\n", " ").split(" ")
-            new = [p for p in dict.fromkeys(parts) if p not in known]
-            if new:
-                if len(known) + len(new) > CACHED_WORDS:
-                    known.clear()
-                    new = list(dict.fromkeys(parts))
-                for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, np.uint32)
-            out.append(np.concatenate([known[p] for p in parts]))
-        return out
+    For the file word_bpe_49k.json and others with its steps: composing and lower-casing, white space dropped,
+    then runs of letters, single digits and runs of other signs as separate units of the byte-level model. A
+    part of plain letters with ASCII signs after it is therefore the ids of the letters and of the signs;
+    the letters go straight to the library's model, everything else through the whole tokenizer.
+    """
 
-    return encode, tokenizer.get_vocab_size(with_added_tokens=True)
+    PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
+
+    def __init__(self, path: str):
+        super().__init__()
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.heads: dict[str, bytes] = {}
+
+    def vocabulary(self) -> int:
+        return self.tokenizer.get_vocab_size(with_added_tokens=True)
+
+    def _whole(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+            self.heads.clear()
+        plain = self.PLAIN.fullmatch(part)
+        if not plain:
+            ids = self[part] = self._whole(part)
+            return ids
+        head, tail = plain[1].lower(), plain[2]
+        ids = self.heads.get(head)
+        if ids is None:
+            unit = head if head.isascii() else head.encode().decode("latin-1").translate(self.letters)
+            ids = self.heads[head] = np.array([t.id for t in self.model.tokenize(unit)], "<u4").tobytes()
+        if tail:
+            ids += self[tail]
+        if len(self) < CACHED_WORDS:
+            self[part] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text. Such a tokenizer joins nothing over a space or line feed."""
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, compression: str = "uncompressed") -> None:
@@ -117,23 +146,23 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, compression:
                .sortWithinPartitions("doc_id", "_tie").select(F.spark_partition_id().alias("part"), "doc_id", "text"))
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, vocabulary = word_encoder(tokenizer)
-        bits, shard = bits_for(max(vocabulary, end_id + 1)), 0
+        known = WordIds(tokenizer)
+        bits, shard = bits_for(max(known.vocabulary(), end_id + 1)), 0
         ids, doc_ids, lengths, size, part = [], [], [], 0, 0
-        end = np.array([end_id], np.uint32)
+        end = np.array([end_id], "<u4").tobytes()
 
         def flush():
-            payload, offsets = pack(np.concatenate(ids), bits)
+            payload, offsets = pack(np.frombuffer(b"".join(ids), "<u4"), bits)
             return pd.DataFrame({"part": [part], "shard": [shard], "bits": [bits], "block_ids": [BLOCK_IDS], "n_ids": [size],
                                  "block_offset": [offsets], "doc_id": [doc_ids], "n_tokens": [lengths], "payload": [payload]})
 
         for batch in batches:
             for part, doc_id, text in zip(batch["part"], batch["doc_id"].astype("object"), batch["text"], strict=True):
-                own = np.concatenate([encode([text])[0], end])
+                own = known.encode(text) + end
                 ids.append(own)
                 doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                lengths.append(len(own))
-                size += len(own)
+                lengths.append(len(own) // 4)
+                size += len(own) // 4
                 if size >= SHARD_IDS:
                     yield flush()
                     ids, doc_ids, lengths, size, shard = [], [], [], 0, shard + 1
