@@ -138,7 +138,7 @@ def loaded_libraries(links: DataFrame, old: DataFrame, hoststate: DataFrame, now
         "hostname", "scope_key", "package",
         F.when(F.col("loaded_listening") == 1, "a listener loads it").otherwise("loaded, not listening").alias("load_class"),
         F.when(F.col("loaded_listening") == 1, 3).otherwise(2).alias("load_rank"),
-        F.array_join(F.slice(F.array_distinct(F.concat("_lis", "_all")), 1, 5), ", ").alias("loaders"),
+        F.array_join(F.array_distinct(F.concat("_lis", "_all")), ", ").alias("loaders"),
         "loader_count", "loaded_listening", "scanned_at")
     return carry_forward(out, old, "scanned_at", ["hostname", "scope_key", "package"], hoststate, now, p.host_retire_days)
 

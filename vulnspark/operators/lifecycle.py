@@ -94,10 +94,9 @@ def fold(state: DataFrame, events: DataFrame, now: int, recount: bool = True) ->
 
 def fold_catch_up(state: DataFrame, events: DataFrame, matchstate: DataFrame, now: int,
                   p: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """Fold again for hosts whose last match was never folded, newest matches first."""
+    """Fold again for every host whose last match was never folded."""
     behind = matchstate.filter(F.col("folded_run").isNull() | (F.col("folded_run") < F.col("matched_at") - p.run_tolerance))
-    hosts = behind.orderBy(F.col("matched_at").desc(), "hostname").limit(p.catch_up_host_limit).select("hostname")
-    return fold(state, events.join(hosts, "hostname", "left_semi"), now, recount=False)
+    return fold(state, events.join(behind.select("hostname"), "hostname", "left_semi"), now, recount=False)
 
 
 def fresh_snapshots(snapshot_meta: DataFrame, names: tuple[str, ...], now: int, p: Params) -> Column:

@@ -25,7 +25,6 @@ W_EXPOSURE_UNKNOWN = 4
 W_VERSION = {"yes": 22, "unknown": 4, "no": -25}
 TIER_CUTS = ((85, "P0"), (65, "P1"), (45, "P2"), (25, "P3"))
 TIERS = ("P0", "P1", "P2", "P3", "P4")
-DEFAULT_MITIGATIONS = ("Apply the vendor patch immediately", "Verify compensating controls (WAF, EDR, segmentation)")
 
 
 def weight(c: Column, table: Mapping[str, int], otherwise: int) -> Column:
@@ -109,10 +108,7 @@ def scored_inputs(findings: DataFrame, reach: DataFrame, advisories: DataFrame,
 
 def candidate_queue(findings: DataFrame, reach: DataFrame, advisories: DataFrame, vendors: DataFrame, verdicts: DataFrame,
                     p: Params = Params()) -> DataFrame:
-    """CVEs waiting for analysis: worst finding per CVE, rule-decided and cached ones out.
-
-    The cap is the analysis budget of one run; the rest stay queued for the next.
-    """
+    """Every CVE waiting for analysis, most urgent first: worst finding per CVE, rule-decided and cached ones out."""
     rows = scored_inputs(findings, reach, advisories, p).filter("t0_tier is null")
     rows = rows.withColumn("sig_title", F.coalesce("adv_title", "title", F.lit("")))
     rows = rows.withColumn("sig", signature(p.signature_salt, F.col("cve_id"), F.col("severity"), F.col("is_kev"),
@@ -121,7 +117,7 @@ def candidate_queue(findings: DataFrame, reach: DataFrame, advisories: DataFrame
     worst = first_per_key(rows.withColumn("_e", epss), ["cve_id"], F.col("is_kev").desc(), F.col("_e").desc(), "hostname", "finding_key")
     fresh = worst.join(verdicts.select("cve_id", "sig"), ["cve_id", "sig"], "left_anti")
     fresh = lookup(fresh, vendors, ["package"], ["vendor"])
-    return fresh.orderBy(F.col("is_kev").desc(), F.col("_e").desc(), "cve_id").limit(p.candidate_cap).select(
+    return fresh.orderBy(F.col("is_kev").desc(), F.col("_e").desc(), "cve_id").select(
         "cve_id", "sig", "severity", "cvss_score", "epss", "is_kev", F.col("sig_title").alias("cve_description"),
         F.col("package").alias("affected_product"), blank("vendor").alias("vendor"), F.col("hostname").alias("worst_asset"),
         "exposure_zone", "version_match", "confidence", "asset_criticality")
@@ -143,15 +139,14 @@ EXPLOITABILITY = ("active-exploit", "proof-of-concept", "theoretical", "none")
 EXPOSURE = ("internet-facing", "internal", "isolated")
 PROCESS_MATCH = ("confirmed", "probable", "unlikely", "unknown")
 ACTIONS = ("patch-now", "mitigate", "monitor", "accept", "risk-accept-with-compensation")
-MAX_RATIONALE, MAX_MITIGATION, MAX_MITIGATIONS = 2000, 300, 5
 VERDICT_SCHEMA = (
     "priority_tier string, priority_score string, confidence string, rationale string, exploitability_signal string, "
     "exposure_signal string, process_match_confidence string, recommended_action string, "
     "recommended_mitigations array<string>, attck_techniques array<string>")
 
 
-def clean_text(c: Column, limit: int) -> Column:
-    return F.substring(F.trim(F.regexp_replace(c, r"[\x00-\x1f\x7f]", " ")), 1, limit)
+def clean_text(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"[\x00-\x1f\x7f]", " "))
 
 
 def validate_verdicts(raw: DataFrame, column: str = "answer") -> DataFrame:
@@ -164,7 +159,7 @@ def validate_verdicts(raw: DataFrame, column: str = "answer") -> DataFrame:
     rows = raw.withColumn("_v", v)
     score, conf = F.col("_v.priority_score").try_cast("int"), F.col("_v.confidence").try_cast("double")
     none = F.array().cast("array<string>")
-    text = clean_text(blank("_v.rationale"), MAX_RATIONALE)
+    text = clean_text(blank("_v.rationale"))
 
     def outside(name: str, allowed: tuple[str, ...]) -> Column:
         return ~F.coalesce(F.col(f"_v.{name}").isin(*allowed), F.lit(False))
@@ -178,8 +173,7 @@ def validate_verdicts(raw: DataFrame, column: str = "answer") -> DataFrame:
     for name, allowed in (("exploitability_signal", EXPLOITABILITY), ("exposure_signal", EXPOSURE),
                           ("process_match_confidence", PROCESS_MATCH), ("recommended_action", ACTIONS)):
         problem = problem.when(outside(name, allowed), f"{name} must be one of " + "|".join(allowed))
-    mitigations = F.slice(F.filter(F.transform(F.coalesce("_v.recommended_mitigations", none),
-                                               lambda m: clean_text(m, MAX_MITIGATION)), lambda m: m != ""), 1, MAX_MITIGATIONS)
+    mitigations = F.filter(F.transform(F.coalesce("_v.recommended_mitigations", none), clean_text), lambda m: m != "")
     techniques = F.filter(F.coalesce("_v.attck_techniques", none), lambda t: t.rlike(r"^T\d{4}(\.\d{3})?$"))
     return rows.select(
         *raw.columns, problem.alias("problem"), F.col("_v.priority_tier").alias("model_tier"), score.alias("model_score"),

@@ -28,7 +28,6 @@ class Params:
     flow_stale_days: int = 2
     flow_absence_days: int = 30
     identity_grace_days: int = 7
-    candidate_cap: int = 1000
     signature_salt: str = "v2:foundation-sec-8b"
     asset_criticality: str = "medium"
     escalation_cap: int = 1
@@ -39,11 +38,8 @@ class Params:
     late_floor: int = 26 * 3600
     alert_window: int = 5400
     max_hops: int = 5
-    max_paths: int = 2000
-    path_fanout: int = 8
+    path_fanout: int | None = None
     beyond_break: int = 1
-    dirty_host_limit: int = 5000
-    catch_up_host_limit: int = 2000
 
 
 #: Retention of each event table in days (fixed values).

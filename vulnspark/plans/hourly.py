@@ -73,7 +73,7 @@ def match_dirty(store: StateStore, now: int, p: Params) -> None:
     digests = inventory.host_digest(store.read_events("scan_heartbeat"), latest)
     store.replace_state(digests, "digests")
     dirty = inventory.dirty_hosts(store.read_state("digests"), _state(store, "matchstate"), feed_gen, now, p)
-    todo = matching.dirty_inventory(latest, dirty, _state(store, "containers"), p.dirty_host_limit)
+    todo = matching.dirty_inventory(latest, dirty, _state(store, "containers"))
     store.replace_state(todo, "match_input")
     todo = store.read_state("match_input")
     found = matching.match(todo, store.read_feed("ranges"), store.read_feed("notaffected"), store.read_feed("advisories"))

@@ -41,19 +41,23 @@ def hops_bfs(bed: Bed):
     return out.select("src", "dst", "rk_class", "hop", F.array_join("hops", ",").alias("hops"), F.array_join("dst_reach", ",").alias("dst_reach"))
 
 
-_PATHS = f"""{_MERGED}, bst AS (SELECT *, CASE rk_class WHEN 'cve' THEN 'C' WHEN 'foothold' THEN 'F' WHEN 'unrated' THEN 'U' ELSE 'P' END AS flag FROM m QUALIFY row_number() OVER (PARTITION BY src ORDER BY rk_rank DESC, sessions DESC, dst) <= 3),
+_PATHS = f"""{_MERGED}, bst AS (SELECT *, CASE rk_class WHEN 'cve' THEN 'C' WHEN 'foothold' THEN 'F' WHEN 'unrated' THEN 'U' ELSE 'P' END AS flag FROM m QUALIFY row_number() OVER (PARTITION BY src ORDER BY rk_rank DESC, sessions DESC, dst) <= 8),
 p1 AS (SELECT [src, dst] AS nodes, dst AS node, flag AS flags, sessions AS smin FROM bst WHERE src IN (SELECT src FROM m WHERE kind = 'entry')),
 p2 AS (SELECT list_append(nodes, dst) AS nodes, dst AS node, concat(flags, flag) AS flags, least(smin, sessions) AS smin FROM p1 JOIN bst ON bst.src = p1.node WHERE NOT list_contains(nodes, dst)),
 q2 AS (SELECT * FROM p2 WHERE length(regexp_replace(flags, '^C*', '')) <= 2),
 p3 AS (SELECT list_append(nodes, dst) AS nodes, dst AS node, concat(flags, flag) AS flags, least(smin, sessions) AS smin FROM q2 JOIN bst ON bst.src = q2.node WHERE NOT list_contains(nodes, dst)),
 q3 AS (SELECT * FROM p3 WHERE length(regexp_replace(flags, '^C*', '')) <= 2),
-allp AS (SELECT * FROM p1 UNION ALL SELECT * FROM q2 UNION ALL SELECT * FROM q3)"""
+p4 AS (SELECT list_append(nodes, dst) AS nodes, dst AS node, concat(flags, flag) AS flags, least(smin, sessions) AS smin FROM q3 JOIN bst ON bst.src = q3.node WHERE NOT list_contains(nodes, dst)),
+q4 AS (SELECT * FROM p4 WHERE length(regexp_replace(flags, '^C*', '')) <= 2),
+p5 AS (SELECT list_append(nodes, dst) AS nodes, dst AS node, concat(flags, flag) AS flags, least(smin, sessions) AS smin FROM q4 JOIN bst ON bst.src = q4.node WHERE NOT list_contains(nodes, dst)),
+q5 AS (SELECT * FROM p5 WHERE length(regexp_replace(flags, '^C*', '')) <= 2),
+allp AS (SELECT * FROM p1 UNION ALL SELECT * FROM q2 UNION ALL SELECT * FROM q3 UNION ALL SELECT * FROM q4 UNION ALL SELECT * FROM q5)"""
 
 
 @query("paths_topk", f"""WITH {_PATHS}, s AS (SELECT array_to_string(nodes, ' → ') AS path_text, flags, length(flags) AS jumps, length(regexp_extract(flags, '^C*')) AS cve_run, smin AS sessions_min FROM allp)
-SELECT path_text, flags, CAST(jumps AS INT) AS jumps, CAST(cve_run AS INT) AS cve_run, CAST(cve_run = jumps AS INT) AS full_cve, sessions_min FROM s ORDER BY full_cve DESC, s.jumps DESC, s.cve_run DESC, sessions_min DESC, path_text LIMIT 200""")
+SELECT path_text, flags, CAST(jumps AS INT) AS jumps, CAST(cve_run AS INT) AS cve_run, CAST(cve_run = jumps AS INT) AS full_cve, sessions_min FROM s""")
 def paths_topk(bed: Bed):
-    out = routes.enumerate_paths(bed.jump, Params(max_hops=3, path_fanout=3, max_paths=200))
+    out = routes.enumerate_paths(bed.jump, Params(path_fanout=8))
     return out.select("path_text", "flags", "jumps", "cve_run", "full_cve", "sessions_min")
 
 
@@ -271,13 +275,13 @@ def _queue(bed: Bed):
 
 
 @query("candidate_queue", f"""WITH {_QUEUE}, cached AS (SELECT DISTINCT cve_id, {_SIG} AS sig FROM t0 WHERE severity = 'high')
-SELECT cve_id, sig, hostname AS worst_asset, package AS affected_product, zone AS exposure_zone FROM q1 WHERE NOT EXISTS (SELECT 1 FROM cached c WHERE c.cve_id = q1.cve_id AND c.sig = q1.sig) ORDER BY kev DESC, coalesce(epss, 0) DESC, cve_id LIMIT 1000""")
+SELECT cve_id, sig, hostname AS worst_asset, package AS affected_product, zone AS exposure_zone FROM q1 WHERE NOT EXISTS (SELECT 1 FROM cached c WHERE c.cve_id = q1.cve_id AND c.sig = q1.sig)""")
 def candidate_queue(bed: Bed):
     return _queue(bed).select("cve_id", "sig", "worst_asset", "affected_product", "exposure_zone")
 
 
 @query("verdict_triage", f"""WITH {_QUEUE}, cached AS (SELECT DISTINCT cve_id, {_SIG} AS sig FROM t0 WHERE severity = 'low'), hq AS (SELECT DISTINCT cve_id, {_SIG} AS sig FROM t0 WHERE severity = 'high'),
-q AS (SELECT q1.*, c.sig IS NOT NULL AS hit FROM (SELECT * FROM q1 WHERE NOT EXISTS (SELECT 1 FROM hq WHERE hq.cve_id = q1.cve_id AND hq.sig = q1.sig) ORDER BY kev DESC, coalesce(epss, 0) DESC, cve_id LIMIT 1000) q1 LEFT JOIN cached c ON c.cve_id = q1.cve_id AND c.sig = q1.sig)
+q AS (SELECT q1.*, c.sig IS NOT NULL AS hit FROM (SELECT * FROM q1 WHERE NOT EXISTS (SELECT 1 FROM hq WHERE hq.cve_id = q1.cve_id AND hq.sig = q1.sig)) q1 LEFT JOIN cached c ON c.cve_id = q1.cve_id AND c.sig = q1.sig)
 SELECT cve_id, CASE WHEN hit THEN 'cache' WHEN row_number() OVER (PARTITION BY hit ORDER BY kev DESC, epss DESC NULLS LAST, cve_id) <= 50 THEN 'analyse' ELSE 'deferred' END AS route FROM q""")
 def verdict_triage(bed: Bed):
     sig = priority.signature(Params().signature_salt, F.col("cve_id"), F.col("severity"), F.col("is_kev"), F.col("cvss_score"), F.col("epss"), F.coalesce("adv_title", "title"))

@@ -46,6 +46,7 @@ def osv_advisories(bed: Bed):
 @query("osv_ranges", f"""WITH {_OSV}, r AS (SELECT * FROM osv WHERE o_orderstatus <> 'P')
 SELECT id AS advisory_id, cve AS cve_id, eco AS ecosystem, concat('pkg', o_custkey) AS package, distro, rel AS distro_release, variant AS distro_variant, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '2.0' END AS introduced,
   CASE WHEN o_orderkey % 3 = 0 THEN concat('1.', o_orderkey) ELSE concat('2.', o_custkey) END AS fixed, '' AS last_affected, 'ECOSYSTEM' AS range_type FROM r WHERE o_orderkey % 3 <> 2
+UNION ALL SELECT id, cve, eco, concat('pkg', o_custkey), distro, rel, variant, '1.0', concat('1.', o_orderkey), '', 'ECOSYSTEM' FROM r WHERE o_orderkey % 3 = 1
 UNION ALL SELECT id, cve, eco, concat('pkg', o_custkey), distro, rel, variant, v, '', v, 'EXACT' FROM r, (SELECT unnest(['9.1', '9.2']) AS v) WHERE o_orderkey % 3 = 2""")
 def osv_ranges(bed: Bed):
     return advisory_feeds.osv_ranges(_osv(bed)).select("advisory_id", "cve_id", "ecosystem", "package", "distro", "distro_release", "distro_variant", "introduced", "fixed", "last_affected", "range_type")

@@ -95,7 +95,7 @@ def osv_advisories(df: DataFrame, feed_source: str = "osv", withdrawn: bool = Fa
     cve = extract_cve(F.col("id"), F.col("aliases"))
     return rows.select(
         F.col("id").alias("advisory_id"), F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a != "").alias("aliases"),
-        F.when(cve != "", cve).otherwise(F.col("id")).alias("cve_id"), F.substring(F.trim(blank("summary")), 1, 500).alias("title"),
+        F.when(cve != "", cve).otherwise(F.col("id")).alias("cve_id"), F.trim(blank("summary")).alias("title"),
         F.lower(blank("database_specific.severity")).alias("severity"), F.lit(None).cast("double").alias("cvss_score"),
         blank(cvss).alias("cvss_vector"), F.array().cast("array<string>").alias("cwes"), blank("published").alias("published"),
         blank("modified").alias("modified"), blank("withdrawn").alias("withdrawn"), F.lit(feed_source).alias("feed_source"),
@@ -130,6 +130,21 @@ def _last_event(events: Column, field: str) -> Column:
     return blank(F.try_element_at(F.filter(events, counts), F.lit(-1))[field])
 
 
+def _intervals(rng: Column) -> Column:
+    """The range cut before every introduced event but the first: one struct of type and events for each interval.
+
+    With at most one introduced event the order of events does not matter, so all of them are one interval.
+    """
+    def cut(events: Column, starts: Column) -> Column:
+        first = F.transform(starts, lambda p, i: F.when(i == 0, 1).otherwise(p + 1))
+        pieces = F.transform(starts, lambda p, i: F.slice(events, F.get(first, i), F.coalesce(F.get(first, i + 1), F.size(events) + 1) - F.get(first, i)))
+        return F.transform(F.when(F.size(starts) > 1, pieces).otherwise(F.array(events)), lambda e: F.struct(rng["type"].alias("type"), e.alias("events")))
+
+    events = F.coalesce(rng["events"], F.array().cast("array<struct<introduced:string,fixed:string,last_affected:string>>"))
+    places = F.filter(F.transform(events, lambda e, i: F.when(e["introduced"].isNotNull(), i)), lambda p: p.isNotNull())
+    return let(places, lambda starts: cut(events, starts))
+
+
 def _range_columns(rng: Column) -> Column:
     introduced = _last_event(rng["events"], "introduced")
     return F.struct(
@@ -141,12 +156,13 @@ def _range_columns(rng: Column) -> Column:
 def osv_ranges(df: DataFrame, feed_source: str = "osv", withdrawn: bool = False) -> DataFrame:
     """Range rows; a package without a usable range is listed version by version instead.
 
-    A range keeps its last introduced and last fixed event. Introduced zero
-    is no bound, and a range of commits without an end is dropped.
+    Each introduced event opens an interval of its own, a row each. Introduced
+    zero is no bound, and a range of commits without an end is dropped.
     """
     rows = _affected(df, feed_source, withdrawn).filter(~F.col("status").isin(*NOT_AFFECTED))
-    ranges = F.transform(F.coalesce("a.ranges", F.array().cast(
-        "array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>")), _range_columns)
+    ranges = F.flatten(F.transform(F.coalesce("a.ranges", F.array().cast(
+        "array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>")), _intervals))
+    ranges = F.transform(ranges, _range_columns)
     usable = F.filter(ranges, lambda r: (
         ((r["raw"] != "") | (r["fixed"] != "") | (r["last_affected"] != ""))
         & ((r["range_type"] != "GIT") | (r["fixed"] != "") | (r["last_affected"] != ""))))
@@ -170,6 +186,7 @@ def osv_notaffected(df: DataFrame, feed_source: str = "osv", withdrawn: bool = F
                        F.col("status").alias("reason"))
 
 
+# Metric versions from the best to the worst.
 METRICS = ("cvssMetricV31", "cvssMetricV40", "cvssMetricV30", "cvssMetricV2")
 
 
@@ -182,7 +199,7 @@ def nvd_advisories(df: DataFrame, feed_source: str = "nvd") -> DataFrame:
                                  lambda w: F.transform(w["description"], lambda d: F.upper(F.trim(d["value"])))))
     return rows.select(
         F.col("id").alias("advisory_id"), F.array().cast("array<string>").alias("aliases"), F.col("id").alias("cve_id"),
-        F.substring(F.trim(blank(title)), 1, 500).alias("title"),
+        F.trim(blank(title)).alias("title"),
         F.lower(F.coalesce(F.nullif(first["cvssData"]["baseSeverity"], F.lit("")), first["baseSeverity"], F.lit(""))).alias("severity"),
         first["cvssData"]["baseScore"].alias("cvss_score"), blank(first["cvssData"]["vectorString"]).alias("cvss_vector"),
         F.array_distinct(F.filter(cwes, lambda c: c.startswith("CWE-"))).alias("cwes"), blank("published").alias("published"),
@@ -252,7 +269,7 @@ def cvelist(df: DataFrame) -> DataFrame:
     rows = rows.filter((F.col("cve_id") != "") & (F.upper(blank("cveMetadata.state")) != "REJECTED"))
     rows = rows.filter((F.col("description") != "") | (F.size("_products") > 0))
     return rows.select(
-        "cve_id", "description", F.array_join(F.slice("_products", 1, 12), "\n").alias("products"),
+        "cve_id", "description", F.array_join("_products", "\n").alias("products"),
         F.array_join(F.array_distinct(F.filter(cwes, lambda c: c != "")), ",").alias("cwes"),
         F.trim(blank("cveMetadata.assignerShortName")).alias("assigner"),
         F.substring(blank("cveMetadata.datePublished"), 1, 10).alias("published"))

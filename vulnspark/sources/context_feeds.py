@@ -138,14 +138,14 @@ def inherited_attack_rows(direct: DataFrame, kinds: DataFrame, links: DataFrame)
 
 
 def capec_detail(df: DataFrame) -> DataFrame:
-    """Prose of each attack pattern, shortened to what a page shows."""
+    """Prose of each attack pattern: whole prerequisites and the first step."""
     step = F.regexp_extract(blank(csv_column(df, "Execution Flow")), r"(?s)DESCRIPTION:(.*?)(?::TECHNIQUE:|::STEP:|$)", 1)
     text = lambda *names: F.trim(blank(csv_column(df, *names)))
     return df.select(
         capec_id(df).alias("capec"), text("Name").alias("name"), text("Abstraction").alias("abstraction"), text("Typical Severity").alias("severity"),
         text("Likelihood Of Attack").alias("likelihood"),
-        F.substring(F.trim(F.regexp_replace(text("Prerequisites"), r"\s*::\s*", " ")), 1, 600).alias("prerequisites"),
-        F.substring(F.regexp_replace(F.trim(step), r"^[: ]+|[: ]+$", ""), 1, 400).alias("first_step")).filter("capec <> ''")
+        F.trim(F.regexp_replace(text("Prerequisites"), r"\s*::\s*", " ")).alias("prerequisites"),
+        F.regexp_replace(F.trim(step), r"^[: ]+|[: ]+$", "").alias("first_step")).filter("capec <> ''")
 
 
 def attack_mitigations(objects: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def attack_mitigations(objects: DataFrame) -> DataFrame:
     targets = objects.filter("type = 'attack-pattern'").select(F.col("id").alias("target_ref"), mitre_id().alias("technique"))
     links = objects.filter("type = 'relationship' and relationship_type = 'mitigates'").select("source_ref", "target_ref", "description")
     rows = links.join(actions.filter("mitigation <> ''"), "source_ref").join(targets.filter("technique <> ''"), "target_ref")
-    return rows.select("technique", "mitigation", "mitigation_name", F.substring(F.trim(blank("description")), 1, 600).alias("description"))
+    return rows.select("technique", "mitigation", "mitigation_name", F.trim(blank("description")).alias("description"))
 
 
 def kev_attack(df: DataFrame) -> DataFrame:
