@@ -49,7 +49,7 @@ def test_upgrade_is_found_and_then_closed(spark, tmp_path):
     load(store, spark, T0 - 4000)
     scan(scans, "a-1.ndjson", "a", T0, "3.0.13-0ubuntu3.4")
     scan(scans, "b-1.ndjson", "b", T0, "3.0.13-0ubuntu3.9")
-    ingest(store, read_inventory(spark, str(scans / "*-1.ndjson")))
+    ingest(store, read_inventory(spark, str(scans / "*-1.ndjson")), "1")
     hourly(store, T0 + 600)
     rows = store.read_state("findings_state").collect()
     assert [(r.hostname, r.cve_id, r.status, r.confidence, r.times_seen) for r in rows] == [("a", "CVE-2026-1", "open", "high", 1)]
@@ -58,7 +58,7 @@ def test_upgrade_is_found_and_then_closed(spark, tmp_path):
     assert store.read_state("openstate_host").first().findings == 1
     # The upgraded host is matched again, reports nothing, and the finding closes as upgraded.
     scan(scans, "a-2.ndjson", "a", T0 + 7200, "3.0.13-0ubuntu3.5")
-    ingest(store, read_inventory(spark, str(scans / "a-2.ndjson")))
+    ingest(store, read_inventory(spark, str(scans / "a-2.ndjson")), "2")
     hourly(store, T0 + 7800)
     (row,) = store.read_state("findings_state").collect()
     assert (row.status, row.closure_reason, row.mitigation) == ("mitigated", "upgraded", "3.0.13-0ubuntu3.4 -> 3.0.13-0ubuntu3.5")
@@ -78,6 +78,78 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert store.read_state("stream_progress").first().batch_id == 0
 
 
+class Stop(Exception):
+    pass
+
+
+def stop_after(store, writes):
+    """Make the store fail after so many writes."""
+    left = [writes]
+    for name in ("replace_state", "append_events"):
+        def step(*a, _f=getattr(StateStore, name).__get__(store), **k):
+            if left[0] == 0:
+                raise Stop
+            left[0] -= 1
+            return _f(*a, **k)
+        setattr(store, name, step)
+
+
+def outcome(store):
+    rows = sorted((r.finding_key, r.times_seen, r.status, r.last_match_run) for r in store.read_state("findings_state").collect())
+    return rows, store.read_events("scan_component").count(), store.read_events("findings").count(), sorted(map(tuple, store.read_state("foldstate").collect()))
+
+
+def test_a_run_stopped_anywhere_and_repeated_gives_the_same_state(spark, tmp_path):
+    scans = tmp_path / "scans"
+    scans.mkdir()
+    scan(scans, "a-1.ndjson", "a", T0, "3.0.13-0ubuntu3.4")
+    records = read_inventory(spark, str(scans / "a-1.ndjson"))
+
+    def fresh(name):
+        store = StateStore(spark, str(tmp_path / name))
+        load(store, spark, T0 - 4000)
+        return store
+
+    whole = fresh("whole")
+    ingest(whole, records, "1")
+    hourly(whole, T0 + 600)
+    for writes in (13, 18):
+        store = fresh(f"stopped-{writes}")
+        with pytest.raises(Stop):
+            stop_after(store, writes)
+            ingest(store, records, "1")
+            hourly(store, T0 + 600)
+        store = StateStore(spark, str(tmp_path / f"stopped-{writes}"))
+        ingest(store, records, "1")
+        hourly(store, T0 + 600)
+        assert outcome(store) == outcome(whole), writes
+    # A second run inside the fold window finds nothing new and counts nothing again.
+    before = outcome(whole)[0]
+    hourly(whole, T0 + 700)
+    assert outcome(whole)[0] == before and before[0][1] == 1
+
+
+def test_fleet_without_containers_ports_or_heartbeats(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path / "state"))
+    load(store, spark, T0 - 4000)
+    (tmp_path / "c.ndjson").write_text(json.dumps({"hostname": "a", "scanned_at": stamp(T0), "name": "openssl", "type": "deb", "version": "3.0.13-0ubuntu3.4", "os_id": "ubuntu",
+                                                   "os_version_id": "24.04", "locations": ["/var/lib/dpkg/status.d/openssl"], "purl": "pkg:deb/ubuntu/openssl@1?distro=ubuntu-24.04"}) + "\n")
+    ingest(store, read_inventory(spark, str(tmp_path / "c.ndjson")), "1")
+    hourly(store, T0 + 600)
+    assert [r.status for r in store.read_state("findings_state").collect()] == ["open"]
+
+
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path))
+    for i in range(4):
+        store.replace_state(spark.createDataFrame([(i,)], "v int"), "t")
+        if i == 0:
+            reader = store.read_state("t")
+    assert [r.v for r in reader.collect()] == [0] and [r.v for r in store.read_state("t").collect()] == [3]
+    store.replace_state(spark.createDataFrame([(9,)], "v int"), "t", grace=-1)
+    assert len(store.versions("t")) == 1
+
+
 def test_feed_flip_refuses_an_empty_table(spark, tmp_path):
     store = StateStore(spark, str(tmp_path / "state"))
     load(store, spark, T0)
@@ -100,7 +172,7 @@ def test_unfinished_version_is_not_read(spark, tmp_path):
 
 def test_retention_drops_old_days(spark, tmp_path):
     store = StateStore(spark, str(tmp_path))
-    store.append_events(spark.createDataFrame([("2026-01-01", 1), ("2026-02-01", 2)], "day string, v int"), "x")
+    store.append_events(spark.createDataFrame([("2026-01-01", 1), ("2026-02-01", 2)], "day string, v int"), "x", "1")
     assert store.expire_partitions("x", 10, T0 + 35 * 86400) == ["day=2026-01-01"]
     assert [r.v for r in store.read_events("x").collect()] == [2]
 

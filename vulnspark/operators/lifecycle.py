@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vulnspark.functions.text import age_days, blank, duration_text, present, stamp_text, unescape_path
 from vulnspark.operators.generic import (
-    earliest, latest, lookup, newest_rows, upsert,
+    count_when, earliest, latest, lookup, newest_rows, upsert,
 )
 from vulnspark.operators.identity import primary_path, with_role
 from vulnspark.operators.inventory import with_dirty_flag
@@ -68,11 +68,16 @@ def lifecycle_full(events: DataFrame, hoststate: DataFrame, matchstate: DataFram
 def fold(state: DataFrame, events: DataFrame, now: int, recount: bool = True) -> tuple[DataFrame, DataFrame]:
     """Fold new events into the finding table: (touched rows, fold receipts per host).
 
-    First sightings and acceptance are carried from the old row. With
-    ``recount`` false (a catch-up over events that may have been folded
-    before) an existing count is kept, so nothing is counted twice.
+    First sightings and acceptance are carried from the old row. A sighting
+    counts only if its run is newer than the last one in the old row, so
+    windows may overlap and a run may be folded again. With ``recount``
+    false (a catch-up over events of any age) an existing count is kept.
     """
-    seen = F.count(F.lit(1)) if recount else F.count_distinct("match_run")
+    if recount and "last_match_run" in state.columns:
+        events = lookup(events, state, ["finding_key"], {"last_match_run": "_folded_run"})
+        seen = count_when(F.col("_folded_run").isNull() | (F.col("match_run") > F.col("_folded_run")))
+    else:
+        seen = F.count(F.lit(1)) if recount else F.count_distinct("match_run")
     window = summarise_events(events, seen)
     carried = [c for c in CARRIED if c in state.columns]
     rows = lookup(window, state, ["finding_key"], {

@@ -1,20 +1,25 @@
 """The hourly job graph: one function that runs the operators in order over a state store.
 
 Every step reads written tables and writes a new version of one, so a lost
-executor repeats a step and a lost driver restarts at the last complete one.
+executor repeats a step. A run may be repeated with the same ``now`` from the
+start, wherever it stopped: its events take the place of their batch, rows of
+state are replaced by key, and a run that a finding has already counted is
+not counted again.
 """
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.functions.text import stamp_text
 from vulnspark.operators import evidence, exceptions, inventory, lifecycle, matching, rollups
 from vulnspark.operators.generic import first_per_key
-from vulnspark.params import Params
-from vulnspark.schemas import STATE
-from vulnspark.sources.inventory import split_records
+from vulnspark.params import DAY, RETENTION_DAYS, Params
+from vulnspark.schemas import EVENTS, STATE
+from vulnspark.sources.inventory import record_schema, split_records
 from vulnspark.sources.state import StateStore
 
 FINDING_EVENT = ("finding_key", "hostname", "package", "ecosystem", "path", "scope", "scope_id", "cve_id", "advisory_id", "installed_version",
@@ -44,14 +49,27 @@ def _day(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("day", stamp_text(F.col(column), "yyyy-MM-dd"))
 
 
-def ingest(store: StateStore, records: DataFrame) -> None:
-    """Append a batch of scan records to the event tables, by kind and day."""
+def ingest(store: StateStore, records: DataFrame, batch: str) -> None:
+    """Add a batch of scan records to the event tables, by kind and day; a repeated batch changes nothing."""
     for kind, rows in split_records(records).items():
-        store.append_events(_day(rows.drop("_corrupt"), "scanned_at"), f"scan_{kind}")
+        store.append_events(_day(rows.drop("_corrupt"), "scanned_at"), f"scan_{kind}", batch)
+
+
+def _scans(store: StateStore, kind: str, now: int) -> DataFrame:
+    """Scan records of a kind that retention still holds; days before that are not read."""
+    return store.read_events(f"scan_{kind}", record_schema(store.spark), _day_text(now - RETENTION_DAYS["inventory"] * DAY))
+
+
+def _day_text(t: int) -> str:
+    return datetime.datetime.fromtimestamp(t, datetime.timezone.utc).strftime("%Y-%m-%d")
+
+
+def _run(now: int) -> str:
+    return f"run-{now}"
 
 
 def snapshot_hosts(store: StateStore, now: int, p: Params) -> None:
-    comps, beats = store.read_events("scan_component"), store.read_events("scan_heartbeat")
+    comps, beats = _scans(store, "component", now), _scans(store, "heartbeat", now)
     seen = comps.select("hostname", "scanned_at", "os_id", "os_version_id").unionByName(
         beats.select("hostname", "scanned_at", "os_id", "os_version_id", "architecture", "machine_id", "digest"), allowMissingColumns=True)
     store.replace_state(_shaped(inventory.host_state(seen, _state(store, "hoststate")), "hoststate"), "hoststate")
@@ -59,9 +77,9 @@ def snapshot_hosts(store: StateStore, now: int, p: Params) -> None:
     hosts = _state(store, "hoststate")
     manifest = inventory.scan_manifest(beats, comps, _state(store, "scanstate"), hosts, now, p)
     store.replace_state(_shaped(manifest, "scanstate"), "scanstate")
-    ports = evidence.listening_ports(store.read_events("scan_exposure"), _state(store, "exposure"), hosts, now, p)
+    ports = evidence.listening_ports(_scans(store, "exposure", now), _state(store, "exposure"), hosts, now, p)
     store.replace_state(_shaped(ports, "exposure"), "exposure")
-    boxes = evidence.containers(store.read_events("scan_container"), _state(store, "containers"), hosts, now, p)
+    boxes = evidence.containers(_scans(store, "container", now), _state(store, "containers"), hosts, now, p)
     store.replace_state(_shaped(boxes, "containers"), "containers")
     store.replace_state(_shaped(inventory.host_cadence(hosts, _state(store, "hostcadence"), now, p), "hostcadence"), "hostcadence")
 
@@ -69,8 +87,8 @@ def snapshot_hosts(store: StateStore, now: int, p: Params) -> None:
 def match_dirty(store: StateStore, now: int, p: Params) -> None:
     """Match what changed and append findings and receipts."""
     feed_gen = str(store.live_generation())
-    latest = inventory.latest_inventory(store.read_events("scan_component"))
-    digests = inventory.host_digest(store.read_events("scan_heartbeat"), latest)
+    latest = inventory.latest_inventory(_scans(store, "component", now))
+    digests = inventory.host_digest(_scans(store, "heartbeat", now), latest)
     store.replace_state(digests, "digests")
     dirty = inventory.dirty_hosts(store.read_state("digests"), _state(store, "matchstate"), feed_gen, now, p)
     todo = matching.dirty_inventory(latest, dirty, _state(store, "containers"))
@@ -79,22 +97,27 @@ def match_dirty(store: StateStore, now: int, p: Params) -> None:
     found = matching.match(todo, store.read_feed("ranges"), store.read_feed("notaffected"), store.read_feed("advisories"))
     events = found.select(*[c for c in FINDING_EVENT if c in found.columns], F.col("scanned_at").alias("scan_time"),
                           F.lit(now).cast("bigint").alias("match_run"), F.lit(now).cast("bigint").alias("ingested_at"))
-    store.append_events(_day(events, "ingested_at"), "findings")
-    run = store.read_events("findings").filter(F.col("match_run") == now)
+    store.append_events(_day(events, "ingested_at"), "findings", _run(now))
+    run = store.read_events("findings", EVENTS["findings"], _day_text(now)).filter(F.col("match_run") == now)
     proof = matching.receipts(todo, run, now, feed_gen).withColumn("ingested_at", F.lit(now).cast("bigint"))
-    store.append_events(_day(proof, "ingested_at"), "receipts")
+    store.append_events(_day(proof, "ingested_at"), "receipts", _run(now))
 
 
 def maintain_findings(store: StateStore, now: int, p: Params) -> None:
     """Fold, acknowledge, close, checkpoint, reconcile and archive, in that order."""
-    events, receipts = store.read_events("findings"), store.read_events("receipts")
-    inv = inventory.inventory_state(events, store.read_events("scan_component"), _state(store, "invstate"), _state(store, "hoststate"), now, p)
+    week = _day_text(now - p.ack_window)
+    events, receipts = store.read_events("findings", EVENTS["findings"], week), store.read_events("receipts", EVENTS["receipts"], week)
+    inv = inventory.inventory_state(events, _scans(store, "component", now), _state(store, "invstate"), _state(store, "hoststate"), now, p)
     store.replace_state(_shaped(inv, "invstate"), "invstate")
     _built(store, "invstate", now)
-    fresh = events.filter(F.col("ingested_at") > now - p.fold_window)
+    # Runs that a host's last fold has not seen; the rows are written before the receipts that vouch for them.
+    done = _state(store, "foldstate").select("hostname", "state_run")
+    fresh = events.join(done, "hostname", "left").filter(
+        F.col("state_run").isNull() | (F.col("match_run") > F.col("state_run")) | (F.col("match_run") == now)).drop("state_run")
     rows, folded = lifecycle.fold(_state(store, "findings_state"), fresh, now)
-    store.upsert_state(folded, "foldstate", ["hostname"])
+    store.replace_state(folded, "fold_receipts")
     store.upsert_state(_shaped(rows, "findings_state"), "findings_state", ["finding_key"])
+    store.upsert_state(store.read_state("fold_receipts"), "foldstate", ["hostname"])
     recent = receipts.filter(F.col("ingested_at") > now - p.ack_window)
     acked = lifecycle.acknowledge(recent, _state(store, "foldstate"), _state(store, "snapshot_meta"), _state(store, "matchstate"), now, p)
     store.upsert_state(_shaped(acked, "matchstate"), "matchstate", ["hostname"])
@@ -109,7 +132,7 @@ def maintain_findings(store: StateStore, now: int, p: Params) -> None:
     store.upsert_state(_shaped(silent, "findings_state"), "findings_state", ["finding_key"])
     expired, kept = lifecycle.archive_expired(_state(store, "findings_state"), _state(store, "hoststate"), _state(store, "hostcadence"),
                                               _state(store, "snapshot_meta"), now, p)
-    store.append_events(_day(expired, "archived_at"), "findings_archive")
+    store.append_events(_day(expired, "archived_at"), "findings_archive", _run(now))
     store.replace_state(_shaped(kept, "findings_state"), "findings_state")
 
 
@@ -128,6 +151,15 @@ def hourly(store: StateStore, now: int, p: Params = Params()) -> None:
     match_dirty(store, now, p)
     maintain_findings(store, now, p)
     roll_up(store, now)
+    expire(store, now)
+
+
+def expire(store: StateStore, now: int) -> None:
+    """Drop event days older than their retention."""
+    for kind in ("component", "heartbeat", "exposure", "container", "link", "config"):
+        store.expire_partitions(f"scan_{kind}", RETENTION_DAYS["inventory"], now)
+    for name, kept in (("findings", "findings"), ("receipts", "findings"), ("findings_archive", "findings_archive")):
+        store.expire_partitions(name, RETENTION_DAYS[kept], now)
 
 
 def newest_batch(progress: DataFrame, stream: str) -> DataFrame:

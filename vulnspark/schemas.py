@@ -75,4 +75,17 @@ STATE = {
         "expires_at string, revoked_at string, match_key string, active_match_key string, control string"),
     "snapshot_meta": "name string, built_at bigint",
     "stream_progress": "stream string, batch_id bigint",
+    "stream_runs": "stream string, batch_id bigint, now bigint",
+}
+
+#: Event tables of the hourly run, used when one has no events yet; scan tables follow from the record split.
+EVENTS = {
+    "findings": (
+        "finding_key string, hostname string, package string, ecosystem string, path string, scope string, scope_id string, "
+        "cve_id string, advisory_id string, installed_version string, fixed_version string, confidence string, "
+        "match_authority string, severity string, epss double, kev_added string, kev_due string, url string, title string, "
+        "scan_time bigint, match_run bigint, ingested_at bigint"),
+    "receipts": (
+        "hostname string, components_matched bigint, findings_produced bigint, match_run bigint, match_feed_gen string, "
+        "ingested_at bigint"),
 }

@@ -47,6 +47,11 @@ def stream_inventory(spark: SparkSession, folder: str, max_files: int = 1000,
     return _normalised(kept.withColumnRenamed(version_field, "collector_version"))
 
 
+def record_schema(spark: SparkSession):
+    """The schema of parsed records."""
+    return _normalised(spark.createDataFrame([], INVENTORY_RECORD)).drop("_corrupt").schema
+
+
 def split_records(df: DataFrame) -> dict[str, DataFrame]:
     """Records by kind: components carry no record type."""
     out = {"component": df.filter(F.col("record_type").isNull() & F.col("_corrupt").isNull())}

@@ -2,8 +2,11 @@
 
 A state table is a series of complete versions, and the newest folder with
 a ``_SUCCESS`` marker is the table; a lost job leaves an unmarked folder
-that no reader sees. Feed tables are partitioned by generation, so reading
-the live generation prunes the rest.
+that no reader sees. A version goes only when the one after it has been
+complete for longer than READER_GRACE, so a running reader keeps its files.
+Event tables are partitioned by day and batch, and a batch written again
+replaces itself. Feed tables are partitioned by generation, so reading the
+live generation prunes the rest.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ from vulnspark.operators.generic import upsert
 from vulnspark.params import DAY
 
 
+#: How long a superseded version stays readable, in seconds.
+READER_GRACE = 6 * 3600
+
+
 class StateStore:
     """Versioned state tables and append-only event tables under one shared folder."""
 
@@ -56,25 +63,43 @@ class StateStore:
         df = self.spark.read.parquet(f"{self.root}/{name}/v={versions[-1]:012d}")
         return df if predicate is None else df.filter(predicate)
 
-    def replace_state(self, df: DataFrame, name: str, keep: int = 2, partition_by: list[str] = ()) -> int:
-        """Write a new complete version and drop all but the newest ``keep``."""
+    def _completed(self, name: str, version: int) -> int:
+        """When a version was complete, in the file system's milliseconds."""
+        fs, target = self._fs(f"{self.root}/{name}/v={version:012d}/_SUCCESS")
+        return fs.getFileStatus(target).getModificationTime()
+
+    def replace_state(self, df: DataFrame, name: str, grace: int = READER_GRACE, partition_by: list[str] = ()) -> int:
+        """Write a new complete version and drop those superseded for longer than ``grace`` seconds."""
         number = max(self.versions(name), default=0) + 1
         path = f"{self.root}/{name}/v={number:012d}"
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        for old in self.versions(name)[:-keep]:
-            self._remove(f"{self.root}/{name}/v={old:012d}")
+        written = self._completed(name, number)
+        versions = self.versions(name)
+        for old, after in zip(versions, versions[1:], strict=False):
+            if written - self._completed(name, after) > grace * 1000:
+                self._remove(f"{self.root}/{name}/v={old:012d}")
         return number
 
     def upsert_state(self, new: DataFrame, name: str, keys: list[str]) -> int:
         old = self.read_state(name) if self.versions(name) else empty(self.spark, new.schema)
         return self.replace_state(upsert(old, new, keys), name)
 
-    def append_events(self, df: DataFrame, name: str, day: str = "day") -> None:
-        df.write.mode("append").partitionBy(day).parquet(f"{self.root}/events/{name}")
+    def append_events(self, df: DataFrame, name: str, batch: str, day: str = "day") -> None:
+        """Add a batch of events; the same batch written again takes its own place."""
+        rows = df.withColumn("batch", F.lit(batch))
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day, "batch")
+         .parquet(f"{self.root}/events/{name}"))
 
-    def read_events(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/events/{name}")
+    def read_events(self, name: str, schema=None, since: str | None = None, day: str = "day") -> DataFrame:
+        """Events of a table, from the day ``since`` on; one without events is empty with the given schema."""
+        path = f"{self.root}/events/{name}"
+        if not any(c.startswith(f"{day}=") for c in self._children(path)):
+            if schema is None:
+                raise FileNotFoundError(f"no events {name}")
+            return empty(self.spark, schema).withColumns({day: F.lit(""), "batch": F.lit("")})
+        df = self.spark.read.option("basePath", path).parquet(path).withColumn(day, F.col(day).cast("string"))
+        return df if since is None else df.filter(F.col(day) >= since)
 
     def expire_partitions(self, name: str, days: int, now: int, day: str = "day") -> list[str]:
         """Drop the day partitions of an event table that are older than its retention."""
@@ -119,7 +144,8 @@ class StateStore:
         self.replace_state(state, "feedstate")
         for name in tables:
             for child in self._children(f"{self.root}/feed/{name}"):
-                if re.fullmatch(r"gen=\d+", child) and int(child[4:]) != gen:
+                # The generation before stays for readers that began under it.
+                if re.fullmatch(r"gen=\d+", child) and int(child[4:]) < live:
                     self._remove(f"{self.root}/feed/{name}/{child}")
         return counts
 

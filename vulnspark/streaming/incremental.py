@@ -25,18 +25,29 @@ def mark_done(store: StateStore, stream: str, batch_id: int) -> None:
     store.upsert_state(row, "stream_progress", ["stream"])
 
 
+def run_time(store: StateStore, stream: str, batch_id: int, clock) -> int:
+    """The time of a batch's run: fixed before it starts, so a repeated batch runs under the same one."""
+    known = store.read_state("stream_runs", STATE["stream_runs"]).filter((F.col("stream") == stream) & (F.col("batch_id") == batch_id)).first()
+    if known is not None:
+        return known["now"]
+    now = int(clock())
+    store.upsert_state(store.spark.createDataFrame([(stream, batch_id, now)], STATE["stream_runs"]), "stream_runs", ["stream"])
+    return now
+
+
 def run_stream(spark: SparkSession, folder: str, store: StateStore, checkpoint: str, clock, p: Params = Params(),
                trigger: dict | None = None) -> StreamingQuery:
     """Scan files into the event tables and one maintenance run per micro-batch.
 
-    The checkpoint takes each file once; a replayed batch is recognised by
-    its recorded id, so nothing is appended or counted twice.
+    The checkpoint takes each file once. A batch that was committed is
+    recognised by its recorded id; one that stopped half-way is done again
+    under the same batch name and time, so nothing is added or counted twice.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         if already_done(store, "inventory", batch_id):
             return
-        ingest(store, batch)
-        hourly(store, clock(), p)
+        ingest(store, batch, f"inventory-{batch_id}")
+        hourly(store, run_time(store, "inventory", batch_id, clock), p)
         mark_done(store, "inventory", batch_id)
 
     return (stream_inventory(spark, folder).writeStream.foreachBatch(handle)
@@ -51,8 +62,9 @@ def fold_stream(events: DataFrame, store: StateStore, checkpoint: str, now: int,
         state = store.read_state("findings_state", STATE["findings_state"])
         rows, receipts = lifecycle.fold(state, batch, now)
         keep = [c for c in rows.columns if c in state.columns]
-        store.upsert_state(receipts, "foldstate", ["hostname"])
+        store.replace_state(receipts, "fold_receipts")
         store.upsert_state(rows.select(keep), "findings_state", ["finding_key"])
+        store.upsert_state(store.read_state("fold_receipts"), "foldstate", ["hostname"])
         mark_done(store, "fold", batch_id)
 
     return (events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
