@@ -6,6 +6,7 @@ import numpy as np
 from texts import sentence
 
 from vulnspark.llm import dart_minhash as dm
+from vulnspark.llm import linking
 
 
 def jaccard(a, b):
@@ -50,7 +51,9 @@ def test_agreement_is_the_weighted_similarity(rng):
     a = (np.sort(hashes[:200]), np.array([1 + i % 5 for i in range(200)]))
     b = (np.sort(hashes[60:260]), np.array([1 + i % 3 for i in range(200)]))
     s = dm.signatures([a, b], 4000)
-    assert abs(float((s[0] == s[1]).mean()) - dm.similarity(a, b)) < 0.03
+    both = {h: w for h, w in zip(*a, strict=True)}, {h: w for h, w in zip(*b, strict=True)}
+    least = sum(min(both[0].get(h, 0), both[1].get(h, 0)) for h in {*both[0], *both[1]})
+    assert abs(float((s[0] == s[1]).mean()) - least / (sum(a[1]) + sum(b[1]) - least)) < 0.03
 
 
 def test_signature_does_not_depend_on_company(rng):
@@ -72,6 +75,32 @@ def test_classes_equal_brute_force(spark, docs_of, rng):
     assert got == brute(rows)
 
 
+def test_small_blocks_lose_no_link(spark, docs_of, rng, monkeypatch):
+    """Copies of a text that is not there: some pairs are alike, no hub is alike to all."""
+    monkeypatch.setattr(linking, "BLOCK_BYTES", 4000)
+    base = sentence(rng, 100)
+    rows = [(j, edited(rng, base, 1 + j % 4)) for j in range(70)]
+    got = {r.doc_id: (r.class_id, r.class_size) for r in dm.near_duplicates(docs_of(rows)).collect()}
+    assert got == brute(rows) and len({c for c, _ in got.values()}) > 3
+
+
+def test_forest_joins_what_pairs_join(rng):
+    sets = [np.unique(np.array([rng.randrange(30) for _ in range(20)], np.uint64)) for _ in range(40)]
+    groups = [i // 2 for i in range(40)]
+    links = linking.forest(sets, groups, 0.5)
+    alike = [(i, j) for i in range(40) for j in range(i) if linking.alike(sets[i], sets[j], 0.5)]
+
+    def parts(pairs):
+        root = {g: g for g in groups}
+        for _ in groups:
+            for i, j in pairs:
+                a, b = root[groups[i]], root[groups[j]]
+                root = {g: min(a, b) if r in (a, b) else r for g, r in root.items()}
+        return root
+
+    assert parts(links) == parts(alike) and all(linking.alike(sets[i], sets[j], 0.5) for i, j in links) and len(links) < len(set(groups))
+
+
 def test_survivors_keep_one_of_each_class(spark, docs_of, rng):
     base = sentence(rng, 80)
     rows = [(5, base), (3, base + " x"), (9, sentence(rng, 60)), (3, base + " x")]

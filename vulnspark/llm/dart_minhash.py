@@ -93,11 +93,16 @@ def weighted_set(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles(hashes, SHINGLE_WORDS), return_counts=True)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard: sum of smaller over sum of larger weights."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    return both / (int(a[1].sum()) + int(b[1].sum()) - both)
+def elements():
+    """A function from a text to its shingles, each as often as it occurs: Jaccard over these is the weighted one."""
+    memory = WordHashes()
+
+    def of(text: str) -> np.ndarray:
+        found, weight = weighted_set(memory.of(words_of(text)))
+        number = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+        return mix(np.repeat(found, weight) + number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    return of
 
 
 def node_of(text: Column) -> Column:
@@ -131,25 +136,6 @@ def band_keys(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(sign, "doc_id string, node long, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are at least SIMILARITY alike, by exact weighted Jaccard."""
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory = WordHashes()
-        last, first = None, None
-        for batch in batches:
-            keep = []
-            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
-                if a != last:
-                    last, first = a, weighted_set(memory.of(words_of(ta)))
-                keep.append(similarity(first, weighted_set(memory.of(words_of(tb)))) >= SIMILARITY)
-            yield batch.loc[keep, ["a", "b"]]
-
-    one = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    two = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long")
-
-
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of every document, and (node, class_id, class_size) of every node; class_id is the smallest id."""
     signed = stored(band_keys(docs), "darts")
@@ -159,7 +145,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = shared.select("node").distinct()
     texts = docs.select(node_of(F.col("text")).alias("node"), text_or_empty().alias("text")).join(wanted, "node", "left_semi")
     texts = stored(texts.dropDuplicates(["node"]), "texts")
-    groups = linked(shared, lambda pairs: verified(pairs, texts))
+    groups = linked(shared, texts, elements, SIMILARITY)
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_copies"))
     nodes = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = nodes.groupBy("component").agg(F.min("_least").alias("class_id"), F.sum("_copies").alias("class_size"))

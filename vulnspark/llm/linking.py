@@ -1,39 +1,137 @@
-"""From band keys to verified components, for any pairwise check.
+"""From band keys to verified components, for any sets made of texts.
 
-In a bucket every node is first checked against one hub, the smallest, so a
-bucket takes as many checks as it has members. Components of the links
-found then show which buckets still hold nodes that are apart. Only their
-unchecked pairs across components are checked one by one, so every pair of
-a bucket is either checked or already joined by a chain of links.
+In a bucket every node is first checked against one hub, so a bucket takes
+as many checks as it has members. The hub is the member that shares most
+buckets with others: the original of a large group of copies rather than
+one of the copies. Components of the links found then show which buckets
+still hold nodes that are apart, and only nodes of those go on. There every
+pair across components is decided exactly, but pairs never become rows: a
+bucket is cut into blocks of bounded bytes, one cell for two blocks holds
+an inverted index of their elements, counts all overlaps of a member in one
+pass and returns at most the links of a spanning forest. So every pair of a
+bucket is either checked or already joined by a chain of links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.llm.common import stored
 from vulnspark.llm.components import components
 
+#: Text of one block of a bucket; a cell holds two.
+BLOCK_BYTES = 2 << 20
+
+#: Makes, in a task, the function from a text to its different elements.
+Elements = Callable[[], Callable[[str], np.ndarray]]
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets of different elements is high enough."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
-    """key, node, hub for every bucket with two nodes or more; ``bands`` has (key, node), nodes being random 64-bit values."""
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_top")).filter("hub < _top").select("key", "hub")
-    return stored(bands.join(hubs, "key"), "shared")
+    """key, node, hub for every bucket with two nodes or more; ``bands`` has (key, node)."""
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_lo"), F.max("node").alias("_hi"))
+    sizes = sizes.filter("_lo < _hi").select("key", "_n")
+    shared = stored(bands.join(sizes, "key"), "buckets")
+    known = shared.groupBy("node").agg(F.sum("_n").alias("_known"))
+    ranked = shared.join(known, "node").groupBy("key").agg(F.max(F.struct("_known", "node")).alias("_best"))
+    return stored(shared.select("key", "node").join(ranked.select("key", F.col("_best.node").alias("hub")), "key"), "shared")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, elements: Elements, similarity: float) -> DataFrame:
+    """The true ones of pairs (a, b) of nodes; ``texts`` has node and text, once each."""
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, last, first = elements(), None, None
+        for batch in batches:
+            keep = []
+            for a, x, y in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
+                if a != last:
+                    last, first = a, of(x)
+                keep.append(alike(first, of(y), similarity))
+            yield batch.loc[keep, ["a", "b"]]
+
+    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ba")
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long")
+
+
+def forest(sets: list[np.ndarray], groups: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Links (places in the lists) that join all groups which some pair of alike sets joins."""
+    parent = {g: g for g in groups}
+
+    def root(g):
+        while parent[g] != g:
+            parent[g] = g = parent[parent[g]]
+        return g
+
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(element, kind="stable")
+    bounds = np.searchsorted(element[order], np.arange(element.max() + 2))
+    holders, starts = owner[order], np.cumsum(sizes) - sizes
+    names, counts = np.unique(groups, return_counts=True)
+    largest, out = int(names[counts.argmax()]), []
+    for i, g in enumerate(groups):
+        if g == largest:  # its members meet all others when those take their turn
+            continue
+        own = element[starts[i] : starts[i] + sizes[i]]
+        n = bounds[own + 1] - bounds[own]
+        at = np.arange(n.sum()) + np.repeat(bounds[own] - (np.cumsum(n) - n), n)
+        both = np.bincount(holders[at], minlength=len(sets))
+        for j in np.flatnonzero(both >= similarity * (sizes[i] + sizes - both)).tolist():
+            a, b = root(g), root(groups[j])
+            if a != b:
+                parent[a] = b
+                out.append((i, j))
+    return out
+
+
+def _across(apart: DataFrame, texts: DataFrame, elements: Elements, similarity: float) -> DataFrame:
+    """Links (a, b) that join components within buckets; ``apart`` has key, node, component."""
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, place, nodes, groups, sets = elements(), None, [], [], []
+
+        def close():
+            if len(set(groups)) > 1:
+                links = forest(sets, groups, similarity)
+                return pd.DataFrame({"a": [nodes[i] for i, _ in links], "b": [nodes[j] for _, j in links]}, dtype="int64")
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+        for batch in batches:
+            for key, i, j, node, group, text in zip(*(batch[c] for c in ("key", "i", "j", "node", "component", "text")), strict=True):
+                if (key, i, j) != place:
+                    yield close()
+                    place, nodes, groups, sets = (key, i, j), [], [], []
+                nodes.append(node)
+                groups.append(group)
+                sets.append(of(text))
+        yield close()
+
+    with_text = apart.join(texts, "node")
+    blocks = with_text.groupBy("key").agg(F.ceil(F.sum(F.length("text")) / BLOCK_BYTES).alias("_blocks"))
+    rows = with_text.join(blocks, "key").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    rows = rows.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "component", "text")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInPandas(cells, "a long, b long")
 
 
-def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``node`` and ``component`` of every node with a verified link; ``verify`` keeps the true ones of pairs (a, b)."""
+def linked(shared: DataFrame, texts: DataFrame, elements: Elements, similarity: float) -> DataFrame:
+    """``node`` and ``component`` of every node with a verified link."""
     tried = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(verify(tried), "pairs")
+    links = stored(verified(tried, texts, elements, similarity), "pairs")
     groups = components(links)
     placed = shared.join(groups, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
-    apart = stored(placed.filter("node <> hub").join(mixed, "key", "left_semi").select("key", "node", "component"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(verify(rest), "pairs")
+    # The hub has met every other; a bucket is open if the rest of it is still in different components.
+    rest = placed.filter("node <> hub")
+    open_ = rest.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
+    more = stored(_across(rest.select("key", "node", "component").join(open_, "key"), texts, elements, similarity), "pairs")
     return groups if more.isEmpty() else components(links.unionByName(more))
