@@ -142,7 +142,7 @@ _PERCVE = f"""{_TRIAGE}, {_CWE}, {_VEC}, pc AS (SELECT t.cve_id, max(rr) AS peak
 
 
 def _placement_inputs(bed: Bed):
-    cover = evidence.exposure_coverage(bed.exposure.filter("port % 2 = 0"))
+    cover = evidence.exposure_coverage(bed.exposure)
     return bed.finding.filter(_OPENF), evidence.reach(bed.exposure, NOW), cover
 
 
@@ -424,11 +424,11 @@ def rollup_cve(bed: Bed):
     return rollups.rollup_cve(bed.finding).withColumn("packages", F.array_join("packages", ",")).drop("kev_due")
 
 
-@query("host_overview", f"""WITH {_OPEN}, r AS (SELECT hostname, count(*) AS n, count(DISTINCT cve_id) AS c, count_if(kev_added <> '') AS k, max(epss) AS e FROM op WHERE hostname LIKE '%1%' GROUP BY hostname)
+@query("host_overview", f"""WITH {_OPEN}, r AS (SELECT hostname, count(*) AS n, count(DISTINCT cve_id) AS c, count_if(kev_added <> '') AS k, max(epss) AS e FROM op GROUP BY hostname)
 SELECT h.hostname, h.os, h.s_suppkey AS n_components, CASE WHEN r.n IS NULL THEN 'not counted yet' ELSE concat(r.n) END AS findings, CASE WHEN r.n IS NULL THEN '' ELSE concat(r.c) END AS cves, coalesce(r.k, 0) AS kev, round(r.e * 100, 1) AS top_epss_pct FROM t_host h LEFT JOIN r ON r.hostname = h.hostname""")
 def host_overview(bed: Bed):
     matched = bed.host.select("hostname", F.col("s_suppkey").alias("n_components"))
-    rolled = rollups.rollup_host(bed.finding.filter("hostname like '%1%'"), NOW)
+    rolled = rollups.rollup_host(bed.finding, NOW)
     return rollups.host_overview(bed.host, matched, rolled, NOW).select("hostname", "os", "n_components", "findings", "cves", "kev", "top_epss_pct")
 
 

@@ -9,7 +9,7 @@ from vulnspark.functions.cvss import cvss_english, cvss_reach
 from vulnspark.operators import evidence, network
 from vulnspark.operators.generic import values
 from vulnspark.params import Params
-from vulnspark.plans.queries.registry import query
+from vulnspark.plans.queries.registry import GONE, query
 from vulnspark.plans.testbed import NOW, Bed
 from vulnspark.sources import flows
 
@@ -33,15 +33,18 @@ def exposure_coverage(bed: Bed):
     return evidence.exposure_coverage(bed.exposure)
 
 
-@query("listening_ports", """
-WITH e AS (SELECT hostname, port, protocol, coalesce(package, 'unattributed') AS package_key, scanned_at FROM t_exposure)
-SELECT DISTINCT hostname, port, protocol, package_key, scanned_at FROM e QUALIFY scanned_at = max(scanned_at) OVER (PARTITION BY hostname)""")
+@query("listening_ports", f"""
+WITH e AS (SELECT hostname, port, protocol, coalesce(package, 'unattributed') AS package_key, scanned_at FROM t_exposure
+  UNION ALL SELECT CASE WHEN port % 2 = 0 THEN concat('old-', hostname) ELSE hostname END, port, protocol, 'old', scanned_at - 50000000 FROM t_exposure)
+SELECT DISTINCT hostname, port, protocol, package_key, scanned_at FROM e WHERE {GONE} QUALIFY scanned_at = max(scanned_at) OVER (PARTITION BY hostname)""")
 def listening_ports(bed: Bed):
     # The purl form: the name is what the operator has to recover.
     purl = F.when(F.col("package").isNotNull(), F.concat(F.lit("pkg:deb/ubuntu/"), "package", F.lit("@1.0?arch=amd64"))).otherwise("null")
     rows = bed.exposure.withColumns({"purl": purl, "os_component": F.col("held_by_os").cast("string")}).drop("package", "held_by_os")
-    old = rows.limit(0).withColumns({"package": F.lit(""), "held_by_os": F.lit(0), "package_key": F.lit("")})
-    return evidence.listening_ports(rows, old, bed.host.limit(0), NOW).select("hostname", "port", "protocol", "package_key", "scanned_at")
+    # The earlier snapshot has every port: of hosts that reported since, and of others that fell silent.
+    old = bed.exposure.withColumns({"hostname": F.when(F.col("port") % 2 == 0, F.concat(F.lit("old-"), "hostname")).otherwise(F.col("hostname")),
+                                    "scanned_at": F.col("scanned_at") - 50000000, "package": F.lit("old"), "package_key": F.lit("old")})
+    return evidence.listening_ports(rows, old, bed.host, NOW).select("hostname", "port", "protocol", "package_key", "scanned_at")
 
 
 _BOXES = """
@@ -55,11 +58,11 @@ def _boxes(bed: Bed):
         F.col("l_partkey") % 4 == 1, F.array(F.lit("127.0.0.1:80"))).otherwise(F.array(F.lit("0.0.0.0:443"), F.lit("[::1]:1")))
     one = rows.groupBy("hostname", "container_id").agg(F.max(F.struct("scanned_at", "l_partkey", "state", "image_ref")).alias("m")).select("hostname", "container_id", "m.*")
     one = one.withColumns({"container_name": F.lit("null"), "runtime": F.lit("docker"), "image_digest": F.lit(""), "os_id": F.lit("debian"), "os_version_id": F.lit("12"), "endpoints": ends, "declared_endpoints": F.array(F.lit("80"))})
-    out = evidence.containers(one.drop("l_partkey"), one.limit(0).drop("l_partkey", "endpoints", "declared_endpoints"), bed.host.limit(0), NOW)
+    out = evidence.containers(one.drop("l_partkey"), one.limit(0).drop("l_partkey", "endpoints", "declared_endpoints"), bed.host, NOW)
     return out
 
 
-_BOX_SQL = f"""boxes AS (SELECT hostname, container_id, nullif(state, 'null') AS state, image_ref, l_partkey % 4 AS k FROM ({_BOXES}) QUALIFY row_number() OVER (PARTITION BY hostname, container_id ORDER BY scanned_at DESC, l_partkey DESC) = 1)"""
+_BOX_SQL = f"""boxes AS (SELECT hostname, container_id, nullif(state, 'null') AS state, image_ref, l_partkey % 4 AS k FROM ({_BOXES}) WHERE {GONE} QUALIFY row_number() OVER (PARTITION BY hostname, container_id ORDER BY scanned_at DESC, l_partkey DESC) = 1)"""
 
 
 @query("container_snapshot", f"WITH {_BOX_SQL} SELECT hostname, container_id, state, image_ref, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS n_endpoints, CASE WHEN k >= 2 THEN 1 ELSE 0 END AS n_public_endpoints FROM boxes")
@@ -68,7 +71,7 @@ def container_snapshot(bed: Bed):
 
 
 @query("container_findings", f"""WITH {_BOX_SQL} SELECT f.finding_key, CASE WHEN b.state <> 'running' AND k > 0 THEN 'declares a port' WHEN b.state <> 'running' THEN 'no declared port' WHEN k >= 2 THEN 'publishes a port' WHEN k = 1 THEN 'loopback only' ELSE 'no published port' END AS published,
-  CASE WHEN b.state <> 'running' THEN '4. stopped, still vulnerable' WHEN k >= 2 THEN '1. running and published' WHEN k = 1 THEN '2. running, loopback only' ELSE '3. running, not published' END AS ctr_tier, b.image_ref AS image_label
+  CASE WHEN b.state <> 'running' THEN '4. stopped, still vulnerable' WHEN k >= 2 THEN '1. running and published' WHEN k = 1 THEN '2. running, loopback only' ELSE '3. running, not published' END AS ctr_tier, coalesce(b.image_ref, 'unknown image') AS image_label
 FROM t_finding f LEFT JOIN boxes b ON b.hostname = f.hostname AND b.container_id = replace(f.scope_id, 'container:', '') WHERE f.status = 'open' AND f.accepted <> '1' AND f.scope = 'container'""")
 def container_findings(bed: Bed):
     found = bed.finding.filter("status = 'open' and accepted <> '1'")
@@ -79,18 +82,18 @@ _LINKS = """
 SELECT concat('host-', l_suppkey) AS hostname, CASE WHEN l_partkey % 6 = 0 THEN 'null' ELSE concat('pkg:deb/debian/pkg', l_partkey, '@1') END AS purl, concat('/bin/tool', l_partkey % 9) AS executable,
   CASE WHEN l_partkey % 3 = 0 THEN concat('pkg:deb/debian/own', l_partkey % 5, '@2') ELSE '' END AS executable_purl, concat('/lib/l', l_partkey % 50) AS path, 'so' AS soname, '' AS container_id, '/' AS root,
   CASE WHEN l_linenumber % 2 = 0 THEN 'true' ELSE 'false' END AS listening, CASE WHEN l_partkey % 12 = 0 THEN 'true' ELSE 'false' END AS os_component, CAST(77 AS BIGINT) AS scanned_at, l_partkey FROM b_lineitem"""
-_LOADED = f"""links AS ({_LINKS}), lk AS (SELECT hostname, concat('pkg', l_partkey) AS package, listening = 'true' AS lis, CASE WHEN l_partkey % 3 = 0 THEN concat('own', l_partkey % 5) ELSE concat('tool', l_partkey % 9) END AS loader FROM links WHERE purl <> 'null'),
+_LOADED = f"""links AS (SELECT * FROM ({_LINKS}) WHERE {GONE}), lk AS (SELECT hostname, concat('pkg', l_partkey) AS package, listening = 'true' AS lis, CASE WHEN l_partkey % 3 = 0 THEN concat('own', l_partkey % 5) ELSE concat('tool', l_partkey % 9) END AS loader FROM links WHERE purl <> 'null'),
 loaded AS (SELECT hostname, package, CASE WHEN bool_or(lis) THEN 3 ELSE 2 END AS load_rank, CASE WHEN bool_or(lis) THEN 'a listener loads it' ELSE 'loaded, not listening' END AS load_class, count(DISTINCT loader) AS loader_count, min(loader) AS loaders FROM lk GROUP BY ALL)"""
 
 
 def _loaded(bed: Bed):
     old = bed.spark.createDataFrame([], "hostname string, scope_key string, package string, load_class string, load_rank int, loaders string, loader_count bigint, loaded_listening int, scanned_at bigint")
-    return evidence.loaded_libraries(bed.sql(_LINKS), old, bed.host.limit(0), NOW)
+    return evidence.loaded_libraries(bed.sql(_LINKS), old, bed.host, NOW)
 
 
 def _links(bed: Bed):
     old = bed.spark.createDataFrame([], "hostname string, link_rows bigint, linked_packages bigint, listening_loaders bigint, unowned_libraries bigint, assessed_at bigint")
-    return evidence.link_coverage(bed.sql(_LINKS), old, bed.host.limit(0), NOW)
+    return evidence.link_coverage(bed.sql(_LINKS), old, bed.host, NOW)
 
 
 @query("loaded_libraries", f"WITH {_LOADED} SELECT hostname, package, load_rank, load_class, loader_count, loaders FROM loaded")
@@ -98,7 +101,7 @@ def loaded_libraries(bed: Bed):
     return _loaded(bed).select("hostname", "package", "load_rank", "load_class", "loader_count", "loaders")
 
 
-@query("link_coverage", f"""WITH l AS ({_LINKS}) SELECT hostname, count(*) AS link_rows, count(DISTINCT CASE WHEN purl <> 'null' THEN l_partkey END) AS linked_packages, count(DISTINCT executable) FILTER (listening = 'true') AS listening_loaders,
+@query("link_coverage", f"""WITH l AS (SELECT * FROM ({_LINKS}) WHERE {GONE}) SELECT hostname, count(*) AS link_rows, count(DISTINCT CASE WHEN purl <> 'null' THEN l_partkey END) AS linked_packages, count(DISTINCT executable) FILTER (listening = 'true') AS listening_loaders,
   count(DISTINCT path) FILTER (purl = 'null' AND os_component <> 'true') AS unowned_libraries FROM l GROUP BY hostname""")
 def link_coverage(bed: Bed):
     return _links(bed).drop("assessed_at")
@@ -113,7 +116,7 @@ def load_evidence(bed: Bed):
 
 
 _KEY = "CASE WHEN f.scope_id LIKE 'container:%' THEN concat('container:', substr(f.scope_id, 11, 12)) ELSE f.package END"
-_TRIAGE = f"""{_REACH}, seen AS (SELECT DISTINCT hostname FROM t_exposure WHERE port % 2 = 0),
+_TRIAGE = f"""{_REACH}, seen AS (SELECT DISTINCT hostname FROM t_exposure),
 tr AS (SELECT f.*, coalesce(r.reach_class, CASE WHEN s.hostname IS NULL THEN 'not assessed' ELSE 'no listening port' END) AS reach_class, r.chain_text, f.kev_added <> '' AS kev
   FROM t_finding f LEFT JOIN reach r ON r.hostname = f.hostname AND r.rk_key = {_KEY} LEFT JOIN seen s ON s.hostname = f.hostname WHERE f.status = 'open' AND f.accepted <> '1'),
 tr2 AS (SELECT *, CASE reach_class WHEN 'answers any address' THEN 3 WHEN 'answers one address' THEN 2 WHEN 'loopback only' THEN 1 WHEN 'no listening port' THEN 0 ELSE -1 END AS rr,
@@ -122,7 +125,7 @@ tr2 AS (SELECT *, CASE reach_class WHEN 'answers any address' THEN 3 WHEN 'answe
 
 def triaged(bed: Bed):
     found = bed.finding.filter("status = 'open' and accepted <> '1'")
-    cover = evidence.exposure_coverage(bed.exposure.filter("port % 2 = 0"))
+    cover = evidence.exposure_coverage(bed.exposure)
     return evidence.triage(found, evidence.reach(bed.exposure, NOW), cover)
 
 
@@ -252,9 +255,9 @@ def address_claims(bed: Bed):
 
 
 @query("address_coverage", """SELECT h.hostname, coalesce(c.n, 0) AS addresses, coalesce(c.x, 0) AS contested_addresses, CASE WHEN coalesce(c.n, 0) > 0 THEN 'bind' ELSE 'none' END AS addr_source, coalesce(b.v, 'unknown') AS collector_version FROM t_host h
-LEFT JOIN (SELECT hostname, count(*) AS n, count_if(max_gap > 86400) AS x FROM t_claim WHERE max_gap > 0 GROUP BY hostname) c ON c.hostname = h.hostname LEFT JOIN (SELECT hostname, arg_max(event_type, (scanned_at, event_type)) AS v FROM t_heartbeat GROUP BY hostname) b ON b.hostname = h.hostname""")
+LEFT JOIN (SELECT hostname, count(*) AS n, count_if(max_gap > 86400) AS x FROM t_claim GROUP BY hostname) c ON c.hostname = h.hostname LEFT JOIN (SELECT hostname, arg_max(event_type, (scanned_at, event_type)) AS v FROM t_heartbeat GROUP BY hostname) b ON b.hostname = h.hostname""")
 def address_coverage(bed: Bed):
-    claims = bed.claim.filter("max_gap > 0").withColumns({"claimants": F.when(F.col("max_gap") > 86400, 2).otherwise(1), "addr_source": F.lit("bind")})
+    claims = bed.claim.withColumns({"claimants": F.when(F.col("max_gap") > 86400, 2).otherwise(1), "addr_source": F.lit("bind")})
     beats = bed.heartbeat.withColumns({"collector_version": F.col("event_type"), "schema_version": F.lit("1")})
     return network.address_coverage(bed.host, claims, beats).select("hostname", "addresses", "contested_addresses", "addr_source", "collector_version")
 

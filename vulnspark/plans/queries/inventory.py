@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vulnspark.operators import generic, inventory
 from vulnspark.params import Params
-from vulnspark.plans.queries.registry import query
+from vulnspark.plans.queries.registry import GONE, query
 from vulnspark.plans.testbed import EVENTS_NOW, NOW, Bed
 from vulnspark.sources.state import backfill_summary, feed_manifest, feed_summary
 
@@ -204,7 +204,7 @@ def _beats(bed: Bed):
 
 
 _MANIFEST = f"""beats AS ({_BEAT_JSON}),
-newest AS (SELECT * FROM beats QUALIFY scanned_at = max(scanned_at) OVER (PARTITION BY hostname) AND row_number() OVER (PARTITION BY hostname, scanned_at ORDER BY o_orderkey DESC) = 1),
+newest AS (SELECT * FROM beats WHERE {GONE} QUALIFY scanned_at = max(scanned_at) OVER (PARTITION BY hostname) AND row_number() OVER (PARTITION BY hostname, scanned_at ORDER BY o_orderkey DESC) = 1),
 arrived AS (SELECT hostname, n FROM (SELECT concat('host-', o_custkey) AS hostname, count(*) AS n, @EPOCH(o_orderdate) AS seen_at FROM b_orders GROUP BY o_custkey, o_orderdate)
   QUALIFY seen_at = max(seen_at) OVER (PARTITION BY hostname)),
 manifest AS (SELECT w.hostname, w.scanned_at, w.collector_version, CASE WHEN k = 1 THEN n_components ELSE o_orderkey % 50 END AS said_component, CAST(7 AS BIGINT) AS said_link, a.n AS arrived_components,
@@ -219,7 +219,7 @@ def _manifest(bed: Bed):
     beats = generic.first_per_key(_beats(bed), ["hostname", "scanned_at"], F.col("o_orderkey").desc())
     comps = bed.sql("SELECT concat('host-', o_custkey) AS hostname, @EPOCH(o_orderdate) AS scanned_at FROM b_orders")
     old = beats.select("hostname").distinct().withColumns({"scanned_at": F.lit(0).cast("bigint"), "sources_text": F.lit("a,b,c"), "n_sources": F.lit(3)})
-    return inventory.scan_manifest(beats, comps, old, bed.host.limit(0), NOW)
+    return inventory.scan_manifest(beats, comps, old, bed.host, NOW)
 
 
 @query("scan_manifest", f"WITH {_MANIFEST} SELECT * EXCLUDE (collector_version) FROM manifest")
@@ -235,10 +235,11 @@ SELECT hostname, CASE WHEN arrived_components IS NULL THEN 'last scan is older t
     WHEN n < 900 THEN concat(collector_version, ' (no Windows library loads or Windows autoruns)') WHEN n < 902 THEN concat(collector_version, ' (no Windows build number)') ELSE collector_version END AS collector,
   round(100.0 * arrived_components / nullif(said_component, 0), 1) AS arrived_pct, CAST(coalesce(l, 0) AS BIGINT) AS links_arrived
 FROM (SELECT *, CAST(split_part(collector_version, '.', 2) AS INT) * 100 + CAST(split_part(collector_version, '.', 3) AS INT) AS n FROM manifest) m
-LEFT JOIN (SELECT hostname AS h, s_suppkey AS l FROM t_host) x ON x.h = m.hostname""")
+LEFT JOIN (SELECT hostname AS h, s_suppkey AS l FROM t_host) x ON x.h = m.hostname
+UNION ALL SELECT hostname, 'collector does not report a manifest', 'not reported', NULL, s_suppkey FROM t_host WHERE hostname NOT IN (SELECT hostname FROM manifest)""")
 def arrival_check(bed: Bed):
     links = bed.host.select("hostname", F.col("s_suppkey").alias("link_rows"))
-    return inventory.arrival_check(_manifest(bed), links).filter("verdict is not null and reported is not null").select(
+    return inventory.arrival_check(_manifest(bed), links).select(
         "hostname", "verdict", "collector", "arrived_pct", "links_arrived")
 
 
@@ -254,7 +255,7 @@ SELECT concat('KB', p_partkey) AS kb, concat(19000 + p_partkey % 2) AS branch, C
 
 @query("windows_patch_level", f"""
 WITH hf AS ({_HOTFIX}), wp AS ({_WINPATCH}),
-h AS (SELECT hostname, min(version) FILTER (servicing_stream = 'cumulative') AS cum, string_agg(DISTINCT kb, ', ' ORDER BY kb) AS kbs, count(DISTINCT kb) AS n_installed_kbs, min(os_version_id) AS osv FROM hf GROUP BY hostname),
+h AS (SELECT hostname, min(version) FILTER (servicing_stream = 'cumulative') AS cum, string_agg(DISTINCT kb, ', ' ORDER BY kb) AS kbs, count(DISTINCT kb) AS n_installed_kbs, min(os_version_id) AS osv FROM hf WHERE {GONE} GROUP BY hostname),
 b AS (SELECT *, split_part(cum, '.', 1) AS branch, CAST(split_part(cum, '.', 2) AS BIGINT) AS ubr, CASE WHEN osv = '2022' THEN 'server' ELSE 'client' END AS edition FROM h WHERE cum IS NOT NULL),
 t AS (SELECT branch, edition, max(ubr) AS latest_ubr, string_agg(DISTINCT kb, ', ' ORDER BY kb) AS latest_kb, min(fixed_build) AS latest_build FROM (SELECT * FROM wp QUALIFY ubr = max(ubr) OVER (PARTITION BY branch, edition)) GROUP BY branch, edition)
 SELECT b.hostname, b.branch, b.edition, b.ubr, concat('10.0.', b.branch, '.', b.ubr) AS current_build, t.latest_ubr, t.latest_kb, t.latest_build, t.latest_ubr - b.ubr AS behind_ubr, b.kbs AS installed_kbs, b.n_installed_kbs,
@@ -263,19 +264,21 @@ FROM b LEFT JOIN t ON t.branch = b.branch AND t.edition = b.edition""")
 def windows_patch_level(bed: Bed):
     scan = bed.spark.createDataFrame([], "hostname string, os_build string, os_display_version string, os_installation_type string")
     old = bed.spark.createDataFrame([], "hostname string, rolled_at bigint")
-    out = inventory.windows_patch_level(bed.sql(_HOTFIX), scan, bed.sql(_WINPATCH), old, bed.host.limit(0), NOW)
+    out = inventory.windows_patch_level(bed.sql(_HOTFIX), scan, bed.sql(_WINPATCH), old, bed.host, NOW)
     return out.select("hostname", "branch", "edition", "ubr", "current_build", "latest_ubr", "latest_kb", "latest_build", "behind_ubr", "installed_kbs", "n_installed_kbs", "status")
 
 
-@query("config_surface", """
-WITH new AS (SELECT concat('host-', l_suppkey) AS hostname, l_returnflag AS kind, concat('/c/', l_partkey % 100) AS path_key FROM b_lineitem WHERE l_linestatus = 'O' AND l_suppkey % 2 = 0),
-old AS (SELECT concat('host-', l_suppkey) AS hostname, l_returnflag AS kind, concat('/c/', l_partkey % 100) AS path_key FROM b_lineitem WHERE l_linestatus = 'F')
-SELECT DISTINCT hostname, kind, path_key FROM new UNION SELECT DISTINCT hostname, kind, path_key FROM old WHERE hostname NOT IN (SELECT hostname FROM new)""")
+@query("config_surface", f"""
+WITH new AS (SELECT concat('host-', l_suppkey) AS hostname, l_returnflag AS kind, concat('/c/', l_partkey % 100) AS path_key FROM b_lineitem WHERE l_linestatus = 'O'),
+old AS (SELECT concat(CASE WHEN l_suppkey % 2 = 0 THEN 'host-' ELSE 'old-' END, l_suppkey) AS hostname, l_returnflag AS kind, concat('/c/', l_partkey % 100) AS path_key FROM b_lineitem WHERE l_linestatus = 'F'),
+every AS (SELECT * FROM new UNION SELECT * FROM old WHERE hostname NOT IN (SELECT hostname FROM new))
+SELECT DISTINCT hostname, kind, path_key FROM every WHERE {GONE}""")
 def config_surface(bed: Bed):
     rows = bed.b_lineitem.select(F.concat(F.lit("host-"), "l_suppkey").alias("hostname"), F.col("l_returnflag").alias("kind"), F.lit(None).cast("string").alias("name"),
                                  F.concat(F.lit("/c/"), F.col("l_partkey") % 100).alias("path"), F.lit(None).cast("string").alias("executable"), F.lit(5).alias("scanned_at"), "l_linestatus", "l_suppkey")
-    old = rows.filter("l_linestatus = 'F'").withColumn("path_key", F.col("path")).withColumn("name", F.lit(""))
-    out = inventory.config_surface(rows.filter("l_linestatus = 'O' and l_suppkey % 2 = 0"), old, bed.host.limit(0), NOW)
+    old = rows.filter("l_linestatus = 'F'").withColumns({"path_key": F.col("path"), "name": F.lit(""), "hostname": F.concat(
+        F.when(F.col("l_suppkey") % 2 == 0, "host-").otherwise("old-"), "l_suppkey")})
+    out = inventory.config_surface(rows.filter("l_linestatus = 'O'"), old, bed.host, NOW)
     return out.select("hostname", "kind", "path_key")
 
 

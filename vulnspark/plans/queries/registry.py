@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vulnspark.plans.testbed import Bed, oracle_text
 
+#: Hosts that are not retired: their last scan is younger than 180 days.
+GONE = "hostname NOT IN (SELECT hostname FROM t_host WHERE 1005000000 - host_last_scan > 15552000)"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
