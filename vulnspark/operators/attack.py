@@ -200,8 +200,8 @@ def cve_facts(advisories: DataFrame, cve: str | None = None) -> DataFrame:
         *([F.coalesce(F.max("modified"), F.lit("")).alias("modified")] if "modified" in rows.columns else []))
 
 
-def search_cves(cvedetail: DataFrame, advisories: DataFrame, q: str, limit: int = 200) -> DataFrame:
-    """Encyclopaedia search over product, description and id; the limit is the page size."""
+def search_cves(cvedetail: DataFrame, advisories: DataFrame, q: str) -> DataFrame:
+    """Encyclopaedia search over product, description and id: every hit, the worst first."""
     text = q.lower()
     hit = F.lit(False)
     for c in ("products", "description", "cve_id"):
@@ -212,7 +212,7 @@ def search_cves(cvedetail: DataFrame, advisories: DataFrame, q: str, limit: int
         "cve_id", F.split_part("products", F.lit("\n"), F.lit(1)).alias("product"), blank("severity").alias("severity"),
         "cvss_score", F.round(F.col("epss") * 100, 1).alias("epss_pct"),
         F.when(present("kev_added"), "yes").otherwise("").alias("kev"),
-    ).orderBy(F.col("cvss_score").desc_nulls_last(), "cve_id").limit(limit)
+    ).orderBy(F.col("cvss_score").desc_nulls_last(), "cve_id")
 
 
 def cve_fixes(ranges: DataFrame, cve: str | None = None) -> DataFrame:

@@ -135,7 +135,7 @@ def cve_identity(advisories: DataFrame, cvedetail: DataFrame, cve: str | None =
         F.when(present("_products"), F.replace("_products", F.lit("\n"), F.lit(", "))).when(kev_name != "", kev_name).otherwise(
             "not named by the feed").alias("product"),
         F.when(present("_desc"), F.col("_desc")).when(kev_text != "", kev_text).when(present("best_title"), F.col("best_title")).otherwise(
-            "No advisory in this bundle carries a description for this CVE.").alias("description"),
+            "No loaded source describes this CVE.").alias("description"),
         "severity", "cvss_score", F.round(F.col("epss") * 100, 1).alias("epss_pct"),
         F.when(present("kev_added"), "yes").otherwise("").alias("kev"),
         F.trim(F.concat(blank("_assigner"), F.lit(" "), F.coalesce("_pub", "published"))).alias("published"))
@@ -178,7 +178,7 @@ def walk_freshness(route_edges: DataFrame) -> DataFrame:
     return route_edges.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("dst").alias("hosts"), F.max("walked_at").alias("walked_at"))
 
 
-def path_table(paths: DataFrame, entry: str = "*", host: str = "*", show: str = "all", top: int = 500) -> DataFrame:
+def path_table(paths: DataFrame, entry: str = "*", host: str = "*", show: str = "all", top: int | None = None) -> DataFrame:
     rows = paths.filter(glob_match("entry", entry))
     if host not in ("*", ""):
         rows = rows.filter(F.exists("hosts", lambda h: glob_match(h, host)))
@@ -189,7 +189,7 @@ def path_table(paths: DataFrame, entry: str = "*", host: str = "*", show: str =
     run = F.when(F.col("full_cve") == 1, "yes, every jump").when(F.col("cve_run") == 0, "no, not even the first").otherwise(
         F.concat(F.lit("the first "), F.col("cve_run").cast("string"), F.lit(" of "), F.col("jumps").cast("string")))
     ordered = rows.withColumn("on_cves_alone", run).orderBy(*[F.col(c).desc() for c in PATH_ORDER], "path_text")
-    return ordered.limit(top)
+    return ordered if top is None else ordered.limit(top)
 
 
 def findings_behind(state: DataFrame, exposure: DataFrame, evidence: DataFrame, verdicts: DataFrame, advisories: DataFrame,
@@ -207,14 +207,16 @@ def findings_behind(state: DataFrame, exposure: DataFrame, evidence: DataFrame,
     severity = F.when(F.col("severity") == "critical", "P1").when(F.col("severity") == "high", "P2").when(F.col("severity") == "medium", "P3").otherwise("P4")
     return rows.select(
         "finding_key", "hostname", "package", "cve_id", F.coalesce("_tier", severity).alias("tier"), "score",
-        F.when(rank == 3, "yes, no foothold needed").when(rank == 2, "yes, but needs credentials or a click").when(
-            rank == 1, "no CVSS vector").when(down == 1, "only to take it down, not to get in").when(
-            down == 2, "only a minor leak or change, not a way in").otherwise("no, local only").alias("over_the_wire"))
+        F.when(rank == 3, "yes, by anyone").when(rank == 2, "yes, with an account or a victim's action").when(
+            rank == 1, "unrated").when(down == 1, "to stop the service only").when(
+            down == 2, "to read or change little only").otherwise("no").alias("over_the_wire"))
 
 
-def jump_list(route_edges: DataFrame, listeners: DataFrame, top: int = 1000) -> DataFrame:
+def jump_list(route_edges: DataFrame, listeners: DataFrame, top: int | None = None) -> DataFrame:
     """Jumps of the graph, one row per port, with what listens there."""
-    best = route_edges.orderBy("hop", F.col("rk_rank").desc(), F.col("sessions").desc(), "src", "dst").limit(top)
+    best = route_edges
+    if top is not None:
+        best = route_edges.orderBy("hop", F.col("rk_rank").desc(), F.col("sessions").desc(), "src", "dst").limit(top)
     rows = best.withColumn("listen_port", F.explode(F.split("ports", ",")))
     rows = lookup(rows, listeners, {"dst": "hostname", "listen_port": "port"}, {"packages": "_sw", "rk_open": "_open", "rk_hop_class": "_class"})
     return rows.select(

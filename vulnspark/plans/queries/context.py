@@ -205,7 +205,7 @@ def cve_facts(bed: Bed):
 
 @query("cve_search", """WITH d AS (SELECT DISTINCT cve_id, title AS products FROM t_advisory), f AS (SELECT cve_id, max(cvss_score) AS cvss_score, max(epss) AS epss, coalesce(min(nullif(severity, '')), '') AS severity, coalesce(min(nullif(kev_added, '')), '') AS k FROM t_advisory GROUP BY cve_id),
 one AS (SELECT cve_id, min(products) AS products FROM d GROUP BY cve_id)
-SELECT o.cve_id, o.products AS product, f.severity, f.cvss_score, round(f.epss * 100, 1) AS epss_pct, CASE WHEN f.k <> '' THEN 'yes' ELSE '' END AS kev FROM one o JOIN f ON f.cve_id = o.cve_id WHERE lower(o.products) LIKE '%product 1%' ORDER BY f.cvss_score DESC NULLS LAST, o.cve_id LIMIT 200""")
+SELECT o.cve_id, o.products AS product, f.severity, f.cvss_score, round(f.epss * 100, 1) AS epss_pct, CASE WHEN f.k <> '' THEN 'yes' ELSE '' END AS kev FROM one o JOIN f ON f.cve_id = o.cve_id WHERE lower(o.products) LIKE '%product 1%'""")
 def cve_search(bed: Bed):
     detail = bed.advisory.groupBy("cve_id").agg(F.min("title").alias("products")).withColumn("description", F.lit(""))
     return attack.search_cves(detail, bed.advisory, "Product 1")

@@ -114,7 +114,7 @@ def route_state(bed: Bed):
 
 
 @query("findings_behind_ports", f"""WITH {_HOP}, seen AS (SELECT DISTINCT hostname, port FROM t_netevidence WHERE observed_grade IN ('confirmed observed', 'historically observed'))
-SELECT DISTINCT f.finding_key, x.top AS tier, CASE x.r WHEN 3 THEN 'yes, no foothold needed' WHEN 2 THEN 'yes, but needs credentials or a click' WHEN 1 THEN 'no CVSS vector' ELSE CASE WHEN x.down = 1 THEN 'only to take it down, not to get in' ELSE 'no, local only' END END AS over_the_wire
+SELECT DISTINCT f.finding_key, x.top AS tier, CASE x.r WHEN 3 THEN 'yes, by anyone' WHEN 2 THEN 'yes, with an account or a victim''s action' WHEN 1 THEN 'unrated' ELSE CASE WHEN x.down = 1 THEN 'to stop the service only' ELSE 'no' END END AS over_the_wire
 FROM t_finding f JOIN hf x ON x.hostname = f.hostname AND x.package = f.package AND x.cve_id = f.cve_id JOIN seen s ON s.hostname = x.hostname AND s.port = x.port WHERE f.status = 'open'""")
 def findings_behind_ports(bed: Bed):
     out = reports.findings_behind(bed.finding, bed.exposure, bed.netevidence, bed.verdict, bed.advisory)
@@ -123,7 +123,7 @@ def findings_behind_ports(bed: Bed):
 
 @query("jump_list", f"""WITH {_HOP}, bare AS (SELECT DISTINCT hostname, concat(port) AS port, package FROM t_exposure WHERE package IS NOT NULL AND hostname IN (SELECT dst FROM t_jump)),
 ls AS (SELECT b.hostname, b.port, string_agg(b.package, ', ' ORDER BY b.package) AS packages, CAST(sum(coalesce(h.rk_open, 0)) AS BIGINT) AS o FROM bare b LEFT JOIN hc h ON h.hostname = b.hostname AND h.port = b.port AND h.package = b.package GROUP BY ALL),
-e AS (SELECT src, dst, max(rk_rank) AS rk, sum(sessions) AS s FROM t_jump WHERE src <> dst GROUP BY ALL ORDER BY rk DESC, s DESC, src, dst LIMIT 1000), x AS (SELECT DISTINCT e.src, e.dst, j.port FROM e JOIN t_jump j ON j.src = e.src AND j.dst = e.dst)
+e AS (SELECT src, dst, max(rk_rank) AS rk, sum(sessions) AS s FROM t_jump WHERE src <> dst GROUP BY ALL), x AS (SELECT DISTINCT e.src, e.dst, j.port FROM e JOIN t_jump j ON j.src = e.src AND j.dst = e.dst)
 SELECT x.src, x.dst, x.port AS listen_port, coalesce(ls.packages, 'nothing the inventory knows of') AS listening, coalesce(ls.o, 0) AS open FROM x LEFT JOIN ls ON ls.hostname = x.dst AND ls.port = x.port""")
 def jump_list(bed: Bed):
     edges = routes.merge_edges(bed.jump).withColumns({"ports": F.array_join("ports", ","), "hop": F.lit(1)})
