@@ -35,6 +35,8 @@ VOCABULARY = CLASSES * PER_CLASS
 HASHED = 256
 SIDE, WIDTH, HIDDEN = 2, 12, 24
 MASK_PERCENT, ROUNDS, STEP_POSITIONS, RATE = 15, 2, 8192, 0.1
+#: Different words a task counts before it passes the counts on.
+COUNTED_WORDS = 200_000
 #: Positions scored at once.
 CHUNK = 65536
 #: Averages are sums of parameters times this, as whole numbers.
@@ -158,12 +160,20 @@ def masked(ids: list[np.ndarray], owner_hash: np.ndarray, at: np.ndarray, owner:
 def frequent_words(docs: DataFrame) -> list[str]:
     """The most frequent words of the corpus, ties by the word; at most VOCABULARY less HASHED of them."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter[bytes] = Counter()
+
+        def flush():
+            out = pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in seen], "n": list(seen.values())})
+            seen.clear()
+            return out
+
         for batch in batches:
-            seen: Counter[bytes] = Counter()
             for text in batch["text"]:
                 seen.update(words_of(text))
-            words = [w.decode("utf-8", "replace") for w in seen]
-            yield pd.DataFrame({"word": words, "n": list(seen.values())})
+                if len(seen) >= COUNTED_WORDS:
+                    yield flush()
+        if seen:
+            yield flush()
 
     counts = docs.select(text_or_empty().alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - HASHED).collect()]
