@@ -94,15 +94,15 @@ def weighted_set(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def elements():
-    """A function from a text to its shingles, each as often as it occurs: Jaccard over these is the weighted one."""
+    """A function from texts to the shingles of each, as often as they occur: Jaccard over these is the weighted one."""
     memory = WordHashes()
 
-    def of(text: str) -> np.ndarray:
+    def one(text: str) -> np.ndarray:
         found, weight = weighted_set(memory.of(words_of(text)))
         number = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
-        return mix(np.repeat(found, weight) + number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return np.sort(mix(np.repeat(found, weight) + number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
-    return of
+    return lambda texts: [one(t) for t in texts]
 
 
 def node_of(text: Column) -> Column:

@@ -27,16 +27,28 @@ from vulnspark.llm.components import components
 #: Text of one block of a bucket; a cell holds two.
 BLOCK_BYTES = 2 << 20
 
-#: Makes, in a task, the function from a text to its different elements.
-Elements = Callable[[], Callable[[str], np.ndarray]]
+#: Characters of text whose elements are made together.
+CHUNK_CHARS = 1 << 20
+
+#: Makes, in a task, the function from texts to the different elements of each, in rising order and never none.
+Elements = Callable[[], Callable[[list[str]], list[np.ndarray]]]
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the Jaccard similarity of two sets of different elements is high enough."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    """Whether the Jaccard similarity of two rising sets is high enough."""
+    both = int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b))
     return both >= similarity * (len(a) + len(b) - both)
 
 
+def _chunks(batch: pd.DataFrame, *texts: str) -> Iterator[pd.DataFrame]:
+    """The batch in pieces of about CHUNK_CHARS of text."""
+    total = np.cumsum(sum(batch[c].str.len().to_numpy(np.int64) for c in texts))
+    bounds = np.searchsorted(total, np.arange(1, total[-1] // CHUNK_CHARS + 1) * CHUNK_CHARS, side="right") if len(total) else []
+    for a, b in zip([0, *bounds], [*bounds, len(batch)], strict=True):
+        if a < b:
+            yield batch.iloc[a:b]
+
+
 def shared_buckets(bands: DataFrame) -> DataFrame:
     """key, node, hub for every bucket with two nodes or more; ``bands`` has (key, node)."""
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_lo"), F.max("node").alias("_hi"))
@@ -52,12 +64,17 @@ def verified(pairs: DataFrame, texts: DataFrame, elements: Elements, similarity:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of, last, first = elements(), None, None
         for batch in batches:
-            keep = []
-            for a, x, y in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
-                if a != last:
-                    last, first = a, of(x)
-                keep.append(alike(first, of(y), similarity))
-            yield batch.loc[keep, ["a", "b"]]
+            for rows in _chunks(batch, "text_a", "text_b"):
+                names = rows["a"].to_numpy()
+                new = np.flatnonzero(np.concatenate([[names[0] != last or first is None], names[1:] != names[:-1]]))
+                made = iter(of(rows["text_a"].iloc[new].tolist()))
+                fresh, keep = set(new.tolist()), []
+                for i, other in enumerate(of(rows["text_b"].tolist())):
+                    if i in fresh:
+                        first = next(made)
+                    keep.append(alike(first, other, similarity))
+                last = names[-1]
+                yield rows.loc[keep, ["a", "b"]]
 
     one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ba")
     return pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long")
@@ -100,21 +117,26 @@ def _across(apart: DataFrame, texts: DataFrame, elements: Elements, similarity:
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of, place, nodes, groups, sets = elements(), None, [], [], []
 
-        def close():
-            if len(set(groups)) > 1:
-                links = forest(sets, groups, similarity)
-                return pd.DataFrame({"a": [nodes[i] for i, _ in links], "b": [nodes[j] for _, j in links]}, dtype="int64")
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        def links() -> list[tuple[int, int]]:
+            if len(set(groups)) < 2:
+                return []
+            if len(sets) == 2:
+                return [(nodes[0], nodes[1])] if alike(sets[0], sets[1], similarity) else []
+            return [(nodes[i], nodes[j]) for i, j in forest(sets, groups, similarity)]
 
         for batch in batches:
-            for key, i, j, node, group, text in zip(*(batch[c] for c in ("key", "i", "j", "node", "component", "text")), strict=True):
-                if (key, i, j) != place:
-                    yield close()
-                    place, nodes, groups, sets = (key, i, j), [], [], []
-                nodes.append(node)
-                groups.append(group)
-                sets.append(of(text))
-        yield close()
+            for rows in _chunks(batch, "text"):
+                out = []
+                columns = (rows[c] for c in ("key", "i", "j", "node", "component"))
+                for *cell, node, group, own in zip(*columns, of(rows["text"].tolist()), strict=True):
+                    if cell != place:
+                        out += links()
+                        place, nodes, groups, sets = cell, [], [], []
+                    nodes.append(node)
+                    groups.append(group)
+                    sets.append(own)
+                yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(links(), columns=["a", "b"], dtype="int64")
 
     with_text = apart.join(texts, "node")
     blocks = with_text.groupBy("key").agg(F.ceil(F.sum(F.length("text")) / BLOCK_BYTES).alias("_blocks"))
