@@ -78,6 +78,7 @@ def test_classes_equal_brute_force(spark, docs_of, rng):
 def test_small_blocks_lose_no_link(spark, docs_of, rng, monkeypatch):
     """Copies of a text that is not there: some pairs are alike, no hub is alike to all."""
     monkeypatch.setattr(linking, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(dm, "BROADCAST_BYTES", 0)
     base = sentence(rng, 100)
     rows = [(j, edited(rng, base, 1 + j % 4)) for j in range(70)]
     got = {r.doc_id: (r.class_id, r.class_size) for r in dm.near_duplicates(docs_of(rows)).collect()}

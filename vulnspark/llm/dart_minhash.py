@@ -31,6 +31,8 @@ from vulnspark.llm.linking import linked, shared_buckets
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+#: The nodes whose texts are compared are broadcast up to this many bytes; more are joined by shuffle.
+BROADCAST_BYTES, NODE_BYTES = 32 << 20, 16
 #: Documents whose darts are thrown together.
 CHUNK = 64
 
@@ -142,7 +144,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bands = signed.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     shared = shared_buckets(bands)
     # Every text that shares a bucket, once: what all comparisons read.
-    wanted = shared.select("node").distinct()
+    wanted = stored(shared.select("node").distinct(), "wanted")
+    if wanted.count() * NODE_BYTES <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
     texts = docs.select(node_of(F.col("text")).alias("node"), text_or_empty().alias("text")).join(wanted, "node", "left_semi")
     texts = stored(texts.dropDuplicates(["node"]), "texts")
     groups = linked(shared, texts, elements, SIMILARITY)
