@@ -8,9 +8,11 @@ broadcast, so the reference is cut into shards by content. Every window has
 an anchor, its run of ANCHOR words with the lowest hash; equal windows have
 equal anchors, so it is enough to stream a passage through the automaton of
 its anchor's shard. An anchor that only one text has needs no automaton.
-Shards hold at most SHARD passages. An anchor with more is split by the
-content of its windows, and the earliest document of each is a minimum,
-combined before the shuffle; no passage is left out.
+A shard's automaton holds SHARD passages at most. An anchor with more is
+dealt to many tasks, each with the automaton of the anchor's REFERENCES
+earliest passages, which settles what very many documents share. Windows it
+does not know are settled by the earliest document of each window's content,
+a minimum combined before the shuffle; no passage and no window is left out.
 
 Copies with the same words are one text, led by its smallest id.
 """
@@ -24,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vulnspark.llm.common import stored, text_or_empty, words_of
 from vulnspark.llm.dart_minhash import node_of
@@ -32,6 +35,7 @@ from vulnspark.llm.hashing import WordHashes, runs
 WINDOW = 50
 ANCHOR = 8
 SHARD = 2000
+REFERENCES = 32
 
 
 def _lowest(values: np.ndarray, width: int) -> np.ndarray:
@@ -161,9 +165,14 @@ def _passages(texts: DataFrame) -> DataFrame:
         cut, "anchor long, members long, node long, first_id long, low long, words string")
 
 
-def _by_automaton(passages: DataFrame) -> DataFrame:
-    """Spans (node, start, stop) matched in earlier documents; one shard after the other, never all of a partition."""
+def _by_automaton(passages: DataFrame, hot: bool) -> DataFrame:
+    """Spans (node, start, stop) matched in earlier documents; one shard after the other, never all of a partition.
+
+    Passages with ``ref`` join the automaton, those with ``ask`` are streamed. If ``hot``, the windows of these that
+    did not match follow as rows with the hash ``key`` of their words.
+    """
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory = WordHashes()
         shard, doc, seen, automaton, waiting, fresh = None, None, set(), None, [], []
 
         def close_doc():
@@ -174,52 +183,70 @@ def _by_automaton(passages: DataFrame) -> DataFrame:
                     waiting.append(text)
             fresh.clear()
 
-        for batch in batches:
-            out = []
-            for anchor, node, first_id, low, text in zip(batch["anchor"], batch["node"], batch["first_id"], batch["low"], batch["words"], strict=True):
-                if anchor != shard:
-                    shard, doc, seen, automaton = anchor, None, set(), None
-                    waiting.clear()
-                    fresh.clear()
-                if first_id != doc:
-                    close_doc()
-                    doc = first_id
-                fresh.append(text)
-                if text in seen:
-                    out.append((node, low, low + text.count(" ") + 1))
-                    continue
-                if not seen:
-                    continue
-                if automaton is None:
-                    automaton = SuffixAutomaton()
-                for reference in waiting:
-                    automaton.add(reference.split(" "))
-                waiting.clear()
-                ends = [i for i, n in enumerate(automaton.matching(text.split(" "))) if n >= WINDOW]
-                out += [(node, low + a, low + b) for a, b in spans_of(ends)]
-            yield pd.DataFrame(out, columns=["node", "start", "stop"])
-
-    rows = passages.select("anchor", "node", "first_id", "low", "words").repartition("anchor").sortWithinPartitions("anchor", "first_id", "node", "low")
-    return rows.mapInPandas(match, "node long, start long, stop long")
-
-
-def _by_window(passages: DataFrame) -> DataFrame:
-    """The same spans for anchors with more passages than a shard holds, by the earliest document of each window."""
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory = WordHashes()
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                rows = batch.iloc[at : at + 1024]
-                hashed = [runs(memory.of(words_of(t)), WINDOW) for t in rows["words"]]
-                n = [len(h) for h in hashed]
-                key = np.concatenate(hashed)
-                start = np.concatenate([low + np.arange(k) for low, k in zip(rows["low"], n, strict=True)])
-                yield pd.DataFrame({"k1": key.view(np.int64), "k2": np.repeat(rows["anchor"].to_numpy(), n), "node": np.repeat(rows["node"].to_numpy(), n),
-                                    "first_id": np.repeat(rows["first_id"].to_numpy(), n), "start": start})
+        def ends_in(words: list[str]) -> list[int]:
+            nonlocal automaton
+            if not seen:
+                return []
+            automaton = automaton or SuffixAutomaton()
+            for reference in waiting:
+                automaton.add(reference.split(" "))
+            waiting.clear()
+            return [i for i, n in enumerate(automaton.matching(words)) if n >= WINDOW]
 
-    each = passages.select("anchor", "node", "first_id", "low", "words").mapInPandas(windows, "k1 long, k2 long, node long, first_id long, start long")
-    least = each.groupBy("k1", "k2").agg(F.min("first_id").alias("_least"), F.max("first_id").alias("_most")).filter("_least < _most")
-    return each.join(least, ["k1", "k2"]).filter("_least < first_id").select("node", "start", (F.col("start") + WINDOW).alias("stop"))
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                out, keys, starts, who = [], [], [], []
+                for anchor, salt, node, first_id, low, text, ref, ask in batch.iloc[at : at + 512].itertuples(index=False):
+                    if (anchor, salt) != shard:
+                        shard, doc, seen, automaton = (anchor, salt), None, set(), None
+                        waiting.clear()
+                        fresh.clear()
+                    if first_id != doc:
+                        close_doc()
+                        doc = first_id
+                    if ref:
+                        fresh.append(text)
+                    if not ask:
+                        continue
+                    if text in seen:
+                        out.append((node, low, low + text.count(" ") + 1, None, None, None))
+                        continue
+                    ends = ends_in(text.split(" "))
+                    out += [(node, low + a, low + b, None, None, None) for a, b in spans_of(ends)]
+                    if hot:
+                        found = runs(memory.of(words_of(text)), WINDOW)
+                        left = np.setdiff1d(np.arange(len(found)), np.array(ends, np.int64) - (WINDOW - 1))
+                        keys.append(found[left].view(np.int64))
+                        starts.append(left + low)
+                        who.append((anchor, node, first_id, len(left)))
+                yield pd.DataFrame(out, columns=["node", "start", "stop", "key", "anchor", "first_id"])
+                if who:
+                    n = [w[3] for w in who]
+                    yield pd.DataFrame({"node": np.repeat([w[1] for w in who], n), "start": np.concatenate(starts), "stop": None, "key": np.concatenate(keys),
+                                        "anchor": np.repeat([w[0] for w in who], n), "first_id": np.repeat([w[2] for w in who], n)})
+
+    rows = passages.select("anchor", "salt", "node", "first_id", "low", "words", "ref", "ask")
+    rows = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "first_id", "node", "low")
+    return rows.mapInPandas(match, "node long, start long, stop long, key long, anchor long, first_id long")
+
+
+def _few(passages: DataFrame) -> DataFrame:
+    rows = passages.withColumns({"salt": F.lit(0).cast("long"), "ref": F.lit(True), "ask": F.lit(True)})
+    return _by_automaton(rows, False).select("node", "start", "stop")
+
+
+def _many(passages: DataFrame, shard: int) -> DataFrame:
+    """Spans for anchors with more passages than a shard holds."""
+    salts = F.ceil(F.col("members") / shard)
+    asked = passages.withColumns({"salt": F.pmod(F.xxhash64("node", "low"), salts), "ref": F.lit(False), "ask": F.lit(True)})
+    earliest = Window.partitionBy("anchor").orderBy("first_id", "node", "low")
+    known = passages.withColumn("_rank", F.row_number().over(earliest)).filter(F.col("_rank") <= REFERENCES).drop("_rank")
+    known = known.withColumns({"salt": F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)), "ref": F.lit(True), "ask": F.lit(False)})
+    both = stored(_by_automaton(asked.unionByName(known), True), "matched")
+    left = both.filter("key IS NOT NULL")
+    least = left.groupBy("key", "anchor").agg(F.min("first_id").alias("_least"), F.max("first_id").alias("_most")).filter("_least < _most")
+    later = left.join(least, ["key", "anchor"]).filter("_least < first_id").select("node", "start", (F.col("start") + WINDOW).alias("stop"))
+    return both.filter("key IS NULL").select("node", "start", "stop").unionByName(later)
 
 
 def _removed(texts: DataFrame) -> DataFrame:
@@ -257,7 +284,7 @@ def dedup(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     texts = stored(texts.dropDuplicates(["node"]), "texts")
     few = _passages(texts.withColumn("marks", F.filter("marks", lambda m: m["members"] <= shard)))
     many = _passages(texts.withColumn("marks", F.filter("marks", lambda m: m["members"] > shard)))
-    spans = _by_automaton(few).unionByName(_by_window(many))
+    spans = _few(few).unionByName(_many(many, shard))
     spans = spans.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     changed = _removed(texts.select("node", "text").join(spans, "node"))
     rows = signed.select("doc_id", "node", "n_words", "sha").join(first, "node").join(changed, "node", "left")
