@@ -95,3 +95,31 @@ def test_no_rows(docs_of):
     empty = docs_of([])
     model = lm.train(empty)
     assert model.frequent == [] and (model.flat == lm.start()).all() and lm.score(empty, model).count() == 0
+
+
+def test_every_word_has_its_own_probability(docs_of, trained, spark):
+    docs, model = trained
+    counts = {r.word: r.n for r in model.counts.collect()}
+    fixed, buckets = set(model.frequent), {}
+    bucket = lambda w: lm.xxhash.xxh3_64_intdigest(w.encode()) % lm.HASHED
+    for w, n in counts.items():
+        if w not in fixed:
+            own = buckets.setdefault(bucket(w), {})
+            own[w] = n
+    b = next(b for b, own in buckets.items() if len(set(own.values())) > 1)
+    common, rare = max(buckets[b], key=buckets[b].get), min(buckets[b], key=buckets[b].get)
+    unseen = next(w for w in (f"zq{i}" for i in range(100_000)) if bucket(w) == b and w not in counts)
+    texts = [f"the {common} of", f"the {rare} of {rare}", f"the {unseen} of", "the of"]
+    got = {r.doc_id: r.pll for r in lm.score(docs_of([*enumerate(texts), (9, texts[1])]), model).collect()}
+    assert got[0] > got[2] and got[9] == got[1]
+
+    def within(word):
+        n, kinds = sum(buckets[b].values()), len(buckets[b])
+        return np.log((buckets[b].get(word, 0) + (kinds + 1) * float(lm.SPELLED) ** -(len(word.encode()) + 1)) / (n + kinds + 1))
+
+    known = lm.WordIds(model.frequent)
+    for i, t in enumerate(texts):
+        words = t.split()
+        net = model.texts([np.array([known[w.encode()] for w in words], np.int32)])[0]
+        assert abs(got[i] - net - sum(within(w) for w in words if w not in fixed)) < 1e-4
+    assert sum(np.exp(within(w)) for w in buckets[b]) < 1

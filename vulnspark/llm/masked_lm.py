@@ -7,7 +7,9 @@ the conditional log-probabilities scores the text.
 
 Everything is learned from the whole corpus. Words are counted over all
 documents; the frequent ones get ids of their own, the rest share hashed
-ids. Training masks MASK_PERCENT of the positions of every document, chosen
+ids (buckets) in the network, and each has its share of its bucket's count as
+its own probability within the bucket. These counts are a table as large as
+the corpus has words, joined to the documents' words by shuffle. Training masks MASK_PERCENT of the positions of every document, chosen
 by hash. In each round every task trains on its own documents from the same
 start, and the results are averaged, weighted by positions. The average is
 a sum of whole numbers over (parameter), combined before the shuffle, so it
@@ -22,23 +24,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnspark.llm.common import text_or_empty, words_of
-from vulnspark.llm.hashing import mix
+from vulnspark.llm.common import stored, text_or_empty, words_of
+from vulnspark.llm.hashing import WordHashes, mix
 
 CLASSES, PER_CLASS = 64, 64
 VOCABULARY = CLASSES * PER_CLASS
-#: Ids that all words outside the frequent ones share.
+#: Ids that all words outside the frequent ones share; a power of two.
 HASHED = 256
+#: Bytes a word can have, and its end.
+SPELLED = 251
 SIDE, WIDTH, HIDDEN = 2, 12, 24
 MASK_PERCENT, ROUNDS, STEP_POSITIONS, RATE = 15, 2, 8192, 0.1
 #: Different words a task counts before it passes the counts on.
 COUNTED_WORDS = 200_000
 #: Positions scored at once.
 CHUNK = 65536
+#: Words a task gathers before it passes them on by word.
+GATHERED_WORDS = 500_000
 #: Averages are sums of parameters times this, as whole numbers.
 FIXED_POINT = 1 << 20
 PAD = VOCABULARY
@@ -157,13 +164,14 @@ def masked(ids: list[np.ndarray], owner_hash: np.ndarray, at: np.ndarray, owner:
     return at[own % np.uint64(100) < np.uint64(MASK_PERCENT)]
 
 
-def frequent_words(docs: DataFrame) -> list[str]:
-    """The most frequent words of the corpus, ties by the word; at most VOCABULARY less HASHED of them."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """hash, word and n (occurrences) of every word of the corpus."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[bytes] = Counter()
 
         def flush():
-            out = pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in seen], "n": list(seen.values())})
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in seen], np.uint64).view(np.int64)
+            out = pd.DataFrame({"hash": hashes, "word": [w.decode("utf-8", "replace") for w in seen], "n": list(seen.values())})
             seen.clear()
             return out
 
@@ -175,8 +183,36 @@ def frequent_words(docs: DataFrame) -> list[str]:
         if seen:
             yield flush()
 
-    counts = docs.select(text_or_empty().alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - HASHED).collect()]
+    rows = docs.select(text_or_empty().alias("text")).mapInPandas(count, "hash long, word string, n long")
+    return rows.groupBy("hash", "word").agg(F.sum("n").alias("n"))
+
+
+def _bucket(hashes: Column) -> Column:
+    return hashes.bitwiseAND(F.lit(HASHED - 1))
+
+
+def vocabulary(counts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The most frequent words, ties by the word, at most VOCABULARY less HASHED; occurrences and different words of each bucket."""
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - HASHED).collect()
+    buckets = np.zeros((2, HASHED))
+    for r in counts.groupBy(_bucket(F.col("hash")).alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+        buckets[:, r.b] = r.n, r.words
+    for r in top:
+        buckets[:, r["hash"] & (HASHED - 1)] -= r.n, 1
+    return [r.word for r in top], buckets
+
+
+def within_bucket(n: Column, size: Column, bucket: Column, buckets: np.ndarray) -> Column:
+    """Log-probability of a word of ``size`` bytes and count ``n`` (null if the corpus lacks it) within its bucket.
+
+    A bucket of N occurrences of T words leaves T + 1 parts of N + T + 1 to the words spelled out byte by byte, so
+    a word the corpus lacks has a probability too, and those of a bucket sum to one at most.
+    """
+    def of(values: np.ndarray) -> Column:
+        return F.get(F.array(*map(F.lit, values.tolist())), bucket)
+
+    spelled = of(np.log(buckets[1] + 1)) - (size + 1) * float(np.log(SPELLED))
+    return F.when(n.isNull(), spelled).otherwise(F.log(n + F.exp(spelled))) - of(np.log(buckets.sum(axis=0) + 1))
 
 
 def _batches(batches: Iterator[pd.DataFrame], known: WordIds) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
@@ -230,20 +266,73 @@ def train_round(docs: DataFrame, frequent: list[str], flat: np.ndarray) -> np.nd
 
 
 class Model:
-    def __init__(self, frequent: list[str], flat: np.ndarray):
-        self.frequent, self.flat = frequent, flat
+    """The frequent words, the network, and for score() the counts of all words and of the buckets."""
+
+    def __init__(self, frequent: list[str], flat: np.ndarray, counts: DataFrame | None = None, buckets: np.ndarray | None = None):
+        self.frequent, self.flat, self.counts, self.buckets = frequent, flat, counts, buckets
 
     def texts(self, ids: list[np.ndarray]) -> np.ndarray:
-        """Summed log-probability of each text."""
+        """Summed log-probability of the ids of each text."""
         stream, at, owner = padded(ids)
         return np.bincount(owner, log_probabilities(parts(self.flat), stream, at), len(ids)) if len(at) else np.zeros(len(ids))
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
-    frequent, flat = frequent_words(docs), start()
+    counts = stored(word_counts(docs), "words")
+    frequent, buckets = vocabulary(counts)
+    flat = start()
     for _ in range(rounds):
         flat = train_round(docs, frequent, flat)
-    return Model(frequent, flat)
+    return Model(frequent, flat, counts, buckets)
+
+
+def _text_key(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) & (2**63 - 1)
+
+
+def _bucket_terms(docs: DataFrame, model: Model) -> DataFrame:
+    """key of each different text with words beyond the frequent ones, and ``own``: their summed log-probability within buckets.
+
+    Sums are of whole numbers, so equal texts have equal sums; the lowest bit of a key marks one word of each row,
+    which counts the rows of a text.
+    """
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixed, hash_of, waiting, held = {w.encode("utf-8", "surrogatepass") for w in frequent}, WordHashes(), [], 0
+
+        def flush():
+            nonlocal held
+            hashes, sizes, keys = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            held = 0
+            order = np.argsort(hashes, kind="stable")
+            hashes = hashes[order]
+            firsts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            ends = pa.array(np.append(firsts, len(hashes)), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(hashes[firsts].view(np.int64)), pa.array(sizes[order][firsts]),
+                                               pa.ListArray.from_arrays(ends, pa.array(keys[order].view(np.int64)))], ["hash", "size", "keys"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                text = text.as_py()
+                words = [w for w in words_of(text) if w not in fixed]
+                if words:
+                    keys = np.full(len(words), _text_key(text) << 1, np.uint64)
+                    keys[0] |= np.uint64(1)
+                    waiting.append((hash_of.of(words), np.fromiter(map(len, words), np.int64, len(words)), keys))
+                    held += len(words)
+                    if held >= GATHERED_WORDS:
+                        yield flush()
+        if held:
+            yield flush()
+
+    frequent = model.frequent
+    words = docs.select(text_or_empty().alias("text")).mapInArrow(gather, "hash long, size long, keys array<long>")
+    met = words.join(model.counts.select("hash", "n").hint("merge"), "hash", "left")
+    own = within_bucket(F.col("n"), F.col("size"), _bucket(F.col("hash")), model.buckets)
+    each = met.select(F.rint(own * FIXED_POINT).cast("long").alias("own"), F.explode("keys").alias("key"))
+    sums = each.groupBy(F.shiftrightunsigned("key", 1).alias("key")).agg(
+        F.sum("own").alias("own"), F.sum(F.col("key").bitwiseAND(F.lit(1))).alias("rows"))
+    return sums.select("key", (F.expr("own div rows") / FIXED_POINT).alias("own"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -253,11 +342,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     are left out; an empty table gives an empty one.
     """
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordIds(model.frequent)
+        known = WordIds(frequent)
         for rows, ids in _batches(batches, known):
-            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "n_tokens": [len(x) for x in ids], "pll": model.texts(ids)})
+            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "key": [_text_key(t) for t in rows["text"]],
+                                "n_tokens": [len(x) for x in ids], "pll": texts(ids)})
 
+    # Tasks get the network alone: a table does not travel.
+    frequent, texts = model.frequent, Model(model.frequent, model.flat).texts
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"))
-    scored = rows.mapInPandas(apply, "doc_id string, n_tokens long, pll double")
+    scored = rows.mapInPandas(apply, "doc_id string, key long, n_tokens long, pll double").join(_bucket_terms(docs, model), "key", "left")
+    scored = scored.withColumn("pll", F.col("pll") + F.coalesce("own", F.lit(0.0)))
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "pll",
                          F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_logprob"))
