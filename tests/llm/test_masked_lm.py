@@ -123,3 +123,19 @@ def test_every_word_has_its_own_probability(docs_of, trained, spark):
         net = model.texts([np.array([known[w.encode()] for w in words], np.int32)])[0]
         assert abs(got[i] - net - sum(within(w) for w in words if w not in fixed)) < 1e-4
     assert sum(np.exp(within(w)) for w in buckets[b]) < 1
+
+
+def test_every_position_is_a_target_once_whatever_its_neighbours():
+    r = np.random.default_rng(6)
+    ids = [r.integers(0, 50, n).astype(np.int32) for n in (3, 0, 200, 1, 90)]
+    hashes = np.array([lm.xxhash.xxh3_64_intdigest(x.tobytes()) for x in ids], np.uint64)
+
+    def dealt(which, turn):
+        _, at, owner = lm.padded([ids[i] for i in which])
+        own = lm.targets(hashes[which], at, owner, turn, 3)
+        text = owner[np.searchsorted(at, own)]
+        return {(which[t], int(p - at[np.searchsorted(owner, t)])) for p, t in zip(own, text, strict=True)}
+
+    turns = [dealt([0, 1, 2, 3, 4], t) for t in range(3)]
+    assert sum(map(len, turns)) == len(set().union(*turns)) == sum(map(len, ids))
+    assert turns == [dealt([4, 2, 1, 3, 0], t) for t in range(3)] and all(len(t) > 50 for t in turns)

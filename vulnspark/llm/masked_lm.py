@@ -9,8 +9,9 @@ Everything is learned from the whole corpus. Words are counted over all
 documents; the frequent ones get ids of their own, the rest share hashed
 ids (buckets) in the network, and each has its share of its bucket's count as
 its own probability within the bucket. These counts are a table as large as
-the corpus has words, joined to the documents' words by shuffle. Training masks MASK_PERCENT of the positions of every document, chosen
-by hash. In each round every task trains on its own documents from the same
+the corpus has words, joined to the documents' words by shuffle. Training deals
+the positions of every document to the rounds by hash, so that each is a
+target once. In each round every task trains on its own documents from the same
 start, and the results are averaged, weighted by positions. The average is
 a sum of whole numbers over (parameter), combined before the shuffle, so it
 does not depend on the order of tasks, and only one number for each
@@ -39,7 +40,7 @@ HASHED = 256
 #: Bytes a word can have, and its end.
 SPELLED = 251
 SIDE, WIDTH, HIDDEN = 2, 12, 24
-MASK_PERCENT, ROUNDS, STEP_POSITIONS, RATE = 15, 2, 8192, 0.1
+ROUNDS, STEP_POSITIONS, RATE = 2, 8192, 0.1
 #: Different words a task counts before it passes the counts on.
 COUNTED_WORDS = 200_000
 #: Positions scored at once.
@@ -158,10 +159,11 @@ def gradient(p: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray, flat:
     flat /= n
 
 
-def masked(ids: list[np.ndarray], owner_hash: np.ndarray, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The places that training masks: chosen by a hash of the text's words and the place in it."""
-    own = mix(owner_hash[owner] + at.astype(np.uint64))
-    return at[own % np.uint64(100) < np.uint64(MASK_PERCENT)]
+def targets(owner_hash: np.ndarray, at: np.ndarray, owner: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The places that one of the rounds trains on: dealt by a hash of the text's words and the place in it."""
+    first = np.searchsorted(owner, np.arange(len(owner_hash)))
+    place = np.arange(len(at)) - first[owner]
+    return at[mix(owner_hash[owner] + place.astype(np.uint64)) % np.uint64(rounds) == np.uint64(turn)]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -222,8 +224,8 @@ def _batches(batches: Iterator[pd.DataFrame], known: WordIds) -> Iterator[tuple[
             yield rows, [np.fromiter(map(known.__getitem__, w), np.int32, len(w)) for w in map(words_of, rows["text"])]
 
 
-def train_round(docs: DataFrame, frequent: list[str], flat: np.ndarray) -> np.ndarray:
-    """Parameters averaged over the tasks, each trained on its own documents."""
+def train_round(docs: DataFrame, frequent: list[str], flat: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Parameters averaged over the tasks, each trained on its own documents; one of ``rounds`` turns."""
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, own = WordIds(frequent), flat.copy()
         p, grad, square, seen = parts(own), np.zeros_like(own), np.full_like(own, 1e-6), 0
@@ -246,7 +248,7 @@ def train_round(docs: DataFrame, frequent: list[str], flat: np.ndarray) -> np.nd
         for _, ids in _batches(batches, known):
             stream, at, owner = padded(ids)
             hashes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in ids], np.uint64)
-            at = masked(ids, hashes, at, owner)
+            at = targets(hashes, at, owner, turn, rounds)
             waiting.append((stream, at))
             held += len(at)
             if held >= STEP_POSITIONS:
@@ -281,8 +283,8 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     counts = stored(word_counts(docs), "words")
     frequent, buckets = vocabulary(counts)
     flat = start()
-    for _ in range(rounds):
-        flat = train_round(docs, frequent, flat)
+    for turn in range(rounds):
+        flat = train_round(docs, frequent, flat, turn, rounds)
     return Model(frequent, flat, counts, buckets)
 
 
