@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnspark.llm import dart_minhash, exact_dedup, line_crf, line_dedup, masked_lm, mixing, piece_sampling, substring_dedup, token_file, url_filter, whitening
+from vulnspark.llm import conversation_trie, dart_minhash, exact_dedup, line_crf, line_dedup, masked_lm, mixing, piece_sampling, substring_dedup, token_file, url_filter, whitening
 from vulnspark.llm.common import new_path, table
 
 #: Rules of the URL query: (verdict, host, path prefix).
@@ -133,10 +133,54 @@ def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm.score(docs, masked_lm.train(docs))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = conversation_trie.turn_lists(table(spark, sf_dir, "conversations"))
+    heads = own.filter("conv_id % 5 = 0").select(F.col("conv_id").alias("_base"), F.slice("turns", 1, 8).alias("_head"))
+    shared = (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int")
+    nothing = F.array().cast(conversation_trie.TURNS)
+    rows = own.join(heads, own["conv_id"] - own["conv_id"] % 5 == heads["_base"], "left").withColumn("_h", shared)
+    rest = F.slice("turns", F.col("_h") + 1, F.greatest(F.size("turns") - F.col("_h"), F.lit(0)))
+    rebuilt = rows.select("conv_id", F.concat(F.slice(F.coalesce("_head", nothing), F.lit(1), F.col("_h")), rest).alias("turns"))
+    return conversation_trie.nodes(rebuilt).drop("node", "parent_node")
+
+
+OP11_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS steps),
+own AS (
+  SELECT conv_id, list({'k': md5(coalesce(role, '')) || md5(coalesce(text, '')), 'b': octet_length(encode(coalesce(text, '')))}
+                       ORDER BY turn NULLS FIRST, role, text) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+headed AS (
+  SELECT o.*, b.t AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(o.conv_id::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+    lambda x, y: xor(x >> 8, steps[(xor(x, y) & 255) + 1])), 4294967295) % 9 AS h
+  FROM own o CROSS JOIN crc LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+rebuilt AS (SELECT conv_id, list_concat(CASE WHEN base IS NULL THEN [] ELSE base[1:h] END, t[h + 1:]) AS t FROM headed),
+firsts AS (
+  SELECT conv_id, d, len(t) = d AS ends, md5(array_to_string(list_transform(t[1:d], lambda x: x.k), '')) AS node,
+         md5(array_to_string(list_transform(t[1:d - 1], lambda x: x.k), '')) AS parent, CASE WHEN d > 0 THEN t[d].b ELSE 0 END AS bytes
+  FROM (SELECT *, unnest(range(len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT d, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM firsts GROUP BY d, node),
+children AS (SELECT d - 1 AS d, parent AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY d, parent),
+counted AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (d, node)),
+under AS (
+  SELECT a.d, a.node, sum((u.n_children = 0)::INT) AS n_leaves, sum((u.n_convs - 1) * u.bytes) AS saved
+  FROM counted u JOIN firsts a ON a.conv_id = u.conv_id AND a.d <= u.d GROUP BY a.d, a.node)
+SELECT c.conv_id, c.d::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs::BIGINT AS n_convs, c.n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN under USING (d, node) LEFT JOIN nodes p ON c.d > 0 AND p.d = c.d - 1 AND p.node = c.parent
+"""
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_file, op2_line_dedup, op3_curriculum_mix, op4_exact_dedup, op5_line_crf, op6_dart_minhash,
-                                   op7_piece_sampling, op8_url_filter, op9_substring_dedup, op10_masked_lm, op12_whitening)}
-ORACLES = {"op3_curriculum_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_url_filter": OP8_SQL}
+                                   op7_piece_sampling, op8_url_filter, op9_substring_dedup, op10_masked_lm, op11_conversation_trie,
+                                   op12_whitening)}
+ORACLES = {"op3_curriculum_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_url_filter": OP8_SQL, "op11_conversation_trie": OP11_SQL}
