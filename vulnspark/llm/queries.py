@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnspark.llm import conversation_trie, dart_minhash, exact_dedup, line_crf, line_dedup, masked_lm, mixing, piece_sampling, substring_dedup, token_file, url_filter, whitening
+from vulnspark.llm import (
+    conversation_trie, dart_minhash, exact_dedup, line_crf, line_dedup, masked_lm, mixing, piece_sampling, substring_dedup, suffix_dedup, token_file,
+    url_filter, whitening)
 from vulnspark.llm.common import new_path, table
 
 #: Rules of the URL query: (verdict, host, path prefix).
@@ -180,7 +182,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), texts=False)
+
+
 QUERIES = {f.__name__: f for f in (op1_token_file, op2_line_dedup, op3_curriculum_mix, op4_exact_dedup, op5_line_crf, op6_dart_minhash,
                                    op7_piece_sampling, op8_url_filter, op9_substring_dedup, op10_masked_lm, op11_conversation_trie,
-                                   op12_whitening)}
+                                   op12_whitening, op13_suffix_dedup)}
 ORACLES = {"op3_curriculum_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_url_filter": OP8_SQL, "op11_conversation_trie": OP11_SQL}
