@@ -85,7 +85,7 @@ class Stop(Exception):
 def stop_after(store, writes):
     """Make the store fail after so many writes."""
     left = [writes]
-    for name in ("replace_state", "append_events"):
+    for name in ("replace_state", "append_events", "commit_changes"):
         def step(*a, _f=getattr(StateStore, name).__get__(store), **k):
             if left[0] == 0:
                 raise Stop
@@ -113,7 +113,7 @@ def test_a_run_stopped_anywhere_and_repeated_gives_the_same_state(spark, tmp_pat
     whole = fresh("whole")
     ingest(whole, records, "1")
     hourly(whole, T0 + 600)
-    for writes in (13, 18):
+    for writes in (12, 18, 19):
         store = fresh(f"stopped-{writes}")
         with pytest.raises(Stop):
             stop_after(store, writes)

@@ -48,11 +48,11 @@ def test_t0_and_score(spark):
     assert spark.range(1).select(score.alias("s")).first().s == 100
 
 
-def test_osv_range_keeps_the_last_events(spark):
+def test_osv_range_has_an_interval_for_each_introduction(spark):
     doc = ('{"id":"A","affected":[{"package":{"name":"P","ecosystem":"npm"},"ranges":[{"type":"SEMVER","events":[{"introduced":"1"},{"fixed":"2"},'
            '{"introduced":"3"},{"last_affected":"4"}]},{"type":"GIT","events":[{"introduced":"abc"}]}],"versions":["9"]}]}')
     rows = advisory_feeds.osv_ranges(spark.range(1).select(F.from_json(F.lit(doc), advisory_feeds.OSV_SCHEMA).alias("d")).select("d.*")).collect()
-    assert [(r.introduced, r.fixed, r.last_affected, r.range_type) for r in rows] == [("3", "2", "4", "SEMVER")]
+    assert [(r.introduced, r.fixed, r.last_affected, r.range_type) for r in rows] == [("1", "2", "", "SEMVER"), ("3", "", "4", "SEMVER")]
 
 
 def test_introduced_zero_leaves_no_bound(spark):

@@ -168,16 +168,19 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def delete_keys(state: DataFrame, requests: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """State without the requested keys, and counts requested / deleted / skipped."""
-    wanted = requests.select(F.col(key)).filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    rest = state.join(wanted.distinct(), key, "left_anti")
+def count_requests(state: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """Of requested keys: how many there are, how many different ones the state has, how many are empty."""
     hits = state.select(key).distinct().withColumn("_hit", F.lit(1))
-    counted = requests.select(F.col(key)).join(hits, key, "left").agg(
+    return requests.select(F.col(key)).join(hits, key, "left").agg(
         F.count(F.lit(1)).alias("requested"),
         F.count_distinct(F.when(F.col("_hit") == 1, F.col(key))).alias("deleted"),
         count_when(F.col(key).isNull() | (F.col(key) == "")).alias("skipped"))
-    return rest, counted
+
+
+def delete_keys(state: DataFrame, requests: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """State without the requested keys, and counts requested / deleted / skipped."""
+    wanted = requests.select(F.col(key)).filter(F.col(key).isNotNull() & (F.col(key) != ""))
+    return state.join(wanted.distinct(), key, "left_anti"), count_requests(state, requests, key)
 
 
 def drop_retired(df: DataFrame, hoststate: DataFrame, now: int, retire_days: int, host: str = "hostname") -> DataFrame:

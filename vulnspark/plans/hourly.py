@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.functions.text import stamp_text
-from vulnspark.operators import evidence, exceptions, inventory, lifecycle, matching, rollups
+from vulnspark.operators import evidence, exceptions, inventory, lifecycle, matching
 from vulnspark.operators.generic import first_per_key
 from vulnspark.params import DAY, RETENTION_DAYS, Params
+from vulnspark.plans import rollup_state
 from vulnspark.schemas import EVENTS, STATE
 from vulnspark.sources.inventory import record_schema, split_records
 from vulnspark.sources.state import StateStore
@@ -104,44 +105,47 @@ def match_dirty(store: StateStore, now: int, p: Params) -> None:
 
 
 def maintain_findings(store: StateStore, now: int, p: Params) -> None:
-    """Fold, acknowledge, close, checkpoint, reconcile and archive, in that order."""
+    """Fold, acknowledge, close, checkpoint, reconcile and archive, in that order.
+
+    What the steps do to a table is one commit at the end. Findings are
+    committed before the fold and match states that vouch for them, so a run
+    that stops in between is done again and nothing is taken for folded.
+    """
     week = _day_text(now - p.ack_window)
     events, receipts = store.read_events("findings", EVENTS["findings"], week), store.read_events("receipts", EVENTS["receipts"], week)
     inv = inventory.inventory_state(events, _scans(store, "component", now), _state(store, "invstate"), _state(store, "hoststate"), now, p)
     store.replace_state(_shaped(inv, "invstate"), "invstate")
     _built(store, "invstate", now)
-    # Runs that a host's last fold has not seen; the rows are written before the receipts that vouch for them.
-    done = _state(store, "foldstate").select("hostname", "state_run")
+    findings, folds, matches = (store.changes(name, keys, _run(now), STATE[name]) for name, keys in (
+        ("findings_state", ["finding_key"]), ("foldstate", ["hostname"]), ("matchstate", ["hostname"])))
+    # Runs that a host's last fold has not seen.
+    done = folds.rows().select("hostname", "state_run")
     fresh = events.join(done, "hostname", "left").filter(
         F.col("state_run").isNull() | (F.col("match_run") > F.col("state_run")) | (F.col("match_run") == now)).drop("state_run")
-    rows, folded = lifecycle.fold(_state(store, "findings_state"), fresh, now)
-    store.replace_state(folded, "fold_receipts")
-    store.upsert_state(_shaped(rows, "findings_state"), "findings_state", ["finding_key"])
-    store.upsert_state(store.read_state("fold_receipts"), "foldstate", ["hostname"])
+    rows, folded = lifecycle.fold(findings.rows(), fresh, now)
+    findings.upsert(_shaped(rows, "findings_state"))
+    folds.upsert(_shaped(folded, "foldstate"))
     recent = receipts.filter(F.col("ingested_at") > now - p.ack_window)
-    acked = lifecycle.acknowledge(recent, _state(store, "foldstate"), _state(store, "snapshot_meta"), _state(store, "matchstate"), now, p)
-    store.upsert_state(_shaped(acked, "matchstate"), "matchstate", ["hostname"])
-    closed = lifecycle.close_unreported(_state(store, "findings_state"), _state(store, "matchstate"), _state(store, "hoststate"),
+    matches.upsert(_shaped(lifecycle.acknowledge(recent, folds.rows(), _state(store, "snapshot_meta"), matches.rows(), now, p), "matchstate"))
+    closed = lifecycle.close_unreported(findings.rows(), matches.rows(), _state(store, "hoststate"),
                                         _state(store, "invstate"), _state(store, "scanstate"), now, p)
-    store.upsert_state(_shaped(closed, "findings_state"), "findings_state", ["finding_key"])
-    marks = lifecycle.checkpoint(store.read_state("digests"), _state(store, "matchstate"), recent, str(store.live_generation()), now, p)
-    store.replace_state(_shaped(marks, "matchstate"), "matchstate")
-    accepted = exceptions.reconcile_acceptance(_state(store, "findings_state"), _state(store, "exceptions"), now)
-    store.upsert_state(_shaped(accepted, "findings_state"), "findings_state", ["finding_key"])
-    silent = lifecycle.mark_silent(_state(store, "findings_state"), _state(store, "hoststate"), _state(store, "hostcadence"), now)
-    store.upsert_state(_shaped(silent, "findings_state"), "findings_state", ["finding_key"])
-    expired, kept = lifecycle.archive_expired(_state(store, "findings_state"), _state(store, "hoststate"), _state(store, "hostcadence"),
-                                              _state(store, "snapshot_meta"), now, p)
+    findings.upsert(_shaped(closed, "findings_state"))
+    marks = lifecycle.checkpoint(store.read_state("digests"), matches.rows(), recent, str(store.live_generation()), now, p)
+    matches.replace(_shaped(marks, "matchstate"))
+    findings.upsert(_shaped(exceptions.reconcile_acceptance(findings.rows(), _state(store, "exceptions"), now), "findings_state"))
+    findings.upsert(_shaped(lifecycle.mark_silent(findings.rows(), _state(store, "hoststate"), _state(store, "hostcadence"), now), "findings_state"))
+    expired, _ = lifecycle.archive_expired(findings.rows(), _state(store, "hoststate"), _state(store, "hostcadence"),
+                                           _state(store, "snapshot_meta"), now, p)
     store.append_events(_day(expired, "archived_at"), "findings_archive", _run(now))
-    store.replace_state(_shaped(kept, "findings_state"), "findings_state")
+    # The copies are safe; only what has one leaves the table.
+    archived = store.read_events("findings_archive", expired.schema, _day_text(now)).filter(F.col("batch") == _run(now))
+    findings.delete(archived)
+    for changes in (findings, folds, matches):
+        changes.commit()
 
 
 def roll_up(store: StateStore, now: int) -> None:
-    state = _state(store, "findings_state")
-    store.replace_state(rollups.rollup_host(state, now), "openstate_host")
-    store.replace_state(rollups.rollup_dim(state), "openstate_dim")
-    store.replace_state(rollups.rollup_host_dim(state), "openstate_host_dim")
-    store.replace_state(rollups.rollup_cve(state), "openstate_cve")
+    rollup_state.roll_up(store, now)
     store.replace_state(evidence.reach(_state(store, "exposure"), now), "reach")
 
 

@@ -1,9 +1,11 @@
 """State, event and feed tables as Parquet folders.
 
-A state table is a series of complete versions, and the newest folder with
-a ``_SUCCESS`` marker is the table; a lost job leaves an unmarked folder
-that no reader sees. A version goes only when the one after it has been
-complete for longer than READER_GRACE, so a running reader keeps its files.
+A state table that is made anew by every run is a series of complete
+versions, and the newest folder with a ``_SUCCESS`` marker is the table; a
+lost job leaves an unmarked folder that no reader sees. A version goes only
+when the one after it has been complete for longer than READER_GRACE, so a
+running reader keeps its files. A state table that is changed by key is kept
+in buckets (:mod:`vulnspark.sources.buckets`) from its first change on.
 Event tables are partitioned by day and batch, and a batch written again
 replaces itself. Feed tables are partitioned by generation, so reading the
 live generation prunes the rest.
@@ -12,16 +14,15 @@ live generation prunes the rest.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from vulnspark.operators.generic import upsert
+from vulnspark.operators.generic import count_requests
 from vulnspark.params import DAY
-
-
-#: How long a superseded version stays readable, in seconds.
-READER_GRACE = 6 * 3600
+from vulnspark.sources.buckets import READER_GRACE, Changes, KeyedTable
 
 
 class StateStore:
@@ -55,6 +56,10 @@ class StateStore:
 
     def read_state(self, name: str, schema: str | None = None, predicate: Column | str | None = None) -> DataFrame:
         """The current table; an absent one is empty with the given schema. The predicate reaches the scan."""
+        keyed = KeyedTable(self, name).manifest()
+        if keyed is not None:
+            df = KeyedTable(self, name).read(keyed)
+            return df if predicate is None else df.filter(predicate)
         versions = self.versions(name)
         if not versions:
             if schema is None:
@@ -70,6 +75,9 @@ class StateStore:
 
     def replace_state(self, df: DataFrame, name: str, grace: int = READER_GRACE, partition_by: list[str] = ()) -> int:
         """Write a new complete version and drop those superseded for longer than ``grace`` seconds."""
+        keyed = KeyedTable(self, name).manifest()
+        if keyed is not None:
+            return KeyedTable(self, name).replace(df, keyed.keys, grace).version
         number = max(self.versions(name), default=0) + 1
         path = f"{self.root}/{name}/v={number:012d}"
         writer = df.write.mode("overwrite")
@@ -81,9 +89,29 @@ class StateStore:
                 self._remove(f"{self.root}/{name}/v={old:012d}")
         return number
 
+    def changes(self, name: str, keys: list[str], run: str, schema: str | None = None) -> Changes:
+        """A run's changes to a table, to be gathered and committed together."""
+        return Changes(self, name, keys, run, schema)
+
+    def commit_changes(self, changes: DataFrame, name: str, keys: list[str], grace: int = READER_GRACE) -> int:
+        table = KeyedTable(self, name)
+        if table.manifest() is None and self.versions(name):
+            table.replace(self.read_state(name), keys, grace)
+        return table.commit(changes, keys, grace).version
+
     def upsert_state(self, new: DataFrame, name: str, keys: list[str]) -> int:
-        old = self.read_state(name) if self.versions(name) else empty(self.spark, new.schema)
-        return self.replace_state(upsert(old, new, keys), name)
+        """Whole rows put in place by key, in one commit."""
+        changes = self.changes(name, keys, "upsert")
+        changes.upsert(new)
+        return changes.commit()
+
+    def delete_state(self, requests: DataFrame, name: str, key: str) -> DataFrame:
+        """Delete rows by key in one commit; how many were requested, deleted and skipped."""
+        changes = self.changes(name, [key], "delete")
+        counted = count_requests(self.read_state(name), requests, key)
+        changes.delete(requests.filter(F.col(key).isNotNull() & (F.col(key) != "")))
+        changes.commit()
+        return counted
 
     def append_events(self, df: DataFrame, name: str, batch: str, day: str = "day") -> None:
         """Add a batch of events; the same batch written again takes its own place."""
@@ -131,8 +159,9 @@ class StateStore:
         counts = {}
         for name, df in tables.items():
             path = f"{self.root}/feed/{name}/gen={gen}"
-            df.write.mode("overwrite").parquet(path)
-            counts[name] = self.spark.read.parquet(path).count()
+            seen = Observation()
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+            counts[name] = seen.get["n"]
         empty_tables = [n for n in required if not counts.get(n)]
         if empty_tables:
             for name in tables:
@@ -150,6 +179,16 @@ class StateStore:
         return counts
 
 
+def scratch_store(spark: SparkSession, name: str) -> StateStore:
+    """A store of its own in the folder all executors share; a temporary one only in a local session that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="vulnspark-")
+    return StateStore(spark, f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
 def empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
