@@ -18,7 +18,7 @@ from vulnspark.functions.text import stamp_text
 from vulnspark.operators import evidence, exceptions, inventory, lifecycle, matching
 from vulnspark.operators.generic import first_per_key
 from vulnspark.params import DAY, RETENTION_DAYS, Params
-from vulnspark.plans import rollup_state
+from vulnspark.plans import rollup_state, snapshot_state
 from vulnspark.schemas import EVENTS, STATE
 from vulnspark.sources.inventory import record_schema, split_records
 from vulnspark.sources.state import StateStore
@@ -54,6 +54,9 @@ def ingest(store: StateStore, records: DataFrame, batch: str) -> None:
     """Add a batch of scan records to the event tables, by kind and day; a repeated batch changes nothing."""
     for kind, rows in split_records(records).items():
         store.append_events(_day(rows.drop("_corrupt"), "scanned_at"), f"scan_{kind}", batch)
+    for kind, update in (("component", snapshot_state.update_components), ("heartbeat", snapshot_state.update_heartbeats)):
+        own = store.read_events(f"scan_{kind}", record_schema(store.spark)).filter(F.col("batch") == batch)
+        update(store, own, f"batch-{batch}")
 
 
 def _scans(store: StateStore, kind: str, now: int) -> DataFrame:
@@ -88,8 +91,9 @@ def snapshot_hosts(store: StateStore, now: int, p: Params) -> None:
 def match_dirty(store: StateStore, now: int, p: Params) -> None:
     """Match what changed and append findings and receipts."""
     feed_gen = str(store.live_generation())
-    latest = inventory.latest_inventory(_scans(store, "component", now))
-    digests = inventory.host_digest(_scans(store, "heartbeat", now), latest)
+    since = now - RETENTION_DAYS["inventory"] * DAY
+    latest = snapshot_state.current_components(store, since)
+    digests = inventory.host_digest(snapshot_state.current_heartbeats(store, since), latest)
     store.replace_state(digests, "digests")
     dirty = inventory.dirty_hosts(store.read_state("digests"), _state(store, "matchstate"), feed_gen, now, p)
     todo = matching.dirty_inventory(latest, dirty, _state(store, "containers"))
@@ -162,6 +166,7 @@ def expire(store: StateStore, now: int) -> None:
     """Drop event days older than their retention."""
     for kind in ("component", "heartbeat", "exposure", "container", "link", "config"):
         store.expire_partitions(f"scan_{kind}", RETENTION_DAYS["inventory"], now)
+    snapshot_state.expire_snapshots(store, now - RETENTION_DAYS["inventory"] * DAY)
     for name, kept in (("findings", "findings"), ("receipts", "findings"), ("findings_archive", "findings_archive")):
         store.expire_partitions(name, RETENTION_DAYS[kept], now)
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vulnspark.functions.cvss import cvss_letters
-from vulnspark.operators import attack, evidence, priority, rollups, routes
+from vulnspark.operators import attack, evidence, priority, rollup_changes, rollups, routes
 from vulnspark.operators.generic import first_per_key, salted_join, subtotal
 from vulnspark.params import Params
+from vulnspark.plans import rollup_state
 from vulnspark.plans.queries.evidence import _LOADED, _REACH, _SUPPORT, _TRIAGE, _links, _loaded, support, triaged
 from vulnspark.plans.queries.registry import query
 from vulnspark.plans.testbed import NOW, Bed
+from vulnspark.sources.state import scratch_store
 
 # --- graph ------------------------------------------------------------------
 
@@ -424,6 +426,42 @@ def rollup_cve(bed: Bed):
     return rollups.rollup_cve(bed.finding).withColumn("packages", F.array_join("packages", ",")).drop("kev_due")
 
 
+_KEPT: dict = {}
+
+
+def kept_rollups(bed: Bed):
+    """A store whose roll-ups followed the findings from an earlier state, by changes and deletions, to today's; made once a session."""
+    session = (bed.spark.sparkContext.applicationId, bed.folder)
+    if session in _KEPT:
+        return _KEPT[session]
+    store = scratch_store(bed.spark, "rollups")
+    earlier = bed.finding.filter("times_seen < 4").withColumns({
+        "status": F.lit("open"), "accepted": F.lit("0"), "severity": F.lit("low"), "title": F.lit("Flaw"), "age_days": F.col("age_days") - 1})
+    since_gone = bed.finding.filter("kev_added <> ''").withColumn("finding_key", F.concat(F.lit("old-"), "finding_key"))
+    store.upsert_state(earlier.unionByName(since_gone), "findings_state", ["finding_key"])
+    rollup_state.roll_up(store, NOW - 86400)
+    changes = store.changes("findings_state", ["finding_key"], "today")
+    changes.upsert(bed.finding)
+    changes.delete(since_gone)
+    changes.commit()
+    rollup_state.roll_up(store, NOW)
+    _KEPT[session] = store
+    return store
+
+
+def _kept(name: str, of: str, rows):
+    from vulnspark.plans.queries.registry import ORACLES, QUERIES
+
+    query(name)(lambda bed: rows(kept_rollups(bed)))
+    ORACLES[name] = ORACLES[of]
+
+
+_kept("rollup_host_kept", "rollup_host", lambda store: rollup_changes.host_view(store.read_state("openstate_host"), NOW).drop("rolled_at"))
+_kept("rollup_dim_kept", "rollup_dim", lambda store: store.read_state("openstate_dim").withColumns({c: F.round(c, 3) for c in ("age_q1", "age_med", "age_q3")}))
+_kept("rollup_host_dim_kept", "rollup_host_dim", lambda store: store.read_state("openstate_host_dim"))
+_kept("rollup_cve_kept", "rollup_cve", lambda store: store.read_state("openstate_cve").withColumn("packages", F.array_join("packages", ",")).drop("kev_due"))
+
+
 @query("host_overview", f"""WITH {_OPEN}, r AS (SELECT hostname, count(*) AS n, count(DISTINCT cve_id) AS c, count_if(kev_added <> '') AS k, max(epss) AS e FROM op GROUP BY hostname)
 SELECT h.hostname, h.os, h.s_suppkey AS n_components, CASE WHEN r.n IS NULL THEN 'not counted yet' ELSE concat(r.n) END AS findings, CASE WHEN r.n IS NULL THEN '' ELSE concat(r.c) END AS cves, coalesce(r.k, 0) AS kev, round(r.e * 100, 1) AS top_epss_pct FROM t_host h LEFT JOIN r ON r.hostname = h.hostname""")
 def host_overview(bed: Bed):

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from vulnspark.operators import generic, inventory
 from vulnspark.params import Params
+from vulnspark.plans import snapshot_state
 from vulnspark.plans.queries.registry import GONE, query
 from vulnspark.plans.testbed import EVENTS_NOW, NOW, Bed
-from vulnspark.sources.state import backfill_summary, feed_manifest, feed_summary
+from vulnspark.sources.state import backfill_summary, feed_manifest, feed_summary, scratch_store
 
 # Components seen over several scans of a host: one scan per line number.
 _SCANS = """
@@ -36,6 +37,16 @@ def latest_inventory(bed: Bed):
     return latest_rows(bed).select("hostname", "name", "type", "path", "version", "purl", "vendor", "scanned_at")
 
 
+@query("latest_inventory_batches", f"WITH {_LATEST} SELECT hostname, name, type, path, version, purl, vendor, scanned_at FROM latest")
+def latest_inventory_batches(bed: Bed):
+    """The same snapshot kept in the store, from three batches of scans that arrive out of order, one of them twice."""
+    store, scans = scratch_store(bed.spark, "components"), bed.sql(_SCANS)
+    early, late = F.col("scanned_at") < 1004009000, F.col("scanned_at") >= 1004016000
+    for run, batch in (("b", scans.filter(~early & ~late)), ("c", scans.filter(late)), ("a", scans.filter(early)), ("c", scans.filter(late))):
+        snapshot_state.update_components(store, batch, run)
+    return snapshot_state.current_components(store).select("hostname", "name", "type", "path", "version", "purl", "vendor", "scanned_at")
+
+
 @query("inventory_digest", f"""WITH {_LATEST}
 SELECT hostname, CAST(sum({_HASH}) AS BIGINT) AS digest, count(*) AS n_components, max(scanned_at) AS scanned_at FROM latest GROUP BY hostname""")
 def inventory_digest(bed: Bed):
@@ -323,12 +334,27 @@ WITH req AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE concat(o_custkey
 SELECT count(*) AS requested, count(DISTINCT CASE WHEN EXISTS (SELECT 1 FROM t_finding f WHERE f.finding_key = req.finding_key) THEN finding_key END) AS deleted, count_if(finding_key = '') AS skipped FROM req""")
 def keyed_delete(bed: Bed):
     key = F.when(F.col("o_orderkey") % 10 == 0, "").otherwise(F.concat_ws("-", F.col("o_custkey") % 10, F.col("o_orderkey") % 5000))
-    return generic.delete_keys(bed.finding, bed.b_orders.select(key.alias("finding_key")), "finding_key")[1]
+    store = scratch_store(bed.spark, "keyed-delete")
+    store.upsert_state(bed.finding.select("finding_key", "status"), "findings", ["finding_key"])
+    return store.delete_state(bed.b_orders.select(key.alias("finding_key")), "findings", "finding_key")
+
+
+@query("state_after_delete", """
+WITH req AS (SELECT concat(o_custkey % 10, '-', o_orderkey % 5000) AS finding_key FROM b_orders WHERE o_orderkey % 10 <> 0)
+SELECT finding_key, status FROM t_finding WHERE finding_key NOT IN (SELECT finding_key FROM req)""")
+def state_after_delete(bed: Bed):
+    key = F.when(F.col("o_orderkey") % 10 == 0, "").otherwise(F.concat_ws("-", F.col("o_custkey") % 10, F.col("o_orderkey") % 5000))
+    store = scratch_store(bed.spark, "keyed-delete")
+    store.upsert_state(bed.finding.select("finding_key", "status"), "findings", ["finding_key"])
+    store.delete_state(bed.b_orders.select(key.alias("finding_key")), "findings", "finding_key")
+    return store.read_state("findings")
 
 
 @query("state_upsert", """
 SELECT finding_key, status, NULL AS title FROM t_finding WHERE accepted = '1' UNION ALL SELECT finding_key, status, title FROM t_finding WHERE accepted <> '1'""")
 def state_upsert(bed: Bed):
     # A whole-row replace: the title the new rows do not carry is lost.
-    state = bed.finding.select("finding_key", "status", "title")
-    return generic.upsert(state, bed.finding.filter("accepted = '1'").select("finding_key", "status"), ["finding_key"])
+    store = scratch_store(bed.spark, "state-upsert")
+    store.upsert_state(bed.finding.select("finding_key", "status", "title"), "findings", ["finding_key"])
+    store.upsert_state(bed.finding.filter("accepted = '1'").select("finding_key", "status"), "findings", ["finding_key"])
+    return store.read_state("findings")

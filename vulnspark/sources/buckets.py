@@ -111,6 +111,11 @@ class KeyedTable:
         changed = [b for b in {*old.files, *new.files} if old.files.get(b) != new.files.get(b)]
         return self.read(old, changed), self.read(new, changed)
 
+    def touched(self, rows: DataFrame, m: Manifest) -> list[int]:
+        """The buckets that the rows belong to."""
+        found = rows.select(self.bucket(m.by, m.buckets).alias("b")).groupBy("b").count()
+        return sorted(r["b"] for r in found.collect())
+
     def bucket(self, by: list[str], buckets: int) -> Column:
         return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")
 
@@ -156,6 +161,12 @@ class KeyedTable:
         size, buckets = sum(before.rows.values()) + sum(r["count"] for r in touched), before.buckets
         while size > 2 * self.target * buckets:
             buckets *= 2
+        if not touched and buckets == before.buckets:
+            if note is None or note == before.note:
+                return before
+            m = Manifest(before.version + 1, keys, before.by, buckets, before.schema, before.files, before.rows, note)
+            self._publish(m)
+            return m
         rewritten = sorted(before.files) if buckets > before.buckets else sorted(r["b"] for r in touched)
         old = self.read(before, rewritten)
         kept = old.join(changes.select(*keys), keys, "left_anti")
