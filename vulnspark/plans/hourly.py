@@ -18,7 +18,7 @@ from vulnspark.functions.text import stamp_text
 from vulnspark.operators import evidence, exceptions, inventory, lifecycle, matching
 from vulnspark.operators.generic import first_per_key
 from vulnspark.params import DAY, RETENTION_DAYS, Params
-from vulnspark.plans import rollup_state, snapshot_state
+from vulnspark.plans import rollup_state, snapshot_state, version_state
 from vulnspark.schemas import EVENTS, STATE
 from vulnspark.sources.inventory import record_schema, split_records
 from vulnspark.sources.state import StateStore
@@ -99,7 +99,7 @@ def match_dirty(store: StateStore, now: int, p: Params) -> None:
     todo = matching.dirty_inventory(latest, dirty, _state(store, "containers"))
     store.replace_state(todo, "match_input")
     todo = store.read_state("match_input")
-    found = matching.match(todo, store.read_feed("ranges"), store.read_feed("notaffected"), store.read_feed("advisories"))
+    found = version_state.match(store, todo, _run(now))
     events = found.select(*[c for c in FINDING_EVENT if c in found.columns], F.col("scanned_at").alias("scan_time"),
                           F.lit(now).cast("bigint").alias("match_run"), F.lit(now).cast("bigint").alias("ingested_at"))
     store.append_events(_day(events, "ingested_at"), "findings", _run(now))

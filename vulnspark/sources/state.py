@@ -152,6 +152,10 @@ class StateStore:
         """A feed table at the live generation."""
         return self.spark.read.parquet(f"{self.root}/feed/{name}").filter(F.col("gen") == self.live_generation())
 
+    def has_feed(self, name: str) -> bool:
+        """Whether the live generation has a table."""
+        return self._exists(f"{self.root}/feed/{name}/gen={self.live_generation()}")
+
     def load_feed(self, tables: dict[str, DataFrame], now: int, required: tuple[str, ...] = ("advisories", "ranges")) -> dict[str, int]:
         """Write a new generation, refuse an empty required table, flip to it, sweep the old ones."""
         live = self.live_generation() or 0
@@ -189,6 +193,13 @@ def scratch_store(spark: SparkSession, name: str) -> StateStore:
     return StateStore(spark, f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of their own in the shared folder: made once, and their plan ends there."""
+    path = f"{scratch_store(df.sparkSession, name).root}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
