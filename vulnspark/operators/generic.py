@@ -18,19 +18,10 @@ from vulnspark.params import DAY
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a loop variable in the shared checkpoint folder.
+    """A loop variable as a table of its own in the shared folder: made once, whatever reads it, and not lost with an executor."""
+    from vulnspark.sources.state import written
 
-    A session that names no folder keeps the lineage: the loops run a bounded
-    number of rounds, each over the round before it only, and are one plan.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return written(df, "loop")
 
 
 # --- aggregates -------------------------------------------------------------
@@ -79,11 +70,6 @@ def with_group(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     return df.join(renamed, on, "inner").drop(*[f"_g_{k}" for k in keys])
 
 
-def with_total(df: DataFrame, **aggs: Column) -> DataFrame:
-    """Whole-table aggregates on every row, read through scalar subqueries."""
-    return df.withColumns({name: df.agg(agg.alias(name)).scalar() for name, agg in aggs.items()})
-
-
 def newest_rows(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Every row of a key's newest time, ties kept."""
     return with_group(df, keys, F.max(ts).alias("_newest")).filter(
@@ -96,16 +82,6 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def top_per_key(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
-
-
-def best_rank_rows(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
-    """Rows holding the key's best (largest) rank, ties kept."""
-    return newest_rows(df, keys, rank)
-
-
 def subtotal(df: DataFrame, keys: list[str], label: dict[str, str], *aggs: Column) -> DataFrame:
     """The rows plus one aggregate row per key, labelled."""
     total = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
@@ -143,13 +119,6 @@ def lookup(df: DataFrame, table: DataFrame, on: dict[str, str] | list[str], outp
     return joined.select(*kept, *[F.col(f"__lo_{n}").alias(n) for n in outputs.values()])
 
 
-def lookup_values(df: DataFrame, table: DataFrame, on: dict[str, str], outputs: dict[str, str]) -> DataFrame:
-    """A lookup whose table may hold several rows per key: outputs become sorted sets."""
-    keys = list(on.values())
-    grouped = table.groupBy(*keys).agg(*[values(c).alias(c) for c in outputs])
-    return lookup(df, grouped, on, outputs)
-
-
 def lookup_fallback(df: DataFrame, table: DataFrame, keys: list[str], key: str, outputs: list[str]) -> DataFrame:
     """Try several key columns in order and keep the first value found per output."""
     out = df

@@ -52,20 +52,26 @@ SELECT concat('host-', l_suppkey) AS hostname, concat('c', l_suppkey) AS contain
   concat('img', l_partkey % 9) AS image_ref, l_partkey, @EPOCH(l_shipdate) AS scanned_at, l_linenumber FROM b_lineitem"""
 
 
+# The snapshot before: a container that its host has replaced, and one of a host that has not reported since.
+_OLD_BOXES = """
+SELECT concat('host-', s_suppkey) AS hostname, concat('before', s_suppkey) AS container_id, 'before' AS container_short, 'c' AS container_name, 'docker' AS runtime, 'running' AS state, 'old' AS image_ref,
+  '' AS image_digest, 'debian' AS os_id, '11' AS os_version_id, 'e' AS endpoints_text, 'd' AS declared_text, 3 AS n_endpoints, 2 AS n_public_endpoints, CAST(5 AS BIGINT) AS scanned_at FROM b_supplier
+UNION ALL SELECT concat('quiet-', s_suppkey), concat('kept', s_suppkey), 'kept', 'c', 'docker', 'running', concat('old', s_suppkey % 4), '', 'debian', '11', 'e', 'd', 3, 2, CAST(5 AS BIGINT) FROM b_supplier"""
+
+
 def _boxes(bed: Bed):
     rows = bed.sql(_BOXES)
     ends = F.when(F.col("l_partkey") % 4 == 0, F.array().cast("array<string>")).when(
         F.col("l_partkey") % 4 == 1, F.array(F.lit("127.0.0.1:80"))).otherwise(F.array(F.lit("0.0.0.0:443"), F.lit("[::1]:1")))
     one = rows.groupBy("hostname", "container_id").agg(F.max(F.struct("scanned_at", "l_partkey", "state", "image_ref")).alias("m")).select("hostname", "container_id", "m.*")
     one = one.withColumns({"container_name": F.lit("null"), "runtime": F.lit("docker"), "image_digest": F.lit(""), "os_id": F.lit("debian"), "os_version_id": F.lit("12"), "endpoints": ends, "declared_endpoints": F.array(F.lit("80"))})
-    out = evidence.containers(one.drop("l_partkey"), one.limit(0).drop("l_partkey", "endpoints", "declared_endpoints"), bed.host, NOW)
-    return out
+    return evidence.containers(one.drop("l_partkey"), bed.sql(_OLD_BOXES), bed.host, NOW)
 
 
 _BOX_SQL = f"""boxes AS (SELECT hostname, container_id, nullif(state, 'null') AS state, image_ref, l_partkey % 4 AS k FROM ({_BOXES}) WHERE {GONE} QUALIFY row_number() OVER (PARTITION BY hostname, container_id ORDER BY scanned_at DESC, l_partkey DESC) = 1)"""
 
 
-@query("container_snapshot", f"WITH {_BOX_SQL} SELECT hostname, container_id, state, image_ref, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS n_endpoints, CASE WHEN k >= 2 THEN 1 ELSE 0 END AS n_public_endpoints FROM boxes")
+@query("container_snapshot", f"WITH {_BOX_SQL} SELECT hostname, container_id, state, image_ref, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS n_endpoints, CASE WHEN k >= 2 THEN 1 ELSE 0 END AS n_public_endpoints FROM boxes UNION ALL SELECT hostname, container_id, state, image_ref, n_endpoints, n_public_endpoints FROM ({_OLD_BOXES}) WHERE hostname LIKE 'quiet%' OR hostname NOT IN (SELECT hostname FROM boxes) AND {GONE} AND hostname NOT IN (SELECT concat('host-', l_suppkey) FROM b_lineitem)")
 def container_snapshot(bed: Bed):
     return _boxes(bed).select("hostname", "container_id", "state", "image_ref", "n_endpoints", "n_public_endpoints")
 

@@ -112,8 +112,9 @@ def cvelist_rows(bed: Bed):
     return out.select("cve_id", "description", "products", "cwes", "published")
 
 
-@query("advisory_overlay", """WITH a AS (SELECT * FROM t_advisory QUALIFY row_number() OVER (PARTITION BY cve_id ORDER BY advisory_id) = 1), w AS (SELECT cve_id, min(cwe_a) AS c FROM t_advisory WHERE severity = 'high' GROUP BY cve_id)
-SELECT a.cve_id, a.advisory_id, coalesce(CASE WHEN a.severity = 'low' THEN a.cwe_b END, w.c) AS cwe, a.epss FROM a LEFT JOIN w ON w.cve_id = a.cve_id""")
+@query("advisory_overlay", """WITH a AS (SELECT * FROM t_advisory QUALIFY row_number() OVER (PARTITION BY cve_id ORDER BY advisory_id) = 1), w AS (SELECT cve_id, min(cwe_a) AS c FROM t_advisory WHERE severity = 'high' GROUP BY cve_id),
+k AS (SELECT cve_id, max(kev_added) AS kev_added FROM t_advisory WHERE kev_added <> '' GROUP BY cve_id)
+SELECT a.cve_id, a.advisory_id, coalesce(CASE WHEN a.severity = 'low' THEN a.cwe_b END, w.c) AS cwe, a.epss, k.kev_added FROM a LEFT JOIN w ON w.cve_id = a.cve_id LEFT JOIN k ON k.cve_id = a.cve_id""")
 def advisory_overlay(bed: Bed):
     # The CVE id stands in as the advisory id so that several sources collide on it.
     none = F.array().cast("array<string>")
@@ -121,9 +122,9 @@ def advisory_overlay(bed: Bed):
                               F.when(F.col("severity") == "low", F.array("cwe_b")).otherwise(none).alias("cwes"))
     nvd = bed.advisory.select("cve_id", F.when(F.col("severity") == "high", F.array("cwe_a")).otherwise(none).alias("cwes"))
     first = bed.advisory.groupBy("cve_id").agg(F.min_by(F.struct("epss"), "advisory_id").alias("e")).select("cve_id", "e.epss")
-    kev = bed.advisory.limit(0).select("cve_id", "kev_added")
+    kev = bed.advisory.filter("kev_added <> ''").groupBy("cve_id").agg(F.max("kev_added").alias("kev_added"))
     out = advisory_feeds.overlay(adv, nvd, kev, first)
-    return out.select("cve_id", F.col("source_order").alias("advisory_id"), F.get("cwes", S(0)).alias("cwe"), "epss")
+    return out.select("cve_id", F.col("source_order").alias("advisory_id"), F.get("cwes", S(0)).alias("cwe"), "epss", "kev_added")
 
 
 def _capec_csv(bed: Bed):

@@ -91,13 +91,19 @@ def dirty_hosts(bed: Bed):
     return inventory.dirty_hosts(digests, bed.sql(_MATCHSTATE), "7", NOW)
 
 
+def _other(prefix: str, every: int):
+    """The host's name, or for every so many hosts one that older tables do not have."""
+    return F.concat(F.when(F.col("user_id") % every == 0, prefix).otherwise("host-"), F.col("user_id"))
+
+
 @query("carry_forward_state", """
-WITH old AS (SELECT user_id, event_type, count(*) AS n, max(@EPOCH(ts)) AS seen_at FROM b_events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY ALL),
-new AS (SELECT user_id, event_type, count(*) AS n, max(@EPOCH(ts)) AS seen_at FROM b_events WHERE ts >= TIMESTAMP '2024-01-15' AND user_id % 3 <> 0 GROUP BY ALL),
-n2 AS (SELECT user_id, event_type, n, max(seen_at) OVER (PARTITION BY user_id) AS seen_at FROM new),
-o2 AS (SELECT user_id, event_type, n, max(seen_at) OVER (PARTITION BY user_id) AS seen_at FROM old)
-SELECT concat('host-', user_id) AS hostname, event_type, n, seen_at FROM n2
-UNION ALL SELECT concat('host-', user_id), event_type, n, seen_at FROM o2 WHERE user_id NOT IN (SELECT user_id FROM n2)
+WITH old AS (SELECT concat('host-', user_id) AS hostname, event_type, count(*) AS n, max(@EPOCH(ts)) AS seen_at FROM b_events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY ALL),
+new AS (SELECT concat(CASE WHEN user_id % 3 = 0 THEN 'renamed-' ELSE 'host-' END, user_id) AS hostname, event_type, count(*) AS n, max(@EPOCH(ts)) AS seen_at
+  FROM b_events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY ALL),
+n2 AS (SELECT hostname, event_type, n, max(seen_at) OVER (PARTITION BY hostname) AS seen_at FROM new),
+o2 AS (SELECT hostname, event_type, n, max(seen_at) OVER (PARTITION BY hostname) AS seen_at FROM old)
+SELECT hostname, event_type, n, seen_at FROM n2
+UNION ALL SELECT hostname, event_type, n, seen_at FROM o2 WHERE hostname NOT IN (SELECT hostname FROM n2)
   AND seen_at >= 1706659200 - 17 * 86400""")
 def carry_forward_state(bed: Bed):
     rows = bed.heartbeat.withColumn("later", F.col("scanned_at") >= 1705276800)
@@ -107,7 +113,7 @@ def carry_forward_state(bed: Bed):
         return per.drop("seen_at").join(per.groupBy("hostname").agg(F.max("seen_at").alias("seen_at")), "hostname")
 
     old = snapshot(rows.filter("not later"))
-    new = snapshot(rows.filter("later and user_id % 3 <> 0"))
+    new = snapshot(rows.filter("later").withColumn("hostname", _other("renamed-", 3)))
     hosts = old.unionByName(new).groupBy("hostname").agg(F.max("seen_at").alias("host_last_scan"))
     return generic.carry_forward(new, old, "seen_at", ["hostname", "event_type"], hosts, EVENTS_NOW, 17)
 
@@ -141,16 +147,16 @@ def host_cadence_step(bed: Bed):
 
 
 @query("host_state", """
-WITH new AS (SELECT concat('host-', user_id) AS hostname, max(@EPOCH(ts)) AS host_last_scan, arg_max(event_type, (ts, event_type)) AS os
-  FROM b_events WHERE user_id % 4 <> 0 GROUP BY ALL),
+WITH new AS (SELECT concat(CASE WHEN user_id % 4 = 0 THEN 'first-' ELSE 'host-' END, user_id) AS hostname, max(@EPOCH(ts)) AS host_last_scan, arg_max(event_type, (ts, event_type)) AS os
+  FROM b_events GROUP BY ALL),
 old AS (SELECT concat('host-', user_id) AS hostname, max(@EPOCH(ts)) + 50 * (user_id % 2) AS host_last_scan, 'old' AS os FROM b_events GROUP BY user_id)
 SELECT coalesce(n.hostname, o.hostname) AS hostname, greatest(n.host_last_scan, o.host_last_scan) AS host_last_scan,
-  CASE WHEN n.host_last_scan >= o.host_last_scan THEN n.os ELSE o.os END AS os FROM new n FULL JOIN old o ON o.hostname = n.hostname""")
+  CASE WHEN o.hostname IS NULL OR n.host_last_scan >= o.host_last_scan THEN n.os ELSE o.os END AS os FROM new n FULL JOIN old o ON o.hostname = n.hostname""")
 def host_state(bed: Bed):
     rows = bed.heartbeat.withColumn("os_id", F.col("event_type"))
     old = rows.groupBy("hostname", "user_id").agg(F.max("scanned_at").alias("t")).select(
         "hostname", (F.col("t") + 50 * (F.col("user_id") % 2)).alias("host_last_scan"), F.lit("old").alias("os"))
-    return inventory.host_state(rows.filter("user_id % 4 <> 0"), old).select("hostname", "host_last_scan", "os")
+    return inventory.host_state(rows.withColumn("hostname", _other("first-", 4)), old).select("hostname", "host_last_scan", "os")
 
 
 @query("ecosystem_counts", f"""WITH {_LATEST}, c AS (SELECT hostname, type, count(DISTINCT name) AS components, count(*) AS instances, count_if(purl <> '') AS with_identifier
@@ -294,8 +300,8 @@ def config_surface(bed: Bed):
 
 
 @query("inventory_state", """
-WITH comps AS (SELECT concat('host-', l_suppkey) AS hostname, concat('pkg', l_partkey) AS package, concat('/usr/lib/pkg', l_partkey) AS path, concat('2.', CAST(l_quantity AS INT)) AS version,
-    concat('src', l_partkey % 3) AS source, CAST(1004000000 + (l_linenumber % 2) * 100000 AS BIGINT) AS seen_at FROM b_lineitem WHERE l_linestatus = 'O' AND l_suppkey % 5 <> 0),
+WITH comps AS (SELECT concat(CASE WHEN l_suppkey % 5 = 0 THEN 'renamed-' ELSE 'host-' END, l_suppkey) AS hostname, concat('pkg', l_partkey) AS package, concat('/usr/lib/pkg', l_partkey) AS path, concat('2.', CAST(l_quantity AS INT)) AS version,
+    concat('src', l_partkey % 3) AS source, CAST(1004000000 + (l_linenumber % 2) * 100000 AS BIGINT) AS seen_at FROM b_lineitem WHERE l_linestatus = 'O'),
 last AS (SELECT *, max(seen_at) OVER (PARTITION BY hostname) AS lastat FROM comps),
 ran AS (SELECT DISTINCT hostname, source FROM last WHERE seen_at >= lastat - 300),
 fresh AS (SELECT hostname, package, path, arg_max(version, (seen_at, version)) AS current_version, max(seen_at) AS inv_time FROM comps GROUP BY ALL),
@@ -307,8 +313,8 @@ held AS (SELECT g.hostname, g.package, g.path, g.current_version, g.inv_time,
 SELECT hostname, package, path, current_version, inv_time, cat_ran FROM (SELECT * FROM kept UNION ALL SELECT * FROM held WHERE cat_ran = 0 OR hostname NOT IN (SELECT hostname FROM kept)) z
 WHERE hostname NOT IN (SELECT hostname FROM t_host WHERE 1005000000 - host_last_scan > 180 * 86400)""")
 def inventory_state(bed: Bed):
-    comps = bed.b_lineitem.filter("l_linestatus = 'O' and l_suppkey % 5 <> 0").select(
-        F.concat(F.lit("host-"), "l_suppkey").alias("hostname"), F.concat(F.lit("pkg"), "l_partkey").alias("name"),
+    comps = bed.b_lineitem.filter("l_linestatus = 'O'").select(
+        F.concat(F.when(F.col("l_suppkey") % 5 == 0, "renamed-").otherwise("host-"), "l_suppkey").alias("hostname"), F.concat(F.lit("pkg"), "l_partkey").alias("name"),
         F.concat(F.lit("/usr/lib/pkg"), "l_partkey").alias("path"), F.concat(F.lit("2."), F.col("l_quantity").cast("int")).alias("version"),
         F.concat(F.lit("src"), F.col("l_partkey") % 3).alias("source_key"), (1004000000 + (F.col("l_linenumber") % 2) * 100000).cast("bigint").alias("scanned_at"))
     parts = bed.finding_parts.select(F.concat_ws("-", "l_suppkey", "l_partkey").alias("finding_key"), F.concat(F.lit("src"), F.col("l_partkey") % 3).alias("source"))

@@ -10,9 +10,9 @@ from vulnspark.params import Params
 from vulnspark.plans.queries.registry import query
 from vulnspark.plans.testbed import NOW, Bed
 
-# One finding event per line item; the run is a week number.
+# One finding event per line item; the run is a week number. Hosts that moved are in no host table.
 _EVENTS = """
-SELECT concat(l_suppkey, '-', l_partkey) AS finding_key, concat('host-', l_suppkey) AS hostname, concat('pkg', l_partkey) AS package,
+SELECT concat(l_suppkey, '-', l_partkey) AS finding_key, concat(CASE WHEN l_suppkey % 10 = 3 THEN 'moved-' ELSE 'host-' END, l_suppkey) AS hostname, concat('pkg', l_partkey) AS package,
   concat('/usr/lib/pkg', l_partkey) AS path, concat('CVE-', l_partkey) AS cve_id, @EPOCH(l_shipdate) AS scan_time,
   CAST(floor(@EPOCH(l_shipdate) / 604800) AS BIGINT) * 604800 + 604800 AS match_run, concat('1.', CAST(l_quantity AS INT)) AS installed_version,
   CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_returnflag END AS severity, l_linenumber FROM b_lineitem"""
@@ -33,14 +33,14 @@ _SUMMARY = f"""events AS ({_EVENTS}), summary AS (SELECT finding_key, any_value(
 @query("lifecycle_full", f"""
 WITH {_SUMMARY}, inv AS ({_INVSTATE}), matched AS ({_MATCHED}),
 j AS (SELECT s.*, h.host_last_scan, m.matched_at, i.current_version, CASE WHEN m.matched_at IS NULL OR s.last_match_run >= m.matched_at - 300 THEN 1 ELSE 0 END AS is_current
-  FROM summary s LEFT JOIN t_host h ON h.hostname = s.hostname AND h.s_suppkey % 10 <> 3 LEFT JOIN matched m ON m.hostname = s.hostname
+  FROM summary s LEFT JOIN t_host h ON h.hostname = s.hostname LEFT JOIN matched m ON m.hostname = s.hostname
   LEFT JOIN inv i ON i.hostname = s.hostname AND i.package = s.package AND i.path = s.path),
 t AS (SELECT *, CASE WHEN is_current = 1 THEN 'open' WHEN host_last_scan IS NULL THEN 'unknown' WHEN current_version IS NOT NULL AND current_version <> last_version THEN 'mitigated'
   WHEN current_version IS NOT NULL THEN 'open' ELSE 'removed' END AS status FROM j)
 SELECT finding_key, first_seen, last_seen, first_found, last_match_run, first_version, last_version, severity, times_seen, is_current, status,
   CASE WHEN status = 'mitigated' THEN concat(last_version, ' -> ', current_version) END AS mitigation, round((1005000000 - first_seen) / 86400.0, 1) AS age_days FROM t""")
 def lifecycle_full(bed: Bed):
-    out = lifecycle.lifecycle_full(bed.sql(_EVENTS), bed.host.filter("s_suppkey % 10 <> 3"), bed.sql(_MATCHED), bed.sql(_INVSTATE), NOW)
+    out = lifecycle.lifecycle_full(bed.sql(_EVENTS), bed.host, bed.sql(_MATCHED), bed.sql(_INVSTATE), NOW)
     return out.select("finding_key", "first_seen", "last_seen", "first_found", "last_match_run", "first_version", "last_version", "severity", "times_seen",
                       "is_current", "status", "mitigation", "age_days")
 
@@ -91,20 +91,28 @@ def acknowledge_folds(bed: Bed):
     return out.select("hostname", "digest", "matched_at", "folded_run", "folded_findings")
 
 
+def _moved(rows: str) -> str:
+    """Rows whose hosts that end in 3 go by a name no host, inventory or scan table has."""
+    return f"SELECT z.*, CASE WHEN hostname LIKE '%3' THEN concat(hostname, '-moved') ELSE hostname END AS host_now FROM ({rows}) z"
+
+
 @query("close_reasons", f"""
-WITH inv AS ({_INVSTATE}), matched AS ({_MATCHED}),
-j AS (SELECT f.*, h.host_last_scan, i.current_version, i.cat_ran, sc.s_suppkey % 2 AS shrank FROM t_finding f JOIN matched m ON m.hostname = f.hostname
-  LEFT JOIN t_host h ON h.hostname = f.hostname AND h.s_suppkey % 10 <> 3 LEFT JOIN inv i ON i.hostname = f.hostname AND i.package = f.package AND i.path = f.path
-  LEFT JOIN b_supplier sc ON concat('host-', sc.s_suppkey) = f.hostname AND sc.s_suppkey % 6 <> 0
+WITH inv AS ({_INVSTATE}), matched AS ({_moved(_MATCHED)}), found AS ({_moved("SELECT * FROM t_finding")}),
+j AS (SELECT f.*, h.host_last_scan, i.current_version, i.cat_ran, sc.s_suppkey % 2 AS shrank FROM found f JOIN matched m ON m.host_now = f.host_now
+  LEFT JOIN t_host h ON h.hostname = f.host_now LEFT JOIN inv i ON i.hostname = f.host_now AND i.package = f.package AND i.path = f.path
+  LEFT JOIN b_supplier sc ON concat('host-', sc.s_suppkey) = f.host_now
   WHERE f.status = 'open' AND f.last_match_run < m.folded_run - 300),
 k AS (SELECT * FROM j WHERE coalesce(cat_ran, 1) <> 0 AND coalesce(shrank, 0) <> 1),
 s AS (SELECT *, CASE WHEN host_last_scan IS NULL THEN 'unknown' WHEN current_version IS NOT NULL AND current_version <> last_version THEN 'mitigated' ELSE 'removed' END AS new_status FROM k)
 SELECT finding_key, new_status AS status, CASE WHEN new_status = 'unknown' THEN 'host_silent' WHEN new_status = 'mitigated' THEN 'upgraded' WHEN current_version IS NULL THEN 'uninstalled' ELSE 'feed_retracted' END AS closure_reason,
   CASE WHEN new_status = 'mitigated' THEN concat(last_version, ' -> ', current_version) END AS mitigation, 1005000000 AS closed_at FROM s""")
 def close_reasons(bed: Bed):
-    scan = bed.b_supplier.filter("s_suppkey % 6 <> 0").select(F.concat(F.lit("host-"), "s_suppkey").alias("hostname"),
+    def moved(rows: str):
+        return bed.sql(_moved(rows)).drop("hostname").withColumnRenamed("host_now", "hostname")
+
+    scan = bed.b_supplier.select(F.concat(F.lit("host-"), "s_suppkey").alias("hostname"),
                                                               (F.col("s_suppkey") % 2).cast("int").alias("sources_shrank"), F.lit(0).alias("has_profile"))
-    out = lifecycle.close_unreported(bed.finding, bed.sql(_MATCHED), bed.host.filter("s_suppkey % 10 <> 3"), bed.sql(_INVSTATE), scan, NOW)
+    out = lifecycle.close_unreported(moved("SELECT * FROM t_finding"), moved(_MATCHED), bed.host, bed.sql(_INVSTATE), scan, NOW)
     return out.select("finding_key", "status", "closure_reason", "mitigation", "closed_at")
 
 

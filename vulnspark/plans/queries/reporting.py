@@ -90,10 +90,10 @@ def cve_in_fleet(bed: Bed):
     return reports.cve_in_fleet(bed.finding, evidence.reach(bed.exposure, NOW)).select("cve_id", "hostname", "package", "reach", "status", "accepted")
 
 
-@query("cve_identity", """WITH f AS (SELECT cve_id, arg_min(title, (-length(title), title)) AS t, max(epss) AS e, min(published) AS p FROM t_advisory GROUP BY cve_id), d AS (SELECT cve_id, max(title) AS products, any_value('') AS description FROM t_advisory WHERE severity = 'high' GROUP BY cve_id)
+@query("cve_identity", """WITH f AS (SELECT cve_id, arg_min(title, (-length(title), title)) AS t, max(epss) AS e, min(published) AS p FROM t_advisory GROUP BY cve_id), d AS (SELECT cve_id, max(title) AS products, any_value('') AS description FROM t_advisory GROUP BY cve_id)
 SELECT f.cve_id, coalesce(d.products, 'not named by the feed') AS product, f.t AS description, round(f.e * 100, 1) AS epss_pct FROM f LEFT JOIN d ON d.cve_id = f.cve_id""")
 def cve_identity(bed: Bed):
-    detail = bed.advisory.filter("severity = 'high'").groupBy("cve_id").agg(F.max("title").alias("products")).withColumns(
+    detail = bed.advisory.groupBy("cve_id").agg(F.max("title").alias("products")).withColumns(
         {"description": F.lit(""), "assigner": F.lit("cna"), "published": F.lit("2001")})
     return reports.cve_identity(bed.advisory, detail).select("cve_id", "product", "description", "epss_pct")
 
