@@ -113,7 +113,7 @@ def test_a_run_stopped_anywhere_and_repeated_gives_the_same_state(spark, tmp_pat
     whole = fresh("whole")
     ingest(whole, records, "1")
     hourly(whole, T0 + 600)
-    for writes in (12, 18, 19):
+    for writes in (12, 19):
         store = fresh(f"stopped-{writes}")
         with pytest.raises(Stop):
             stop_after(store, writes)

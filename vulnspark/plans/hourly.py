@@ -1,10 +1,10 @@
-"""The hourly job graph: one function that runs the operators in order over a state store.
+"""The hourly job graph: the operators in order over a state store.
 
-Every step reads written tables and writes a new version of one, so a lost
-executor repeats a step. A run may be repeated with the same ``now`` from the
-start, wherever it stopped: its events take the place of their batch, rows of
-state are replaced by key, and a run that a finding has already counted is
-not counted again.
+Every step reads written tables and writes new versions of others, so a lost
+executor repeats a task and a stopped run goes on at its step. A step may be
+repeated with the same ``now``, wherever it stopped: its events take the
+place of their batch, rows of state are replaced by key, and a run that a
+finding has already counted is not counted again.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.functions.text import stamp_text
-from vulnspark.operators import evidence, exceptions, inventory, lifecycle, matching
+from vulnspark.operators import evidence, exceptions, inventory, lifecycle, matching, network, priority, routes
 from vulnspark.operators.generic import first_per_key
 from vulnspark.params import DAY, RETENTION_DAYS, Params
 from vulnspark.plans import rollup_state, snapshot_state, version_state
-from vulnspark.schemas import EVENTS, STATE
+from vulnspark.plans.job_graph import Step, check, forget, run_steps
+from vulnspark.schemas import ENTRY, EVENTS, FLEET_COUNTS, FLOW, LINK_COVERAGE, LOADED, NETWORK_BEFORE, STATE, VERDICT
+from vulnspark.sources.flows import permitted_edges
 from vulnspark.sources.inventory import record_schema, split_records
 from vulnspark.sources.state import StateStore
 
@@ -148,18 +150,145 @@ def maintain_findings(store: StateStore, now: int, p: Params) -> None:
         changes.commit()
 
 
-def roll_up(store: StateStore, now: int) -> None:
+def _old(store: StateStore, name: str, like: DataFrame) -> DataFrame:
+    """A table as the run before left it, or an empty one of the given rows' kind."""
+    return store.read_state(name, like.schema)
+
+
+def _table(store: StateStore, name: str, schema: str) -> DataFrame:
+    """A table that a user or an importer keeps; empty where there is none."""
+    return store.read_state(name, schema)
+
+
+def _advisories(store: StateStore) -> DataFrame:
+    """The live advisories; what a feed does not tell is null."""
+    df = store.read_feed("advisories").drop("gen")
+    return df.withColumns({c: F.lit(None).cast(kind) for c, kind in (("cvss_vector", "string"), ("cvss_score", "double"), ("title", "string")) if c not in df.columns})
+
+
+def _open(store: StateStore) -> DataFrame:
+    return lifecycle.open_findings(_state(store, "findings_state"))
+
+
+def catch_up(store: StateStore, now: int, p: Params) -> None:
+    """Fold whatever retention holds for hosts whose last match was never folded, however long the fold was held up."""
+    matches = _state(store, "matchstate").filter(F.col("matched_at") <= now - p.ack_window)
+    behind = matches.filter(F.col("folded_run").isNull() | (F.col("folded_run") < F.col("matched_at") - p.run_tolerance))
+    if behind.isEmpty():
+        return
+    events = store.read_events("findings", EVENTS["findings"], _day_text(now - RETENTION_DAYS["findings"] * DAY))
+    findings, folds = store.changes("findings_state", ["finding_key"], f"catch-up-{now}", STATE["findings_state"]), store.changes("foldstate", ["hostname"], f"catch-up-{now}", STATE["foldstate"])
+    rows, folded = lifecycle.fold_catch_up(findings.rows(), events, behind, now, p)
+    findings.upsert(_shaped(rows, "findings_state"))
+    folds.upsert(_shaped(folded, "foldstate"))
+    findings.commit()
+    folds.commit()
+
+
+def close_artifacts(store: StateStore, now: int, p: Params) -> None:
+    """Findings on files that turned out to be installers or launchers are closed."""
+    closed = lifecycle.close_role_artifacts(_state(store, "findings_state"), _scans(store, "component", now), now)
+    store.upsert_state(_shaped(closed, "findings_state"), "findings_state", ["finding_key"])
+
+
+def roll_up(store: StateStore, now: int, p: Params = Params()) -> None:
     rollup_state.roll_up(store, now)
-    store.replace_state(evidence.reach(_state(store, "exposure"), now), "reach")
 
 
-def hourly(store: StateStore, now: int, p: Params = Params()) -> None:
-    """One run over everything ingested so far."""
-    snapshot_hosts(store, now, p)
-    match_dirty(store, now, p)
-    maintain_findings(store, now, p)
-    roll_up(store, now)
+def describe_fleet(store: StateStore, now: int, p: Params) -> None:
+    """Counts per ecosystem, vendors, loaded libraries, configuration and how far the evidence reaches."""
+    hosts = _state(store, "hoststate")
+    latest = snapshot_state.current_components(store, now - RETENTION_DAYS["inventory"] * DAY)
+    counts = _table(store, "fleet_counts", FLEET_COUNTS).filter("hostname <> '__fleet__'")
+    store.replace_state(inventory.ecosystem_counts(latest, counts, hosts, now, p), "fleet_counts")
+    store.replace_state(inventory.vendors(latest), "vendors")
+    links, config = _scans(store, "link", now), _scans(store, "config", now)
+    store.replace_state(evidence.loaded_libraries(links, _table(store, "loaded", LOADED), hosts, now, p), "loaded")
+    store.replace_state(evidence.link_coverage(links, _table(store, "link_coverage", LINK_COVERAGE), hosts, now, p), "link_coverage")
+    store.replace_state(inventory.config_surface(config, _old(store, "config", config), hosts, now, p), "config")
+    exposure = _state(store, "exposure")
+    store.replace_state(evidence.exposure_coverage(exposure), "exposure_coverage")
+    store.replace_state(evidence.reach(exposure, now), "reach")
+
+
+def observe_network(store: StateStore, now: int, p: Params) -> None:
+    """Permitted edges, who claims which address, and what was observed of each listening port."""
+    flows = store.read_events("flows", FLOW, _day_text(now - p.flow_absence_days * DAY))
+    store.replace_state(permitted_edges(flows), "edges")
+    claims = network.host_addresses(_scans(store, "exposure", now))
+    store.replace_state(network.address_claims(claims, _old(store, "claims", claims), _state(store, "hoststate"), now, p), "claims")
+    edges, held = store.read_state("edges"), store.read_state("claims")
+    seen = network.assess_observed(edges, _table(store, "entries", ENTRY), held, _state(store, "exposure"), _state(store, "findings_state"),
+                                   _table(store, "netevidence", NETWORK_BEFORE), now, p)
+    store.replace_state(seen, "netevidence")
+
+
+def walk_routes(store: StateStore, now: int, p: Params) -> None:
+    """What a route may use, the walk from every entry with its time, the paths and what listens along them."""
+    exposure, verdicts = _state(store, "exposure"), _table(store, "verdicts", VERDICT)
+    advisories = _advisories(store)
+    store.replace_state(routes.hop_class(_state(store, "findings_state"), exposure, advisories, verdicts), "hop_class")
+    hops = store.read_state("hop_class")
+    store.replace_state(routes.route_edges(store.read_state("netevidence"), store.read_state("edges"), store.read_state("claims"), hops), "route_edges")
+    edges = store.read_state("route_edges")
+    store.replace_state(routes.grade_edges(edges, p.max_hops).withColumn("walked_at", F.lit(now).cast("bigint")), "walk")
+    store.replace_state(routes.enumerate_paths(edges, p), "paths")
+    store.replace_state(routes.route_listeners(hops, exposure, edges), "route_listeners")
+
+
+def queue_priorities(store: StateStore, now: int, p: Params) -> None:
+    """CVEs that wait for a verdict, and hosts whose findings never arrived."""
+    advisories, verdicts = _advisories(store), _table(store, "verdicts", VERDICT)
+    queue = priority.candidate_queue(_open(store), store.read_state("reach"), advisories, store.read_state("vendors"), verdicts, p)
+    store.replace_state(queue, "candidates")
+    receipts = store.read_events("receipts", EVENTS["receipts"], _day_text(now - p.stuck_window)).filter(F.col("ingested_at") > now - p.stuck_window)
+    store.replace_state(lifecycle.stalled(receipts, _state(store, "matchstate"), store.read_state("feedstate").withColumn("generation", F.col("generation").cast("string")), p), "stalled")
+
+
+def renew_exceptions(store: StateStore, now: int, p: Params) -> None:
+    """Which exceptions are in force, and an audit row for each that ran out."""
+    known = _state(store, "exceptions")
+    expired = exceptions.expiry_events(known, now)
+    store.append_events(expired.withColumn("day", F.lit(_day_text(now))), "audit", _run(now))
+    store.upsert_state(_shaped(exceptions.reconcile_live_keys(known, now), "exceptions"), "exceptions", ["exception_key"])
+
+
+#: What other jobs bring: scans, flows, feeds and what users keep.
+GIVEN = ("scan_component", "scan_heartbeat", "scan_exposure", "scan_container", "scan_link", "scan_config", "component_facts", "heartbeat_facts",
+         "flows", "feed", "entries", "verdicts")
+
+STEPS = [
+    Step("hosts", snapshot_hosts, ("scan_component", "scan_heartbeat", "scan_exposure", "scan_container"),
+         ("hoststate", "scanstate", "exposure", "containers", "hostcadence")),
+    Step("match", lambda store, now, p: match_dirty(store, now, p), ("component_facts", "heartbeat_facts", "containers", "feed"),
+         ("digests", "findings", "receipts", "version_keys")),
+    Step("exceptions", renew_exceptions, (), ("exceptions", "audit")),
+    Step("catch-up", catch_up, ("findings",), ("findings_state", "foldstate")),
+    Step("findings", maintain_findings, ("findings", "receipts", "digests", "hoststate", "scanstate", "hostcadence", "exceptions"),
+         ("findings_state", "foldstate", "matchstate", "invstate", "findings_archive")),
+    Step("artifacts", close_artifacts, ("findings_state", "scan_component"), ("findings_state",)),
+    Step("roll-ups", roll_up, ("findings_state",), ("openstate_host", "openstate_dim", "openstate_host_dim", "openstate_cve")),
+    Step("fleet", describe_fleet, ("component_facts", "hoststate", "scan_link", "scan_config", "exposure"),
+         ("fleet_counts", "vendors", "loaded", "link_coverage", "config", "exposure_coverage", "reach")),
+    Step("network", observe_network, ("flows", "scan_exposure", "hoststate", "exposure", "findings_state", "entries"), ("edges", "claims", "netevidence")),
+    Step("routes", walk_routes, ("findings_state", "exposure", "netevidence", "edges", "claims", "feed", "verdicts"),
+         ("hop_class", "route_edges", "walk", "paths", "route_listeners")),
+    Step("priorities", queue_priorities, ("findings_state", "reach", "vendors", "matchstate", "receipts", "feed", "verdicts"), ("candidates", "stalled")),
+]
+check(STEPS, GIVEN)
+
+
+def hourly(store: StateStore, now: int, p: Params = Params()) -> list[str]:
+    """One run over everything ingested so far; goes on where an earlier one of the same ``now`` stopped."""
+    ran = run_steps(store, STEPS, now, p)
     expire(store, now)
+    forget(store, now - DAY)
+    return ran
+
+
+def ingest_flows(store: StateStore, flows: DataFrame, batch: str) -> None:
+    """Add a batch of flow records, by the day of their time; a repeated batch changes nothing."""
+    store.append_events(_day(flows, "time"), "flows", batch)
 
 
 def expire(store: StateStore, now: int) -> None:

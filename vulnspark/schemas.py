@@ -40,6 +40,16 @@ NOT_AFFECTED = (
 EDGE = ("src_ip string, dest_ip string, port bigint, protocol string, sessions bigint, edge_first_seen bigint, "
         "edge_last_seen bigint")
 ENTRY = "cidr string, name string, pressure string"
+#: A flow record as the default mapping of a flow log names its columns.
+FLOW = "src_ip string, dest_ip string, dest_port bigint, transport string, time bigint, action string"
+#: What an assessment of observed traffic needs of the one before.
+NETWORK_BEFORE = "hostname string, port string, observed_grade string, grade_changed_at bigint, reappeared_at bigint"
+VERDICT = "cve_id string, sig string, priority_tier string, priority_score int, confidence double, analysed_at bigint"
+FLEET_COUNTS = "hostname string, type string, components bigint, instances bigint, with_identifier bigint, cpe_ident bigint, assessed_at bigint"
+LOADED = ("hostname string, scope_key string, package string, load_class string, load_rank int, loaders string, loader_count bigint, "
+          "loaded_listening int, scanned_at bigint")
+LINK_COVERAGE = ("hostname string, link_rows bigint, linked_packages bigint, listening_loaders bigint, unowned_libraries bigint, "
+                 "assessed_at bigint")
 
 #: State tables of the hourly run, used when a table does not exist yet.
 STATE = {
