@@ -113,3 +113,15 @@ def test_survivors_keep_one_of_each_class(spark, docs_of, rng):
 def test_no_rows(spark, docs_of):
     assert dm.near_duplicates(docs_of([])).count() == 0
     assert dm.survivors(docs_of([])).count() == 0
+
+
+def test_one_document_of_each_class_whatever_its_ids(spark, docs_of, rng):
+    base, other = sentence(rng, 120), sentence(rng, 90)
+    near = [edited(rng, base, 1) for _ in range(4)]
+    rows = [(7, base), (7, near[0]), (None, near[1]), (None, near[2]), (9, near[3]), (3, other), (3, other), (4, other + " more")]
+    got = sorted(((r.doc_id, r.text) for r in dm.survivors(docs_of(rows)).collect()), key=repr)
+    assert len(got) == 2 and (3, other) in got
+    (kept,) = [g for g in got if g[1] != other]
+    assert kept[0] is None and kept[1] in near[1:3]
+    told = {(r.doc_id, r.class_id, r.class_size, r.kept) for r in dm.near_duplicates(docs_of(rows)).collect()}
+    assert told == {(7, None, 5, False), (None, None, 5, True), (9, None, 5, False), (3, 3, 3, True), (4, 3, 3, False)}

@@ -54,3 +54,10 @@ def test_no_rows(spark):
     assert uf.judge(pages, listed, URL_RULES).count() == 0
     one = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     assert [r.verdict for r in uf.judge(one, listed, URL_RULES).collect()] == ["allow"]
+
+
+def test_no_rules_leave_the_list_to_decide(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/x"), (2, "http://b.example/y"), (3, None)], "page_id long, url string")
+    listed = spark.createDataFrame([("http://a.example/x",)], "url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in uf.judge(pages, listed, []).collect()}
+    assert got == {1: (None, "block"), 2: (None, "allow"), 3: (None, "allow")}

@@ -138,8 +138,14 @@ def band_keys(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(sign, "doc_id string, node long, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _place(doc_id: str) -> Column:
+    """Ids in order, null first."""
+    return F.struct(F.col(doc_id).isNotNull().alias("there"), F.col(doc_id).alias("id"))
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of every document, and (node, class_id, class_size) of every node; class_id is the smallest id."""
+    """(doc_id, node) of every document, and (node, component, class_id, class_size) of every node; class_id is the smallest id, null the
+    smallest of all."""
     signed = stored(band_keys(docs), "darts")
     bands = signed.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     shared = shared_buckets(bands)
@@ -150,10 +156,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(node_of(F.col("text")).alias("node"), text_or_empty().alias("text")).join(wanted, "node", "left_semi")
     texts = stored(texts.dropDuplicates(["node"]), "texts")
     groups = linked(shared, texts, elements, SIMILARITY)
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_copies"))
+    nodes = signed.groupBy("node").agg(F.min(_place("doc_id")).alias("_least"), F.count(F.lit(1)).alias("_copies"))
     nodes = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    whole = nodes.groupBy("component").agg(F.min("_least").alias("class_id"), F.sum("_copies").alias("class_size"))
-    return signed.select("doc_id", "node"), nodes.select("node", "component").join(whole, "component").drop("component")
+    whole = nodes.groupBy("component").agg(F.min("_least")["id"].alias("class_id"), F.sum("_copies").alias("class_size"))
+    return signed.select("doc_id", "node"), nodes.select("node", "component").join(whole, "component")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -168,8 +174,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with every column; of rows repeated with id and words one stays."""
-    _, known = classes(docs)
-    packed = docs.select(node_of(F.col("text")).alias("node"), F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    kept = packed.join(known.select("node", "class_id"), "node").filter(F.col("_id").eqNullSafe(F.col("class_id")))
+    """One document of each class, with every column: that of the smallest id, null first; of rows that share it, the one whose words
+    have the smallest hash, whatever else the rows hold."""
+    rows, known = classes(docs)
+    first = rows.join(known.select("node", "component"), "node").groupBy("component").agg(
+        F.min(F.struct(_place("doc_id").alias("place"), "node")).alias("_f")).select(F.col("_f.place.id").alias("_id"), F.col("_f.node").alias("node"))
+    packed = docs.select(node_of(F.col("text")).alias("node"), F.col("doc_id").cast("long").alias("_own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    kept = packed.join(first, "node").filter(F.col("_own").eqNullSafe(F.col("_id")))
     return kept.dropDuplicates(["node"]).select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

@@ -260,8 +260,9 @@ def train_round(docs: DataFrame, frequent: list[str], flat: np.ndarray, turn: in
 
     rows = docs.select(text_or_empty().alias("text")).mapInPandas(local, "positions long, change array<long>")
     each = rows.select("positions", F.posexplode("change").alias("i", "v")).groupBy("i").agg(
-        F.sum(F.col("v") * F.col("positions")).alias("v"), F.sum("positions").alias("n"))
-    got = each.select("i", (F.col("v") / F.col("n")).alias("v")).toPandas()
+        F.sum(F.col("v").cast("decimal(20,0)") * F.col("positions").cast("decimal(18,0)")).alias("v"), F.sum("positions").alias("n"))
+    # Whole numbers of any size, so the mean does not depend on the order and no sum runs over.
+    got = each.select("i", (F.col("v").cast("double") / F.col("n")).alias("v")).toPandas()
     out = flat.copy()
     out[got["i"].to_numpy()] += (got["v"].to_numpy() / FIXED_POINT).astype(np.float32)
     return out

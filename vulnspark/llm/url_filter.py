@@ -60,7 +60,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     order = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
     fits = [((host == h) | host.endswith("." + h)) & path.startswith(p) for _, h, p in order]
     values = [F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")) for v, h, p in order]
-    return F.coalesce(*[F.when(f, v) for f, v in zip(fits, values, strict=True)])
+    none = F.lit(None).cast("struct<rule:string,verdict:string>")
+    return F.coalesce(*[F.when(f, v) for f, v in zip(fits, values, strict=True)], none)
 
 
 def _block(key: Column, blocks: int) -> Column:
