@@ -1,6 +1,6 @@
 """The registered queries: each an operator run over the derived tables, with its oracle."""
 
 from vulnspark.plans.queries.registry import ORACLES, QUERIES
-from vulnspark.plans.queries import context, evidence, feeds, inventory, lifecycle, matching, reporting  # noqa: F401
+from vulnspark.plans.queries import context, evidence, feeds, inventory, lifecycle, matching, reporting, views  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -300,27 +300,40 @@ def grade_evidence(bed: Bed):
 _SMALL_CLAIM = "SELECT hostname, address, addr_first_seen, addr_last_seen, max_gap, CAST(count(*) OVER (PARTITION BY address) AS BIGINT) AS claimants FROM t_claim"
 
 
+_DETAIL = network.IDENTITY_DETAIL
+
+
 @query("assess_observed", f"""
 WITH {_ENTRY}, cl AS ({_SMALL_CLAIM}),
-fe AS (SELECT e.dest_ip, e.port, sum(e.sessions) FILTER (h.entry_text IS NOT NULL) AS sessions, max(e.edge_last_seen) FILTER (h.entry_text IS NOT NULL) AS last_seen, max(CAST(h.entry_text IS NOT NULL AS INT)) AS from_entry, max(coalesce(h.const, 0)) AS const
-  FROM t_edge e LEFT JOIN loose h ON h.src_ip = e.src_ip GROUP BY ALL),
-ow AS (SELECT address, count(DISTINCT hostname) AS n, min(addr_first_seen) AS f, max(addr_last_seen) AS l, max(max_gap) AS g FROM cl GROUP BY address),
-st AS (SELECT fe.*, ow.n, CASE WHEN coalesce(ow.n, 0) = 0 THEN 'outside estate' WHEN ow.n > 1 THEN 'shared' WHEN ow.g > 7 * 86400 THEN 'stale' WHEN fe.last_seen >= ow.f AND fe.last_seen <= ow.l THEN 'resolved' ELSE 'stale' END AS ident FROM fe LEFT JOIN ow ON ow.address = fe.dest_ip),
+fe AS (SELECT e.dest_ip, e.port, sum(e.sessions) FILTER (h.entry_text IS NOT NULL) AS sessions, min(e.edge_first_seen) FILTER (h.entry_text IS NOT NULL) AS first_seen, max(e.edge_last_seen) FILTER (h.entry_text IS NOT NULL) AS last_seen,
+  max(CAST(h.entry_text IS NOT NULL AS INT)) AS from_entry, max(coalesce(h.const, 0)) AS const, count(DISTINCT h.entry_text) AS n_entries, count(DISTINCT e.src_ip) FILTER (h.entry_text IS NOT NULL) AS n_srcs,
+  array_to_string(list_slice(list_sort(list(DISTINCT e.src_ip) FILTER (h.entry_text IS NOT NULL)), 1, 10), ' ') AS srcs
+  FROM t_edge e LEFT JOIN loose h ON h.src_ip = e.src_ip GROUP BY e.dest_ip, e.port),
+ow AS (SELECT address, count(DISTINCT hostname) AS n, min(addr_first_seen) AS f, max(addr_last_seen) AS l, max(max_gap) AS g, max(claimants) AS cm FROM cl GROUP BY address),
+st AS (SELECT fe.*, ow.n, ow.f, ow.l, ow.g, ow.cm, CASE WHEN coalesce(ow.n, 0) = 0 THEN 'outside estate' WHEN ow.n > 1 THEN 'shared' WHEN ow.g > 7 * 86400 THEN 'stale' WHEN fe.last_seen >= ow.f AND fe.last_seen <= ow.l THEN 'resolved' ELSE 'stale' END AS ident,
+  CASE WHEN coalesce(ow.n, 0) = 0 THEN '{_DETAIL["unheld"]}' WHEN ow.n > 1 THEN '{_DETAIL["hosts"]}' WHEN ow.g > 7 * 86400 THEN '{_DETAIL["gap"]}' WHEN fe.last_seen >= ow.f AND fe.last_seen <= ow.l THEN '{_DETAIL["inside"]}'
+    WHEN fe.last_seen > ow.l THEN '{_DETAIL["late"]}' ELSE '{_DETAIL["early"]}' END AS detail FROM fe LEFT JOIN ow ON ow.address = fe.dest_ip),
 ev AS (SELECT *, CASE WHEN from_entry <> 1 THEN 0 WHEN ident <> 'resolved' THEN 1 WHEN 1005000000 - last_seen <= 7 * 86400 THEN 3 ELSE 2 END AS rnk FROM st),
 pl AS (SELECT DISTINCT c.hostname, ev.* FROM ev JOIN cl c ON c.address = ev.dest_ip),
-pp AS (SELECT hostname, port, max(rnk) AS rnk, max(sessions) AS sessions, max(last_seen) AS edge_last_seen, max(const) AS const FROM pl GROUP BY ALL),
+pp AS (SELECT hostname, port, max(rnk) AS rnk, max(sessions) AS sessions, min(first_seen) AS edge_first_seen, max(last_seen) AS edge_last_seen, max(const) AS const, max(n_entries) AS n_entries, max(n_srcs) AS n_srcs, max(f) AS f, max(l) AS l, max(g) AS g, max(cm) AS cm,
+  string_agg(DISTINCT nullif(srcs, ''), ' ' ORDER BY nullif(srcs, '')) AS srcs, string_agg(DISTINCT ident, '; ' ORDER BY ident) AS ident, string_agg(DISTINCT detail, '; ' ORDER BY detail) AS detail, string_agg(DISTINCT dest_ip, ' ' ORDER BY dest_ip) AS dest FROM pl GROUP BY hostname, port),
 cov AS (SELECT DISTINCT hostname FROM pl WHERE ident = 'resolved'),
 op AS (SELECT hostname, package FROM t_finding WHERE status = 'open' AND accepted <> '1'),
 ports AS (SELECT e.hostname, e.port FROM t_exposure e JOIN op ON op.hostname = e.hostname AND op.package = coalesce(e.package, 'unattributed') GROUP BY ALL),
-j AS (SELECT p.hostname, p.port, coalesce(x.rnk, 0) AS rnk, x.sessions, x.edge_last_seen, coalesce(x.const, 0) AS const, c.hostname IS NOT NULL AS covered, v.observed_grade AS pg, v.grade_changed_at AS pc, k.hostname AS known
+j AS (SELECT p.hostname, p.port, coalesce(x.rnk, 0) AS rnk, x.sessions, x.edge_first_seen, x.edge_last_seen, coalesce(x.const, 0) AS const, coalesce(x.n_entries, 0) AS n_entries, coalesce(x.n_srcs, 0) AS n_srcs, x.f, x.l, x.g, x.cm, coalesce(x.srcs, '') AS srcs, x.ident, x.detail, x.dest,
+  c.hostname IS NOT NULL AS covered, v.observed_grade AS pg, v.grade_changed_at AS pc, k.hostname AS known
   FROM ports p LEFT JOIN pp x ON x.hostname = p.hostname AND x.port = p.port LEFT JOIN cov c ON c.hostname = p.hostname LEFT JOIN t_netevidence v ON v.hostname = p.hostname AND v.port = p.port LEFT JOIN (SELECT DISTINCT hostname FROM t_netevidence) k ON k.hostname = p.hostname),
 g AS (SELECT *, CASE WHEN covered THEN 'covered' ELSE 'host not in graph' END AS coverage_state, CASE WHEN rnk = 3 THEN 'confirmed observed' WHEN rnk = 2 THEN 'historically observed' WHEN rnk = 1 THEN 'unknown' WHEN covered THEN 'not observed' ELSE 'unknown' END AS observed_grade FROM j)
-SELECT hostname, concat(port) AS port, observed_grade, coverage_state, sessions, edge_last_seen, CASE WHEN rnk >= 2 AND const = 1 THEN 'boundary' WHEN rnk >= 2 THEN 'interior' WHEN observed_grade = 'not observed' THEN 'boundary' ELSE 'none' END AS evidence_strength,
+SELECT hostname, concat(port) AS port, observed_grade, coverage_state, sessions, edge_first_seen, edge_last_seen, CASE WHEN rnk >= 2 AND const = 1 THEN 'boundary' WHEN rnk >= 2 THEN 'interior' WHEN observed_grade = 'not observed' THEN 'boundary' ELSE 'none' END AS evidence_strength,
   CASE WHEN pg IS NOT NULL THEN pg WHEN known IS NULL THEN observed_grade ELSE '' END AS previous_grade,
-  CASE WHEN (CASE WHEN pg IS NOT NULL THEN pg WHEN known IS NULL THEN observed_grade ELSE '' END) <> observed_grade THEN 1005000000 ELSE coalesce(pc, 1005000000) END AS grade_changed_at FROM g""")
+  CASE WHEN (CASE WHEN pg IS NOT NULL THEN pg WHEN known IS NULL THEN observed_grade ELSE '' END) <> observed_grade THEN 1005000000 ELSE coalesce(pc, 1005000000) END AS grade_changed_at,
+  CASE rnk WHEN 3 THEN '{network.REASONS[3]}' WHEN 2 THEN '{network.REASONS[2]}' WHEN 1 THEN concat('{network.REASONS[1]}', detail) ELSE CASE WHEN observed_grade = 'not observed' THEN '{network.REASONS["quiet"]}' ELSE coverage_state END END AS observed_reason,
+  coalesce(ident, 'no edge to resolve') AS identity_state, dest AS dest_address, srcs AS srcs_text, n_srcs, n_entries, f AS addr_first_seen, l AS addr_last_seen, g AS addr_max_gap, cm AS claimants FROM g""")
 def assess_observed(bed: Bed):
     out = network.assess_observed(bed.edge, bed.entry, bed.sql(_SMALL_CLAIM), bed.exposure, bed.finding, bed.netevidence, NOW, Params(flow_stale_days=60))
-    return out.select("hostname", "port", "observed_grade", "coverage_state", "sessions", "edge_last_seen", "evidence_strength", "previous_grade", "grade_changed_at")
+    return out.select("hostname", "port", "observed_grade", "coverage_state", "sessions", "edge_first_seen", "edge_last_seen", "evidence_strength", "previous_grade",
+                      "grade_changed_at", "observed_reason", "identity_state", "dest_address", "srcs_text", "n_srcs", "n_entries", "addr_first_seen",
+                      "addr_last_seen", "addr_max_gap", "claimants")
 
 
 @query("evidence_coverage", """
