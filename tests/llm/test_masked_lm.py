@@ -139,3 +139,22 @@ def test_every_position_is_a_target_once_whatever_its_neighbours():
     turns = [dealt([0, 1, 2, 3, 4], t) for t in range(3)]
     assert sum(map(len, turns)) == len(set().union(*turns)) == sum(map(len, ids))
     assert turns == [dealt([4, 2, 1, 3, 0], t) for t in range(3)] and all(len(t) > 50 for t in turns)
+
+
+def test_words_of_odd_texts():
+    texts = ["", " a\x0bb\x1c c\x0c\r\n", "a", "\u00a0x \u2003 y\u0085", "  "]
+    places, counts, words = lm.split_words(lm.pa.array(texts))
+    want = [t.encode().split() for t in texts]
+    assert [words[i] for i in places] == [w for t in want for w in t] and counts.tolist() == list(map(len, want))
+    none, counts, words = lm.split_words(lm.pa.array([], lm.pa.string()))
+    assert len(none) == len(counts) == len(words) == 0
+
+
+def test_the_same_model_however_the_table_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP_WORDS", 40_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    models = [lm.train(docs.repartition(n)) for n in (1, 4, 32)]
+    assert all((m.flat == models[0].flat).all() and m.frequent == models[0].frequent for m in models)
+    assert not (models[0].flat == lm.start()).all()
+    one, other = ({r.doc_id: r.pll for r in lm.score(d, models[0], m).collect()} for d, m in ((docs, None), (docs.repartition(5), models[1].coded)))
+    assert one.keys() == other.keys() and np.allclose([one[i] for i in one], [other[i] for i in one], rtol=1e-6)

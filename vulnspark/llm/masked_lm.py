@@ -9,29 +9,33 @@ Everything is learned from the whole corpus. Words are counted over all
 documents; the frequent ones get ids of their own, the rest share hashed
 ids (buckets) in the network, and each has its share of its bucket's count as
 its own probability within the bucket. These counts are a table as large as
-the corpus has words, joined to the documents' words by shuffle. Training deals
-the positions of every document to the rounds by hash, so that each is a
-target once. In each round every task trains on its own documents from the same
-start, and the results are averaged, weighted by positions. The average is
-a sum of whole numbers over (parameter), combined before the shuffle, so it
-does not depend on the order of tasks, and only one number for each
-parameter reaches the driver.
+the corpus has words, joined to the documents' words by shuffle. Every text is
+split once; its ids are a written table that all rounds and the scoring read.
+
+Training deals the positions of every document to the rounds by hash, so that
+each is a target once, and the documents to groups by a hash of text and id. In
+each round every group is trained on in the order of its hashes from the same
+start, and the results are averaged, weighted by positions. The average is a
+sum of whole numbers over (parameter). So the parameters depend neither on the
+order of tasks nor on how the table is cut into files, and only one number for
+each parameter reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnspark.llm.common import stored, text_or_empty, words_of
-from vulnspark.llm.hashing import WordHashes, mix
+from vulnspark.llm.common import stored, text_or_empty
+from vulnspark.llm.hashing import mix
 
 CLASSES, PER_CLASS = 64, 64
 VOCABULARY = CLASSES * PER_CLASS
@@ -41,12 +45,12 @@ HASHED = 256
 SPELLED = 251
 SIDE, WIDTH, HIDDEN = 2, 12, 24
 ROUNDS, STEP_POSITIONS, RATE = 2, 8192, 0.1
-#: Different words a task counts before it passes the counts on.
-COUNTED_WORDS = 200_000
-#: Positions scored at once.
-CHUNK = 65536
-#: Words a task gathers before it passes them on by word.
-GATHERED_WORDS = 500_000
+#: Positions scored at once, and ids of the texts that are scored together.
+CHUNK, SCORED_IDS = 16384, 262_144
+#: Bytes of text whose words are told apart together.
+PIECE_BYTES = 8 << 20
+#: Words of a training group; beyond MAX_GROUPS groups they grow instead, as each sends every parameter.
+GROUP_WORDS, MAX_GROUPS = 1 << 22, 4096
 #: Averages are sums of parameters times this, as whole numbers.
 FIXED_POINT = 1 << 20
 PAD = VOCABULARY
@@ -77,16 +81,47 @@ class WordIds(dict):
     """Id of each word; frequent words by rank, others by hash."""
 
     def __init__(self, frequent: list[str]):
-        super().__init__()
-        self.fixed = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(frequent)}
+        super().__init__((w.encode("utf-8", "surrogatepass"), i) for i, w in enumerate(frequent))
 
     def __missing__(self, word: bytes) -> int:
-        value = self.fixed.get(word)
-        if value is None:
-            value = VOCABULARY - HASHED + xxhash.xxh3_64_intdigest(word) % HASHED
-        if len(self) < 400_000:
-            self[word] = value
-        return value
+        return VOCABULARY - HASHED + xxhash.xxh3_64_intdigest(word) % HASHED
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces of about PIECE_BYTES of text."""
+    for batch in batches:
+        total = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(total):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PIECE_BYTES, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Every word of the texts on end as a place in the list of different words; words of each text; that list."""
+    # Splits at the ASCII white space that ends a word; a text with some at an end has an empty word there.
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    coded = words.filter(some).dictionary_encode()
+    different = coded.dictionary
+    raw, bounds = b"", [0]
+    if len(different):
+        _, offsets, data = different.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[different.offset : different.offset + len(different) + 1].tolist()
+        raw = data.to_pybytes()
+    return coded.indices.to_numpy(), np.diff(before[lists.offsets.to_numpy()]), [raw[a:b] for a, b in pairwise(bounds)]
+
+
+def _hashes(values: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, values), np.uint64, len(values))
+
+
+def _text_keys(texts: pa.Array) -> np.ndarray:
+    """A number of 63 bits for each text."""
+    return _hashes([t.as_buffer() for t in texts]) & np.uint64(2**63 - 1)
 
 
 def padded(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,25 +133,46 @@ def padded(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return stream, np.arange(lengths.sum()) + SIDE * (owner + 1), owner
 
 
-def forward(p: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray):
-    """Context ids, hidden layer, log-probability of every class for the words at the given places."""
-    around = np.stack([stream[at + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
-    x = p["embed"][around].reshape(len(at), -1)
-    hidden = np.tanh(x @ p["inner"] + p["inner_bias"])
-    return around, x, hidden, _log_softmax(hidden @ p["klass"] + p["klass_bias"])
+def by_class(stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the places by the class of their words, the words in it, and where each class begins."""
+    order = np.argsort(stream[at].astype(np.int16), kind="stable")
+    target = stream[at[order]].astype(np.int64)
+    return order, target, np.searchsorted(target, np.arange(CLASSES + 1) * PER_CLASS)
+
 
+def forward(p: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context ids, their embeddings and the hidden layer for the words at the given places."""
+    around = stream[at[:, None] + np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])]
+    x = np.take(p["embed"], around.ravel(), axis=0).reshape(len(at), -1)
+    hidden = x @ p["inner"]
+    hidden += p["inner_bias"]
+    return around, x, np.tanh(hidden, out=hidden)
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
+def word_logits(p: dict[str, np.ndarray], hidden: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For rows in the order of classes, a number for each word of the row's class."""
+    out = np.empty((len(hidden), PER_CLASS), hidden.dtype)
+    for c, (a, b) in enumerate(pairwise(bounds)):
+        if a < b:
+            np.matmul(hidden[a:b], p["word"][c], out=out[a:b])
+            out[a:b] += p["word_bias"][c]
+    return out
+
+
+def _shares(z: np.ndarray) -> np.ndarray:
+    """Softmax of every row, in place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    return z
 
-def by_class(target: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(class, rows of that class)."""
-    klass = target // PER_CLASS
-    order = np.argsort(klass, kind="stable")
-    bounds = np.searchsorted(klass[order], np.arange(CLASSES + 1))
-    return [(c, order[bounds[c] : bounds[c + 1]]) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
+
+def _log_share(z: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Log of the softmax at one place of every row; overwrites ``z``."""
+    z -= z.max(axis=1, keepdims=True)
+    picked = z[np.arange(len(z)), pick].astype(np.float64)
+    np.exp(z, out=z)
+    return picked - np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
 def log_probabilities(p: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -124,38 +180,43 @@ def log_probabilities(p: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarr
     out = np.empty(len(at))
     for i in range(0, len(at), CHUNK):
         own = at[i : i + CHUNK]
-        target = stream[own]
-        _, _, hidden, klass = forward(p, stream, own)
-        got = klass[np.arange(len(own)), target // PER_CLASS].astype(np.float64)
-        for c, rows in by_class(target):
-            word = _log_softmax(hidden[rows] @ p["word"][c] + p["word_bias"][c])
-            got[rows] += word[np.arange(len(rows)), target[rows] % PER_CLASS]
-        out[i : i + CHUNK] = got
+        order, target, bounds = by_class(stream, own)
+        _, _, hidden = forward(p, stream, own[order])
+        klass = hidden @ p["klass"]
+        klass += p["klass_bias"]
+        out[i + order] = _log_share(klass, target // PER_CLASS) + _log_share(word_logits(p, hidden, bounds), target % PER_CLASS)
     return out
 
 
 def gradient(p: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray, flat: np.ndarray) -> None:
     """Writes the gradient of the mean log-probability at the given places into ``flat``."""
     flat[:] = 0
-    g = parts(flat)
-    target, n = stream[at], len(at)
-    around, x, hidden, klass = forward(p, stream, at)
-    d = -np.exp(klass)
-    d[np.arange(n), target // PER_CLASS] += 1
-    g["klass"][:], g["klass_bias"][:] = hidden.T @ d, d.sum(axis=0)
+    g, n = parts(flat), len(at)
+    order, target, bounds = by_class(stream, at)
+    around, x, hidden = forward(p, stream, at[order])
+    rows, ones = np.arange(n), np.ones(n, hidden.dtype)
+    klass = hidden @ p["klass"]
+    klass += p["klass_bias"]
+    d = np.negative(_shares(klass), out=klass)
+    d[rows, target // PER_CLASS] += 1
+    g["klass"][:], g["klass_bias"][:] = hidden.T @ d, ones @ d
     dh = d @ p["klass"].T
-    for c, rows in by_class(target):
-        h = hidden[rows]
-        e = -np.exp(_log_softmax(h @ p["word"][c] + p["word_bias"][c]))
-        e[np.arange(len(rows)), target[rows] % PER_CLASS] += 1
-        g["word"][c], g["word_bias"][c] = h.T @ e, e.sum(axis=0)
-        dh[rows] += e @ p["word"][c].T
-    dz = dh * (1 - hidden**2)
-    g["inner"][:], g["inner_bias"][:] = x.T @ dz, dz.sum(axis=0)
-    dx = (dz @ p["inner"].T).reshape(-1, WIDTH)
-    flat_ids = around.ravel()
-    for k in range(WIDTH):
-        g["embed"][:, k] = np.bincount(flat_ids, dx[:, k], VOCABULARY + 1)
+    e = word_logits(p, hidden, bounds)
+    np.negative(_shares(e), out=e)
+    e[rows, target % PER_CLASS] += 1
+    for c, (a, b) in enumerate(pairwise(bounds)):
+        if a < b:
+            g["word"][c], g["word_bias"][c] = hidden[a:b].T @ e[a:b], e[a:b].sum(axis=0)
+            dh[a:b] += e[a:b] @ p["word"][c].T
+    hidden *= hidden
+    dh *= 1 - hidden
+    g["inner"][:], g["inner_bias"][:] = x.T @ dh, ones @ dh
+    dx = (dh @ p["inner"].T).reshape(-1, WIDTH)
+    ids = around.ravel().astype(np.int16)
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    firsts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    g["embed"][ids[firsts]] = np.add.reduceat(np.take(dx, order, axis=0), firsts, axis=0)
     flat /= n
 
 
@@ -168,24 +229,14 @@ def targets(owner_hash: np.ndarray, at: np.ndarray, owner: np.ndarray, turn: int
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """hash, word and n (occurrences) of every word of the corpus."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[bytes] = Counter()
-
-        def flush():
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in seen], np.uint64).view(np.int64)
-            out = pd.DataFrame({"hash": hashes, "word": [w.decode("utf-8", "replace") for w in seen], "n": list(seen.values())})
-            seen.clear()
-            return out
-
-        for batch in batches:
-            for text in batch["text"]:
-                seen.update(words_of(text))
-                if len(seen) >= COUNTED_WORDS:
-                    yield flush()
-        if seen:
-            yield flush()
-
-    rows = docs.select(text_or_empty().alias("text")).mapInPandas(count, "hash long, word string, n long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            places, _, words = split_words(piece.column("text"))
+            texts = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
+            n = np.bincount(places, minlength=len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(words).view(np.int64)), texts, pa.array(n)], ["hash", "word", "n"])
+
+    rows = docs.select(text_or_empty().alias("text")).mapInArrow(count, "hash long, word string, n long")
     return rows.groupBy("hash", "word").agg(F.sum("n").alias("n"))
 
 
@@ -217,27 +268,41 @@ def within_bucket(n: Column, size: Column, bucket: Column, buckets: np.ndarray)
     return F.when(n.isNull(), spelled).otherwise(F.log(n + F.exp(spelled))) - of(np.log(buckets.sum(axis=0) + 1))
 
 
-def _batches(batches: Iterator[pd.DataFrame], known: WordIds) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    for batch in batches:
-        for i in range(0, len(batch), 128):
-            rows = batch.iloc[i : i + 128]
-            yield rows, [np.fromiter(map(known.__getitem__, w), np.int32, len(w)) for w in map(words_of, rows["text"])]
+def encoded(docs: DataFrame, frequent: list[str]) -> DataFrame:
+    """doc_id (as text), key, n_tokens and ids (unsigned 16-bit numbers on end) of every document."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordIds(frequent)
+        for piece in _pieces(batches):
+            texts = piece.column("text")
+            places, counts, words = split_words(texts)
+            ids = np.fromiter(map(known.__getitem__, words), np.uint16, len(words))[places]
+            ends = np.concatenate([[0], np.cumsum(counts * ids.itemsize)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(_text_keys(texts).view(np.int64)), pa.array(counts), packed],
+                                             ["doc_id", "key", "n_tokens", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"))
+    return stored(rows.mapInArrow(code, "doc_id string, key long, n_tokens long, ids binary"), "ids")
+
+
+def _ids(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint16).astype(np.int32)
 
 
-def train_round(docs: DataFrame, frequent: list[str], flat: np.ndarray, turn: int, rounds: int) -> np.ndarray:
-    """Parameters averaged over the tasks, each trained on its own documents; one of ``rounds`` turns."""
+def train_round(coded: DataFrame, groups: int, flat: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Parameters averaged over the groups, each trained on its own documents; one of ``rounds`` turns."""
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, own = WordIds(frequent), flat.copy()
+        own = flat.copy()
         p, grad, square, seen = parts(own), np.zeros_like(own), np.full_like(own, 1e-6), 0
         waiting, held = [], 0
 
         def step():
             nonlocal seen, held
-            stream = np.concatenate([s for s, _ in waiting])
-            offsets = np.cumsum([0] + [len(s) for s, _ in waiting])
-            at = np.concatenate([a + o for (_, a), o in zip(waiting, offsets[:-1], strict=True)])
+            keys, ids = zip(*waiting, strict=True)
             waiting.clear()
             held = 0
+            stream, at, owner = padded(ids)
+            at = targets(np.array(keys, np.uint64), at, owner, turn, rounds)
             for i in range(0, len(at), 2 * STEP_POSITIONS):
                 places = at[i : i + 2 * STEP_POSITIONS]
                 gradient(p, stream, places, grad)
@@ -245,20 +310,21 @@ def train_round(docs: DataFrame, frequent: list[str], flat: np.ndarray, turn: in
                 own[:] += RATE * grad / np.sqrt(square)
                 seen += len(places)
 
-        for _, ids in _batches(batches, known):
-            stream, at, owner = padded(ids)
-            hashes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in ids], np.uint64)
-            at = targets(hashes, at, owner, turn, rounds)
-            waiting.append((stream, at))
-            held += len(at)
-            if held >= STEP_POSITIONS:
-                step()
+        for batch in batches:
+            for key, packed in zip(batch["key"], batch["ids"], strict=True):
+                waiting.append((key, _ids(packed)))
+                held += len(waiting[-1][1])
+                # About a step's positions of this turn, whatever the batches are.
+                if held >= 2 * rounds * STEP_POSITIONS:
+                    step()
         if held:
             step()
         if seen:
             yield pd.DataFrame({"positions": [seen], "change": [np.rint((own - flat).astype(np.float64) * FIXED_POINT).astype(np.int64)]})
 
-    rows = docs.select(text_or_empty().alias("text")).mapInPandas(local, "positions long, change array<long>")
+    group = F.pmod(F.xxhash64("key", "doc_id"), F.lit(groups)).cast("int")
+    dealt = coded.repartitionById(groups, group).sortWithinPartitions("key", "doc_id").select("key", "ids")
+    rows = dealt.mapInPandas(local, "positions long, change array<long>")
     each = rows.select("positions", F.posexplode("change").alias("i", "v")).groupBy("i").agg(
         F.sum(F.col("v").cast("decimal(20,0)") * F.col("positions").cast("decimal(18,0)")).alias("v"), F.sum("positions").alias("n"))
     # Whole numbers of any size, so the mean does not depend on the order and no sum runs over.
@@ -269,10 +335,11 @@ def train_round(docs: DataFrame, frequent: list[str], flat: np.ndarray, turn: in
 
 
 class Model:
-    """The frequent words, the network, and for score() the counts of all words and of the buckets."""
+    """The frequent words, the network, and for score() the counts of all words and of the buckets and the ids of the training texts."""
 
-    def __init__(self, frequent: list[str], flat: np.ndarray, counts: DataFrame | None = None, buckets: np.ndarray | None = None):
-        self.frequent, self.flat, self.counts, self.buckets = frequent, flat, counts, buckets
+    def __init__(self, frequent: list[str], flat: np.ndarray, counts: DataFrame | None = None, buckets: np.ndarray | None = None,
+                 coded: DataFrame | None = None):
+        self.frequent, self.flat, self.counts, self.buckets, self.coded = frequent, flat, counts, buckets, coded
 
     def texts(self, ids: list[np.ndarray]) -> np.ndarray:
         """Summed log-probability of the ids of each text."""
@@ -283,14 +350,12 @@ class Model:
 def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     counts = stored(word_counts(docs), "words")
     frequent, buckets = vocabulary(counts)
-    flat = start()
+    coded, flat = encoded(docs, frequent), start()
+    words = coded.agg(F.sum("n_tokens")).first()[0] or 0
+    groups = min(MAX_GROUPS, max(1, -(-words // GROUP_WORDS)))
     for turn in range(rounds):
-        flat = train_round(docs, frequent, flat, turn, rounds)
-    return Model(frequent, flat, counts, buckets)
-
-
-def _text_key(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) & (2**63 - 1)
+        flat = train_round(coded, groups, flat, turn, rounds)
+    return Model(frequent, flat, counts, buckets, coded)
 
 
 def _bucket_terms(docs: DataFrame, model: Model) -> DataFrame:
@@ -300,33 +365,22 @@ def _bucket_terms(docs: DataFrame, model: Model) -> DataFrame:
     which counts the rows of a text.
     """
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed, hash_of, waiting, held = {w.encode("utf-8", "surrogatepass") for w in frequent}, WordHashes(), [], 0
-
-        def flush():
-            nonlocal held
-            hashes, sizes, keys = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            waiting.clear()
-            held = 0
-            order = np.argsort(hashes, kind="stable")
-            hashes = hashes[order]
-            firsts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            ends = pa.array(np.append(firsts, len(hashes)), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(hashes[firsts].view(np.int64)), pa.array(sizes[order][firsts]),
-                                               pa.ListArray.from_arrays(ends, pa.array(keys[order].view(np.int64)))], ["hash", "size", "keys"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                words = [w for w in words_of(text) if w not in fixed]
-                if words:
-                    keys = np.full(len(words), _text_key(text) << 1, np.uint64)
-                    keys[0] |= np.uint64(1)
-                    waiting.append((hash_of.of(words), np.fromiter(map(len, words), np.int64, len(words)), keys))
-                    held += len(words)
-                    if held >= GATHERED_WORDS:
-                        yield flush()
-        if held:
-            yield flush()
+        fixed = {w.encode("utf-8", "surrogatepass") for w in frequent}
+        for piece in _pieces(batches):
+            texts = piece.column("text")
+            places, counts, words = split_words(texts)
+            rare = np.fromiter((w not in fixed for w in words), bool, len(words))
+            at = np.flatnonzero(rare[places])
+            owner = np.repeat(np.arange(len(counts)), counts)[at]
+            keys = _text_keys(texts)[owner] << np.uint64(1)
+            keys[np.flatnonzero(np.diff(owner, prepend=-1))] |= np.uint64(1)
+            order = np.argsort(places[at], kind="stable")
+            own = places[at][order]
+            firsts = np.flatnonzero(np.diff(own, prepend=-1))
+            met = [words[i] for i in own[firsts]]
+            ends = pa.array(np.append(firsts, len(own)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(met).view(np.int64)), pa.array(np.fromiter(map(len, met), np.int64, len(met))),
+                                              pa.ListArray.from_arrays(ends, pa.array(keys[order].view(np.int64)))], ["hash", "size", "keys"])
 
     frequent = model.frequent
     words = docs.select(text_or_empty().alias("text")).mapInArrow(gather, "hash long, size long, keys array<long>")
@@ -338,21 +392,23 @@ def _bucket_terms(docs: DataFrame, model: Model) -> DataFrame:
     return sums.select("key", (F.expr("own div rows") / FIXED_POINT).alias("own"))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, coded: DataFrame | None = None) -> DataFrame:
     """One row for each document: doc_id, n_tokens, pll (sum of log-probabilities) and mean_logprob.
 
+    ``coded`` is the documents' :func:`encoded` table where there is one already, as a model has of its training texts.
     A text without words, null included, has a sum of 0 and no mean; repeated rows score alike; other columns
     are left out; an empty table gives an empty one.
     """
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordIds(frequent)
-        for rows, ids in _batches(batches, known):
-            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "key": [_text_key(t) for t in rows["text"]],
-                                "n_tokens": [len(x) for x in ids], "pll": texts(ids)})
+        for batch in batches:
+            # Texts of about SCORED_IDS ids together.
+            part = np.cumsum(batch["n_tokens"].to_numpy()) // SCORED_IDS
+            for _, rows in batch.groupby(part, sort=False):
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "key": rows["key"], "n_tokens": rows["n_tokens"], "pll": texts(list(map(_ids, rows["ids"])))})
 
     # Tasks get the network alone: a table does not travel.
-    frequent, texts = model.frequent, Model(model.frequent, model.flat).texts
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"))
+    texts = Model([], model.flat).texts
+    rows = encoded(docs, model.frequent) if coded is None else coded
     scored = rows.mapInPandas(apply, "doc_id string, key long, n_tokens long, pll double").join(_bucket_terms(docs, model), "key", "left")
     scored = scored.withColumn("pll", F.col("pll") + F.coalesce("own", F.lit(0.0)))
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "pll",

@@ -132,7 +132,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return masked_lm.score(docs, masked_lm.train(docs))
+    model = masked_lm.train(docs)
+    return masked_lm.score(docs, model, model.coded)
 
 
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
