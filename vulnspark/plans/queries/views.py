@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vulnspark.functions.address import address_in_network, address_scope, norm_address, norm_network
 from vulnspark.functions.versions import rpm_version_only_key
-from vulnspark.operators import evidence, exceptions, identity, lifecycle, matching, priority, reports, rollups, routes
+from vulnspark.operators import evidence, exceptions, identity, lifecycle, matching, network, priority, reports, rollups, routes
 from vulnspark.params import Params
 from vulnspark.plans.queries import context
 from vulnspark.plans.queries import inventory as inventory_queries
@@ -15,6 +15,7 @@ from vulnspark.plans.queries.evidence import _LIFE
 from vulnspark.plans.queries.lifecycle import _MATCHED, _RECEIPTS, _STATE
 from vulnspark.plans.queries.registry import ORACLES, query
 from vulnspark.plans.testbed import NOW, Bed
+from vulnspark.sources.flows import no_edges
 
 _DAYTIME = "strftime(make_timestamp(CAST({} * 1000000 AS BIGINT)), '{}')"
 _MINUTES, _SECONDS = (lambda c: _DAYTIME.format(c, "%Y-%m-%d %H:%M")), (lambda c: _DAYTIME.format(c, "%Y-%m-%d %H:%M:%S"))
@@ -134,6 +135,14 @@ def host_platforms(bed: Bed):
     return identity.host_platforms(bed.sql(_NAMED_OS)).select("hosts", F.array_join("families", " ").alias("families"))
 
 
+@query("coverage_without_flows", """SELECT (SELECT count(*) FROM t_host) AS hosts_total, CAST(0 AS BIGINT) AS hosts_in_graph, (SELECT count(*) FROM t_claim) AS addresses_known, CAST(0 AS BIGINT) AS fw_edges,
+  'no firewall data' AS coverage_state, 0 AS negative_claims_permitted""")
+def coverage_without_flows(bed: Bed):
+    """A fleet that sends no flow logs: nothing may be claimed from silence."""
+    out = network.evidence_coverage(bed.host, bed.claim, no_edges(bed.spark), bed.entry, NOW)
+    return out.select("hosts_total", "hosts_in_graph", "addresses_known", "fw_edges", "coverage_state", "negative_claims_permitted")
+
+
 # --- column rules -----------------------------------------------------------
 
 # Each customer has one address and one network, in spellings that must come out canonical; the oracle builds the canonical text from the numbers.
