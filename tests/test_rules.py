@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vulnspark.operators import priority
+from vulnspark.operators.generic import newest_verdicts
+from vulnspark.operators.priority import asserts_internet
 from vulnspark.sources import advisory_feeds
 
 FACTS = ("esc_attack_vector string, esc_impact_c string, esc_impact_i string, esc_impact_a string, esc_reach_rank int, esc_load_rank int, "
@@ -66,3 +68,15 @@ def test_ecosystem_parts(spark):
              ("Odd:x", "odd", "", "", "x")]
     df = spark.createDataFrame(cases, "e string, t string, d string, r string, v string").withColumn("s", advisory_feeds.split_ecosystem(F.col("e")))
     assert df.filter("s.type <> t or s.distro <> d or s.release <> r or s.variant <> v").collect() == []
+
+
+def test_repeated_verdicts_give_one_of_each(spark):
+    rows = [("CVE-1", "P3", 10, 5), ("CVE-1", "P1", 90, 9), ("CVE-1", "P2", 95, 9), ("CVE-2", None, None, None), ("CVE-2", "P4", 1, None)]
+    verdicts = spark.createDataFrame(rows, "cve_id string, priority_tier string, priority_score int, analysed_at long")
+    assert {(r.cve_id, r.priority_tier) for r in newest_verdicts(verdicts).collect()} == {("CVE-1", "P2"), ("CVE-2", "P4")}
+
+
+def test_mentions_are_judged_by_what_stands_just_before(spark):
+    texts = ["internet-facing", "not internet-facing", "not internet-facing, " + "x " * 60 + "internet-facing", "not internet-facing or internet-facing", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(asserts_internet(F.col("t")).alias("a")).collect()
+    assert [r.a for r in got] == [True, False, True, False, False, False]

@@ -82,6 +82,14 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def newest_verdicts(verdicts: DataFrame) -> DataFrame:
+    """One verdict for each CVE: the newest, then the highest score, then the largest row, whatever the table repeats."""
+    fields = [c for c in verdicts.columns if c != "cve_id"]
+    order = [c for c in ("analysed_at", "priority_score") if c in fields]
+    row = F.struct(*order, *[c for c in fields if c not in order])
+    return verdicts.groupBy("cve_id").agg(F.max(row).alias("_row")).select("cve_id", *[F.col("_row")[c].alias(c) for c in fields])
+
+
 def subtotal(df: DataFrame, keys: list[str], label: dict[str, str], *aggs: Column) -> DataFrame:
     """The rows plus one aggregate row per key, labelled."""
     total = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)

@@ -12,7 +12,7 @@ from vulnspark.functions.text import blank, let, percent, present
 from vulnspark.operators.attack import cve_vectors
 from vulnspark.operators.evidence import reach_rank_of, scope_key, with_load_evidence, with_reach
 from vulnspark.operators.generic import (
-    count_when, distinct_when, first_per_key, latest, lookup, values_text, with_group,
+    count_when, distinct_when, first_per_key, latest, lookup, newest_verdicts, values_text, with_group,
 )
 from vulnspark.params import Params
 
@@ -198,17 +198,22 @@ FLAG_VERSION = "calls the process match confirmed where the installed version is
 def asserts_internet(text: Column) -> Column:
     """Whether any mention of internet exposure is claimed and not denied just before it.
 
-    The text is split at each mention; a mention is judged by the end of
-    everything before it.
+    The text is split at each mention and read once from the front; a mention
+    is judged by the characters just before it, all that is carried along.
     """
     def judge(value: Column) -> Column:
         found = F.regexp_extract_all(value, F.lit(f"({INTERNET_CLAIM})"), F.lit(1))
         pieces = F.split(value, INTERNET_CLAIM)
-        # Text before mention i: the pieces so far with the mentions between them.
-        before = F.transform(found, lambda _, i: F.array_join(F.transform(
-            F.sequence(F.lit(0), i),
-            lambda k: F.concat(F.get(pieces, k), F.when(k < i, F.get(found, k)).otherwise(""))), ""))
-        return F.exists(before, lambda b: ~denied(F.lower(F.right(b, F.lit(NEGATION_WINDOW)))))
+        parts = F.transform(found, lambda mention, i: F.struct(F.get(pieces, i).alias("text"), mention.alias("mention")))
+
+        def after(state: Column, part: Column) -> Column:
+            before = end_of(F.concat(state["tail"], part["text"]))
+            return F.struct(end_of(F.concat(before, part["mention"])).alias("tail"), (state["claimed"] | ~denied(F.lower(before))).alias("claimed"))
+
+        return F.aggregate(parts, F.struct(F.lit("").alias("tail"), F.lit(False).alias("claimed")), after, lambda state: state["claimed"])
+
+    def end_of(value: Column) -> Column:
+        return F.right(value, F.lit(NEGATION_WINDOW))
 
     def denied(window: Column) -> Column:
         test = F.lit(False)
@@ -319,7 +324,7 @@ def score_findings(findings: DataFrame, verdicts: DataFrame, reach: DataFrame, a
     rows = scored_inputs(findings, reach, advisories, p)
     fields = {"priority_tier": "_tier", "priority_score": "_base", "analysed_at": "_at", "confidence": "_conf",
               "rationale": "_why", "recommended_action": "_action", "analysis_source": "_src"}
-    rows = lookup(rows, verdicts, ["cve_id"], {c: n for c, n in fields.items() if c in verdicts.columns})
+    rows = lookup(rows, newest_verdicts(verdicts), ["cve_id"], {c: n for c, n in fields.items() if c in verdicts.columns})
     stale = F.coalesce(F.col("_at") < now - p.verdict_stale, F.lit(True))
     adjust = (weight(F.col("exposure_zone"), {"internal": -5, "isolated": -15}, 0)
               + weight(F.col("version_match"), {"yes": 10, "unknown": -5, "no": -25}, 0)

@@ -12,7 +12,7 @@ from vulnspark.functions.cvss import cvss_english, cvss_reach
 from vulnspark.functions.text import blank, glob_match, percent, present, stamp_text
 from vulnspark.operators.attack import cve_facts
 from vulnspark.operators.evidence import scope_key
-from vulnspark.operators.generic import lookup, values
+from vulnspark.operators.generic import lookup, newest_verdicts, values
 from vulnspark.operators.lifecycle import accepted_findings, findings_for, open_findings_all, root_label, unfolded_receipts
 from vulnspark.operators.network import grade_order
 from vulnspark.operators.routes import PATH_ORDER
@@ -202,7 +202,7 @@ def findings_behind(state: DataFrame, exposure: DataFrame, evidence: DataFrame,
     rows = open_findings_all(state).filter(glob_match("hostname", host)).join(ports, ["hostname", "package"], "left_semi")
     vectors = advisories.groupBy("cve_id").agg(cvss_reach(values("cvss_vector")).alias("_r"))
     rows = lookup(rows, vectors, ["cve_id"], {"_r": "_r"})
-    rows = lookup(rows, verdicts, ["cve_id"], {"priority_tier": "_tier", "priority_score": "score"})
+    rows = lookup(rows, newest_verdicts(verdicts), ["cve_id"], {"priority_tier": "_tier", "priority_score": "score"})
     rank, down = F.coalesce("_r.rank", F.lit(1)), F.coalesce("_r.down", F.lit(0))
     severity = F.when(F.col("severity") == "critical", "P1").when(F.col("severity") == "high", "P2").when(F.col("severity") == "medium", "P3").otherwise("P4")
     return rows.select(
