@@ -326,6 +326,22 @@ def escalation_replay(bed: Bed):
     return priority.replay_rules(facts, _RULES)
 
 
+@query("rule_mutation", f"""WITH {_EXPAND}, {_FACTS} SELECT 'listener_loads_the_library' AS rule, 'esc_load_rank' AS fact, count(*) FILTER ({_R1}) AS fired, CAST(0 AS BIGINT) AS fired_without FROM fc
+UNION ALL SELECT 'no_supported_release_no_fix', 'esc_eol_support', count(*) FILTER ({_R2}), 0 FROM fc""")
+def rule_mutation(bed: Bed):
+    """How often a rule fires, and how often once the fact it is about is unknown."""
+    reach, cover, loaded, links, eol = _fact_tables(bed)
+    rows = priority.score_findings(bed.finding.filter(_OPENF), bed.verdict, reach, bed.advisory, NOW)
+    facts = priority.escalation_facts(rows, reach, cover, loaded, links, eol, bed.advisory)
+
+    def fired(rule: str, fact: str):
+        both = priority.mutate(facts.withColumn("_fired", F.expr(_RULES[rule])), fact)
+        return both.agg(F.count_if("_fired").alias("fired"), F.count_if(F.expr(_RULES[rule])).alias("fired_without")).select(
+            F.lit(rule).alias("rule"), F.lit(fact).alias("fact"), "fired", "fired_without")
+
+    return fired("listener_loads_the_library", "esc_load_rank").unionByName(fired("no_supported_release_no_fix", "esc_eol_support"))
+
+
 _RESULTS = """SELECT o_orderkey, concat('CVE-', o_custkey) AS cve_id, concat('host-', o_orderkey % 50) AS asset_id, concat('run-', o_orderkey % 4) AS run_id, CAST(1000000 + (o_orderkey % 4) * 1000 + o_orderkey % 3 AS BIGINT) AS result_at,
   concat('P', o_orderkey % 5) AS priority_tier, CAST(o_orderkey % 100 AS INT) AS priority_score, CAST(o_orderkey % 8 = 0 AS INT) AS escalated, concat('rule', o_orderkey % 3) AS escalation_rules,
   CASE o_orderkey % 6 WHEN 0 THEN 'deferred' WHEN 1 THEN 'T2' WHEN 2 THEN 'fallback' WHEN 3 THEN 'cache' WHEN 4 THEN 'T0' ELSE 'T2' END AS analysis_source, CAST(o_orderkey AS BIGINT) AS analysed_at FROM b_orders"""
