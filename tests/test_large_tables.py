@@ -6,8 +6,14 @@ import datetime
 
 import pytest
 from oracle import compare
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from vulnspark.functions.purl import is_purl, purl_struct
+from vulnspark.operators import attack, evidence, matching, rollup_changes, rollups
+from vulnspark.plans import rollup_state, snapshot_state
+from vulnspark.sources import buckets
+from vulnspark.sources.state import StateStore
 
 DAY0 = datetime.datetime(2001, 1, 1)
 COLUMNS = {
@@ -41,3 +47,10 @@ def test_a_catch_up_folds_the_events_of_every_host(spark, folder):
     assert compare(*oracle(folder, "fold_catch_up"), got) == ""
     # Hosts whose number ends in 3 are hosts like any other.
     assert {r["finding_key"].split("-")[0] for r in got.collect()} == {"9", "27", "63"}
+
+
+def test_what_is_a_purl(spark):
+    texts = ["pkg:deb/x", "pkg:", "pkg:/", "pkg:@a", "pkg:/@a", "pkg:@a@b", "pkg:@/@x", "pkg:?a=b", "pkg:#s", "pkg://a", "pkg:\n", "pkg:a@b", "x", "", None, "pkg:/@?@"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.filter(is_purl(F.col("t")) != F.coalesce(purl_struct(F.col("t")).isNotNull(), F.lit(False))).collect() == []
+    assert rows.filter(is_purl(F.col("t"))).count() == rows.filter(purl_struct(F.col("t")).isNotNull()).count() == 6
