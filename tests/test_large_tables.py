@@ -49,6 +49,41 @@ def test_a_catch_up_folds_the_events_of_every_host(spark, folder):
     assert {r["finding_key"].split("-")[0] for r in got.collect()} == {"9", "27", "63"}
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def conf(spark):
+    """Settings for one test."""
+    before = {}
+
+    def put(**settings):
+        for name, value in settings.items():
+            name = "spark.sql." + name.replace("__", ".")
+            before.setdefault(name, spark.conf.get(name, None))
+            spark.conf.set(name, value)
+
+    yield put
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_components_are_not_moved_to_the_few_keys_of_a_small_catalogue(spark, conf):
+    conf(adaptive__enabled="false")
+    # Two lines, of a table whose size is not known beforehand.
+    life = spark.range(10_000_000).filter("id < 2").selectExpr(
+        "'pkg' AS product", "string(id + 1) AS cycle", "'2000-01-01' AS eol_from", "'' AS eoes_from", "'Pkg' AS label", "'lib' AS category").distinct()
+    comps = spark.createDataFrame([("h", "pkg", "deb", v, "/p", "/", "", "") for v in ("1.2", "2", "3", None)],
+                                  "hostname string, name string, type string, version string, path string, root string, os_id string, os_version_id string")
+    ports = spark.createDataFrame([], "hostname string, package string, bind_scope string")
+    state = spark.createDataFrame([], "hostname string, package string, accepted string")
+    config = spark.createDataFrame([], "hostname string, purl string, kind string")
+    out = evidence.support_lifecycle(comps, life, ports, config, state, 1005000000)
+    assert not any(f"hashpartitioning({k}" in plan(out) for k in ("_k1", "_k2", "_k3", "_os"))
+    assert {(r["version"], r["cycle"]) for r in out.collect()} == {("1.2", "1"), ("2", "2")}
+
+
 def test_what_is_a_purl(spark):
     texts = ["pkg:deb/x", "pkg:", "pkg:/", "pkg:@a", "pkg:/@a", "pkg:@a@b", "pkg:@/@x", "pkg:?a=b", "pkg:#s", "pkg://a", "pkg:\n", "pkg:a@b", "x", "", None, "pkg:/@?@"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
