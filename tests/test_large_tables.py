@@ -84,6 +84,15 @@ def test_components_are_not_moved_to_the_few_keys_of_a_small_catalogue(spark, co
     assert {(r["version"], r["cycle"]) for r in out.collect()} == {("1.2", "1"), ("2", "2")}
 
 
+def test_coverage_keeps_each_exposure_once(spark):
+    rows = [("h", "a", 1, "tcp", "wildcard", "p", 0, "c", 5), ("h", "a", 1, "tcp", "specific", None, 1, None, 7), ("h", "a", 2, "tcp", None, None, 0, "c", 6),
+            ("g", None, 2, "tcp", "wildcard", "", None, None, None)]
+    found = evidence.exposure_coverage(spark.createDataFrame(rows, (
+        "hostname string, address string, port int, protocol string, bind_scope string, package string, held_by_os int, container_name string, scanned_at bigint")))
+    assert "Expand" not in plan(found)
+    assert sorted(tuple(r) for r in found.collect()) == [("g", 0, 0, 0, 0, 1, 0, None), ("h", 2, 1, 1, 1, 1, 1, 7)]
+
+
 def test_what_is_a_purl(spark):
     texts = ["pkg:deb/x", "pkg:", "pkg:/", "pkg:@a", "pkg:/@a", "pkg:@a@b", "pkg:@/@x", "pkg:?a=b", "pkg:#s", "pkg://a", "pkg:\n", "pkg:a@b", "x", "", None, "pkg:/@?@"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vulnspark.functions.text import base_name, blank, day_epoch, empty_to_null, extract, null_like_columns, package_from_purl, present
 from vulnspark.operators.generic import (
-    carry_forward, distinct_when, lookup, lookup_fallback, newest_rows, values, values_text,
+    carry_forward, distinct_when, lookup, lookup_fallback, newest_rows, set_size, values, values_text,
 )
 from vulnspark.operators.identity import optional
 from vulnspark.params import Params
@@ -107,12 +107,12 @@ def exposure_coverage(exposure: DataFrame) -> DataFrame:
     held = F.col("held_by_os") == 1
     rows = exposure.withColumn("_ep", endpoint())
     return rows.groupBy("hostname").agg(
-        F.count_distinct("_ep").alias("listeners"),
-        distinct_when(F.col("bind_scope") == "wildcard", "_ep").alias("wildcard_listeners"),
-        distinct_when(bare & ~held, "_ep").alias("unattributed_listeners"),
-        distinct_when(bare & held, "_ep").alias("os_listeners"),
-        F.count_distinct("package").alias("packages_behind_ports"),
-        F.count_distinct("container_name").alias("containers"), F.max("scanned_at").alias("assessed_at"))
+        set_size("_ep").alias("listeners"),
+        set_size(when(F.col("bind_scope") == "wildcard")).alias("wildcard_listeners"),
+        set_size(when(bare & ~held)).alias("unattributed_listeners"),
+        set_size(when(bare & held)).alias("os_listeners"),
+        set_size("package").alias("packages_behind_ports"),
+        set_size("container_name").alias("containers"), F.max("scanned_at").alias("assessed_at"))
 
 
 def _link_rows(links: DataFrame) -> DataFrame:

@@ -59,6 +59,11 @@ def distinct_when(cond: Column, c: Column | str) -> Column:
     return F.count_distinct(F.when(cond, c))
 
 
+def set_size(c: Column | str) -> Column:
+    """Different non-null values of a group that bounds them (a host's ports): each row is kept once, however many such counts there are."""
+    return F.size(F.collect_set(c)).cast("bigint")
+
+
 # --- group shares -----------------------------------------------------------
 
 def with_group(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
