@@ -93,6 +93,23 @@ def test_coverage_keeps_each_exposure_once(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("g", 0, 0, 0, 0, 1, 0, None), ("h", 2, 1, 1, 1, 1, 1, 7)]
 
 
+FINDING = ("hostname string, package string, ecosystem string, cve_id string, scope_id string, severity string, confidence string, epss double, "
+           "age_days double, status string, accepted string")
+
+
+def findings(spark):
+    rows = [(h, p, "deb", c, "", s, "high", e, a, "open", "0") for h, p, c, s, e, a in (
+        ("h", "p", "c1", None, 0.5, 1.0), ("h", "q", "c1", "low", None, 2.0), ("h", "q", None, "low", 0.25, None), ("g", "p", "c2", "low", 0.75, 4.0))]
+    return spark.createDataFrame(rows, FINDING)
+
+
+def test_dimensions_of_a_host_keep_each_finding_once(spark):
+    found = rollups.rollup_host_dim(findings(spark))
+    assert "Expand" not in plan(found)
+    assert {tuple(r) for r in found.filter("dim = 'severity'").collect()} == {
+        ("h", "severity", "unrated", 1, 1, 1, 0.5), ("h", "severity", "low", 2, 1, 1, 0.25), ("g", "severity", "low", 1, 1, 1, 0.75)}
+
+
 def test_what_is_a_purl(spark):
     texts = ["pkg:deb/x", "pkg:", "pkg:/", "pkg:@a", "pkg:/@a", "pkg:@a@b", "pkg:@/@x", "pkg:?a=b", "pkg:#s", "pkg://a", "pkg:\n", "pkg:a@b", "x", "", None, "pkg:/@?@"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")

@@ -101,16 +101,15 @@ def subtotal(df: DataFrame, keys: list[str], label: dict[str, str], *aggs: Colum
     return df.unionByName(total.withColumns({k: F.lit(v) for k, v in label.items()}), allowMissingColumns=True)
 
 
-def rollup_dimensions(df: DataFrame, dims: dict[str, Column], *aggs: Column, by: list[str] = ()) -> DataFrame:
+def dimension_rows(df: DataFrame, dims: dict[str, Column]) -> DataFrame:
     """Single-dimension grouping sets as rows of ``dim`` and ``value``.
 
-    Each row is expanded once per dimension, then one aggregate runs, so the
-    table is read a single time however many dimensions there are.
+    Each row comes once for every dimension it has a value in, so the table
+    is read a single time however many dimensions there are.
     """
     pairs = F.array(*[F.struct(F.lit(n).alias("dim"), c.cast("string").alias("value")) for n, c in dims.items()])
     long = df.withColumn("_p", F.explode(pairs)).select("*", "_p.dim", "_p.value").drop("_p")
-    return (long.filter(F.col("value").isNotNull() & (F.col("value") != ""))
-            .groupBy(*by, "dim", "value").agg(*aggs))
+    return long.filter(F.col("value").isNotNull() & (F.col("value") != ""))
 
 
 # --- joins ------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnspark.functions.text import present
-from vulnspark.operators.generic import lookup, rollup_dimensions, values
+from vulnspark.operators.generic import dimension_rows, lookup, set_size, values
 from vulnspark.operators.lifecycle import accepted_findings, open_findings, root_label
 from vulnspark.params import DAY
 
@@ -21,27 +21,48 @@ def rollup_host(state: DataFrame, now: int) -> DataFrame:
     return rows.withColumn("rolled_at", F.lit(now).cast("bigint"))
 
 
-def _dims(names: tuple[str, ...]) -> dict:
+def dimensions(names: tuple[str, ...]) -> dict:
     columns = {"package": F.col("package"), "confidence": F.col("confidence"), "ecosystem": F.col("ecosystem"),
                "severity": F.coalesce("severity", F.lit("unrated")), "root": root_label()}
     return {n: columns[n] for n in names}
 
 
-def rollup_dim(state: DataFrame) -> DataFrame:
-    """Counts and age quartiles per package, confidence, severity, ecosystem and root."""
-    quart = F.percentile("age_days", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = rollup_dimensions(
-        open_findings(state), _dims(("package", "confidence", "severity", "ecosystem", "root")),
-        F.count(F.lit(1)).alias("findings"), F.count_distinct("cve_id").alias("cves"), F.count_distinct("hostname").alias("hosts"),
-        F.max("epss").alias("top_epss"), F.min("age_days").alias("age_lo"), quart.alias("_q"), F.max("age_days").alias("age_hi"))
+DIMS = ("package", "confidence", "severity", "ecosystem", "root")
+HOST_DIMS = ("root", "ecosystem", "severity", "confidence")
+
+
+def rollup_dim(state: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Counts and age quartiles per package, confidence, severity, ecosystem and root; of the pairs in ``only`` if given.
+
+    A value as low as a severity may hold the whole fleet, so its CVEs, hosts
+    and ages are first rows of their own with a count, then counted.
+    """
+    rows = dimension_rows(open_findings(state), dimensions(DIMS))
+    rows = rows if only is None else rows.join(only, ["dim", "value"], "left_semi")
+    no_text, no_age = F.lit(None).cast("string"), F.lit(None).cast("double")
+    items = F.array(*[F.struct(F.lit(kind).alias("kind"), text.alias("text"), age.alias("age")) for kind, text, age in (
+        ("cve", F.col("cve_id"), no_age), ("host", F.col("hostname"), no_age), ("age", no_text, F.col("age_days").cast("double")))])
+    rows = rows.select("dim", "value", "epss", F.explode(items).alias("_i")).select("dim", "value", "epss", "_i.*")
+    rows = rows.groupBy("dim", "value", "kind", "text", "age").agg(F.count(F.lit(1)).alias("n"), F.max("epss").alias("epss"))
+    kind, weight = F.col("kind"), F.when(F.col("kind") == "age", F.col("n")).otherwise(F.lit(0))
+    quart = F.percentile("age", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), weight)
+    rows = rows.groupBy("dim", "value").agg(
+        F.sum(weight).alias("findings"), F.count(F.when(kind == "cve", F.col("text"))).alias("cves"),
+        F.count(F.when(kind == "host", F.col("text"))).alias("hosts"), F.max("epss").alias("top_epss"),
+        F.min("age").alias("age_lo"), quart.alias("_q"), F.max("age").alias("age_hi"))
     return rows.withColumns({"age_q1": F.get("_q", F.lit(0)), "age_med": F.get("_q", F.lit(1)), "age_q3": F.get("_q", F.lit(2))}).drop("_q")
 
 
-def rollup_host_dim(state: DataFrame) -> DataFrame:
-    return rollup_dimensions(
-        open_findings(state), _dims(("root", "ecosystem", "severity", "confidence")),
-        F.count(F.lit(1)).alias("findings"), F.count_distinct("cve_id").alias("cves"), F.count_distinct("package").alias("packages"),
-        F.max("epss").alias("top_epss"), by=["hostname"])
+def rollup_host_dim(state: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Counts per host and root, ecosystem, severity and confidence; of the groups in ``only`` if given.
+
+    A host bounds its CVEs and packages, so they are sets.
+    """
+    rows = dimension_rows(open_findings(state), dimensions(HOST_DIMS))
+    rows = rows if only is None else rows.join(only, ["hostname", "dim", "value"], "left_semi")
+    return rows.groupBy("hostname", "dim", "value").agg(
+        F.count(F.lit(1)).alias("findings"), set_size("cve_id").alias("cves"), set_size("package").alias("packages"),
+        F.max("epss").alias("top_epss"))
 
 
 def rollup_cve(state: DataFrame) -> DataFrame:
