@@ -132,3 +132,16 @@ def test_what_is_a_purl(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     assert rows.filter(is_purl(F.col("t")) != F.coalesce(purl_struct(F.col("t")).isNotNull(), F.lit(False))).collect() == []
     assert rows.filter(is_purl(F.col("t"))).count() == rows.filter(purl_struct(F.col("t")).isNotNull()).count() == 6
+
+
+def test_techniques_are_counted_by_kind(spark):
+    cwes = spark.createDataFrame([("h", "f1", "w1"), ("h", "f1", "w2"), ("h", "f2", "w2"), ("h", "f2", "w2"), ("g", "f3", "w3"), (None, None, "w1"), ("g", "f4", "w9")],
+                                 "hostname string, finding_key string, cwe string")
+    maps = [(w, f"T{t}", f"name {t}") for w in ("w1", "w2") for t in range(9)] + [("w2", "T0", None), ("w2", "T0", None), ("w3", "T3", "name 3"), ("w1", "", "n"), (None, "T1", "n")]
+    table = spark.createDataFrame(maps, "cwe string, technique string, technique_name string")
+    want = attack.technique_surface(cwes, table).groupBy("hostname", "technique", "technique_name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("finding_key").alias("findings"))
+    got = attack.technique_counts(cwes, table)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    # Eight of the techniques are of one kind, so a weakness leads to three rows at most.
+    assert attack.technique_kinds(table)[0].groupBy("cwe").count().agg(F.max("count")).first()[0] == 3

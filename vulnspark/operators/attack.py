@@ -13,6 +13,7 @@ from vulnspark.functions.cvss import cvss_letters, preferred_vector
 from vulnspark.functions.text import blank, present
 from vulnspark.operators.evidence import reach_class_of, with_reach
 from vulnspark.operators.generic import lookup, values, values_text
+from vulnspark.sources.state import written
 
 # The technique a CVSS vector alone implies.
 VECTOR_TECHNIQUES = {
@@ -56,6 +57,30 @@ def technique_surface(cwes: DataFrame, attack: DataFrame) -> DataFrame:
     return cwes.join(attack.filter(present("technique")), "cwe")
 
 
+def technique_kinds(attack: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Techniques that the same weaknesses lead to, as one: its weaknesses (cwe, technique, n) and its members.
+
+    Weaknesses with many techniques in common then expand to few rows. The
+    kind goes by one of its members, written as JSON.
+    """
+    each = attack.filter(present("technique") & F.col("cwe").isNotNull()).groupBy("technique", "technique_name", "cwe").agg(F.count(F.lit(1)).alias("n"))
+    each = each.groupBy("technique", "technique_name").agg(F.array_sort(F.collect_list(F.struct("cwe", "n"))).alias("_w"))
+    member = F.struct("technique", "technique_name")
+    kinds = each.groupBy("_w").agg(F.to_json(F.min(member)).alias("kind"), F.collect_list(member).alias("_m"))
+    kinds = written(kinds, "kinds")
+    weak = kinds.select(F.col("kind").alias("technique"), F.explode("_w").alias("_x")).select("technique", "_x.*")
+    return written(weak, "kinds"), written(kinds.select("kind", F.explode("_m").alias("_x")).select("kind", "_x.*"), "kinds")
+
+
+def technique_counts(cwes: DataFrame, attack: DataFrame) -> DataFrame:
+    """Rows and findings per host and technique of the surface: ``n`` and ``findings``."""
+    weak, members = technique_kinds(attack)
+    rows = technique_surface(cwes.select("hostname", "finding_key", "cwe"), weak)
+    rows = rows.groupBy("hostname", F.col("technique").alias("kind"), "finding_key").agg(F.sum("n").alias("n"))
+    rows = rows.groupBy("hostname", "kind").agg(F.sum("n").alias("n"), F.count("finding_key").alias("findings"))
+    return rows.join(members, "kind").select("hostname", "technique", "technique_name", "n", "findings")
+
+
 def tactic_matrix(surface: DataFrame, tactics: DataFrame) -> DataFrame:
     rows = surface.withColumn("tactic", F.explode(trimmed_list("tactics")))
     return lookup(rows, tactics, ["tactic"], ["tactic_name", "tactic_order"])

@@ -127,8 +127,7 @@ def cwe_expand(bed: Bed):
 @query("technique_surface_detail", f"WITH {_CWE}, {_OPEN} SELECT o.hostname, a.technique, a.technique_name, count(*) AS n, count(DISTINCT o.finding_key) AS findings FROM op o JOIN cw ON cw.cve_id = o.cve_id JOIN t_attack a ON a.cwe = cw.cwe GROUP BY ALL")
 def technique_surface_detail(bed: Bed):
     cwes = attack.finding_cwes(bed.finding.filter(_OPENF), advisories(bed), per_cve=False)
-    return attack.technique_surface(cwes, bed.attack).groupBy("hostname", "technique", "technique_name").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("finding_key").alias("findings"))
+    return attack.technique_counts(cwes, bed.attack)
 
 
 @query("tactic_matrix", f"""WITH {_CWE}, {_OPEN}, {_TAC} SELECT o.cve_id, cw.cwe, t.technique, t.tactic, x.tactic_name, x.tactic_order FROM (SELECT DISTINCT cve_id FROM op) o JOIN cw ON cw.cve_id = o.cve_id JOIN tac t ON t.cwe = cw.cwe LEFT JOIN t_tactic x ON x.tactic = t.tactic""")
