@@ -145,3 +145,14 @@ def test_techniques_are_counted_by_kind(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     # Eight of the techniques are of one kind, so a weakness leads to three rows at most.
     assert attack.technique_kinds(table)[0].groupBy("cwe").count().agg(F.max("count")).first()[0] == 3
+
+
+def test_a_batch_is_merged_without_staged_changes(spark, tmp_path, monkeypatch):
+    store = StateStore(spark, str(tmp_path))
+    columns = "hostname string, name string, type string, path string, root string, version string, scanned_at bigint"
+    monkeypatch.setattr(buckets.Changes, "_stage", lambda *a: pytest.fail("staged"))
+    for run, rows in (("a", [("h", "p", "deb", "/p", "", "1", 5), ("g", "p", "deb", "/p", "", "1", 5)]), ("b", [("h", "p", "deb", "/p", "", "2", 6), ("h", "q", "deb", "/q", "", "1", 6)]),
+                      ("c", [("g", "p", "deb", "/p", "", "0", 4)]), ("b", [("h", "p", "deb", "/p", "", "2", 6), ("h", "q", "deb", "/q", "", "1", 6)])):
+        snapshot_state.update_components(store, spark.createDataFrame(rows, columns), run)
+    now = snapshot_state.current_components(store).select("hostname", "name", "version", "scanned_at")
+    assert sorted(map(tuple, now.collect())) == [("g", "p", "1", 5), ("h", "p", "2", 6), ("h", "q", "1", 6)]

@@ -7,6 +7,8 @@ component.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,19 +30,17 @@ def _merge(store: StateStore, new: DataFrame, name: str, keys: list[str], run: s
     path = f"{store.root}/{name}/batch/{run}"
     new.write.mode("overwrite").parquet(path)
     new = store.spark.read.schema(new.schema).parquet(path)
-    table = KeyedTable(store, name)
-    m = table.manifest()
-    rows = new
-    if m is not None:
-        old = table.read(m, table.touched(new, m)).join(new.select(*keys), keys, "left_semi")
-        rows = merged(old, new, keys)
-    changes = store.changes(name, keys, run)
-    changes.upsert(rows)
-    table.commit(changes.newest(), keys, by=by)
-    store._remove(changes.folder)
+    KeyedTable(store, name).merge(new, keys, lambda old, rows: _facts_of_both(old, rows, keys), by=by)
     return new
 
 
+def _facts_of_both(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Merged facts; a key with a null part equals no other, so those rows stay as they are."""
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    out = merged(old.filter(whole), new.filter(whole), keys)
+    return out.unionByName(old.filter(~whole)).unionByName(new.filter(~whole))
+
+
 def update_components(store: StateStore, components: DataFrame, run: str) -> None:
     """Take a batch of component records into the snapshot; a repeated batch changes nothing."""
     rows = components.withColumn("path", primary_path(components)).withColumn("root", blank(optional(components, "root")))

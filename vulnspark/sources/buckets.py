@@ -157,25 +157,51 @@ class KeyedTable:
             return self.replace(fresh, keys, grace, by, note)
         if before.keys != keys:
             raise ValueError(f"{self.path} is kept by {before.keys}, not by {keys}")
-        touched = changes.select(self.bucket(before.by, before.buckets).alias("b")).groupBy("b").count().collect()
-        size, buckets = sum(before.rows.values()) + sum(r["count"] for r in touched), before.buckets
-        while size > 2 * self.target * buckets:
-            buckets *= 2
-        if not touched and buckets == before.buckets:
+        rewritten, buckets = self._rewritten(before, changes)
+        if rewritten is None:
             if note is None or note == before.note:
                 return before
             m = Manifest(before.version + 1, keys, before.by, buckets, before.schema, before.files, before.rows, note)
             self._publish(m)
             return m
-        rewritten = sorted(before.files) if buckets > before.buckets else sorted(r["b"] for r in touched)
         old = self.read(before, rewritten)
         kept = old.join(changes.select(*keys), keys, "left_anti")
         kinds = {f.name: f.dataType for f in before.struct}
         typed = fresh.select(*[F.col(c) if c not in kinds or kind == kinds[c].simpleString() else F.col(c).cast(kinds[c]).alias(c) for c, kind in fresh.dtypes])
         rows = kept.unionByName(typed, allowMissingColumns=True)
+        return self._write(rows, self._after(before, rows, rewritten, buckets, note), grace)
+
+    def merge(self, new: DataFrame, keys: list[str], combine, grace: int = READER_GRACE, by: list[str] | None = None) -> Manifest:
+        """A version whose buckets that ``new`` belongs to hold ``combine(old, new)``, whole rows with one for each key.
+
+        ``new`` has one row for each key and should be a written table. Unlike a commit, nothing is matched first.
+        """
+        before = self.manifest()
+        if before is None:
+            return self.replace(new, keys, grace, by)
+        if before.keys != keys:
+            raise ValueError(f"{self.path} is kept by {before.keys}, not by {keys}")
+        rewritten, buckets = self._rewritten(before, new)
+        if rewritten is None:
+            return before
+        rows = combine(self.read(before, rewritten), new)
+        return self._write(rows, self._after(before, rows, rewritten, buckets, None), grace)
+
+    def _rewritten(self, before: Manifest, changes: DataFrame) -> tuple[list[int] | None, int]:
+        """The buckets to write anew, none without changes, and how many the table then has."""
+        touched = changes.select(self.bucket(before.by, before.buckets).alias("b")).groupBy("b").count().collect()
+        size, buckets = sum(before.rows.values()) + sum(r["count"] for r in touched), before.buckets
+        while size > 2 * self.target * buckets:
+            buckets *= 2
+        if not touched and buckets == before.buckets:
+            return None, buckets
+        return (sorted(before.files) if buckets > before.buckets else sorted(r["b"] for r in touched)), buckets
+
+    def _after(self, before: Manifest, rows: DataFrame, rewritten: list[int], buckets: int, note: dict | None) -> Manifest:
+        """The manifest of the next version, with the files that stay."""
         stays = {} if buckets > before.buckets else {b: f for b, f in before.files.items() if b not in rewritten}
-        m = Manifest(before.version + 1, keys, before.by, buckets, _nullable(rows.schema.jsonValue()), stays, {b: n for b, n in before.rows.items() if b in stays}, note or {})
-        return self._write(rows, m, grace)
+        return Manifest(before.version + 1, before.keys, before.by, buckets, _nullable(rows.schema.jsonValue()), stays,
+                        {b: n for b, n in before.rows.items() if b in stays}, note or {})
 
     def sweep(self, grace: int = READER_GRACE) -> list[str]:
         """Drop manifests superseded for longer than ``grace`` seconds, and the files that none left names."""
