@@ -156,3 +156,22 @@ def test_a_batch_is_merged_without_staged_changes(spark, tmp_path, monkeypatch):
         snapshot_state.update_components(store, spark.createDataFrame(rows, columns), run)
     now = snapshot_state.current_components(store).select("hostname", "name", "version", "scanned_at")
     assert sorted(map(tuple, now.collect())) == [("g", "p", "1", 5), ("h", "p", "2", 6), ("h", "q", "1", 6)]
+
+
+def test_roll_ups_follow_what_changed_without_a_row_per_group_and_measure(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path))
+    columns = {"finding_key": "hostname", "title": "cve_id", "kev_added": "cve_id", "kev_due": "cve_id"}
+    state = findings(spark).withColumns({c: F.concat(F.lit(c), F.col(of)) for c, of in columns.items()}).withColumns(
+        {"finding_key": F.concat("hostname", "package", F.coalesce("severity", F.lit(""))), "first_found": F.lit(5).cast("bigint"), "first_seen": F.lit(5).cast("bigint")})
+    store.upsert_state(state, "findings_state", ["finding_key"])
+    rollup_state.roll_up(store, 10)
+    after = store.read_state("findings_state").filter("hostname = 'g'").withColumn("severity", F.lit("high"))
+    before = store.read_state("findings_state")
+    delta = rollup_changes.signed_facts(before, before.filter("hostname <> 'g'").unionByName(after))
+    assert delta.count() == 2 and [r[0] for r in rollup_changes.changed_hosts(delta).collect()] == ["g"]
+    store.upsert_state(after, "findings_state", ["finding_key"])
+    rollup_state.roll_up(store, 20)
+    assert not (tmp_path / "openstate_items").exists()
+    want = rollups.rollup_dim(store.read_state("findings_state"))
+    got = store.read_state("openstate_dim").select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
