@@ -158,6 +158,16 @@ def test_a_batch_is_merged_without_staged_changes(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, now.collect())) == [("g", "p", "1", 5), ("h", "p", "2", 6), ("h", "q", "1", 6)]
 
 
+def test_identities_are_looked_for_only_under_keys_the_feed_has(spark):
+    ids = spark.range(1).select(
+        F.lit("deb").alias("ecosystem"), F.array(F.lit("p"), F.lit("s")).alias("names"), F.array().cast("array<string>").alias("cpe_keys"),
+        matching.component_os(F.lit("deb"), F.lit("1"), F.lit("ubuntu"), F.lit("22.04")).alias("os"))
+    assert matching.wanted_places(ids).count() == 6
+    found = matching.wanted_places(ids, ["|", "ubuntu|22", "rhel|9"])
+    assert sorted((r["cand_package"], r["cand_os"]) for r in found.collect()) == [(n, k) for n in "ps" for k in ("ubuntu|22", "|")]
+    assert found.schema["os"].dataType.names == ["name", "release", "is_rpm", "version"]
+
+
 def test_roll_ups_follow_what_changed_without_a_row_per_group_and_measure(spark, tmp_path):
     store = StateStore(spark, str(tmp_path))
     columns = {"finding_key": "hostname", "title": "cve_id", "kev_added": "cve_id", "kev_due": "cve_id"}
