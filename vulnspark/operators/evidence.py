@@ -106,6 +106,10 @@ def exposure_coverage(exposure: DataFrame) -> DataFrame:
     bare = ~present("package")
     held = F.col("held_by_os") == 1
     rows = exposure.withColumn("_ep", endpoint())
+
+    def when(test: Column) -> Column:
+        return F.when(test, F.col("_ep"))
+
     return rows.groupBy("hostname").agg(
         set_size("_ep").alias("listeners"),
         set_size(when(F.col("bind_scope") == "wildcard")).alias("wildcard_listeners"),
