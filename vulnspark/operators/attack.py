@@ -137,16 +137,23 @@ def attack_placement(findings: DataFrame, reach: DataFrame, coverage: DataFrame,
     and an exposed port. Each also counts once under the source "any".
     """
     cves = _per_cve(findings, reach, coverage, advisories)
-    base = ["cve_id", "n_hosts", "reach_class", "confidence"]
-    chain = cves.select(*base).join(cve_cwes(advisories), "cve_id").join(attack.filter(present("technique")), "cwe")
+    weak = cve_cwes(advisories).groupBy("cve_id").agg(values("cwe").alias("_cwes"))
+    # CVEs that the same evidence places are one row with counts before they meet the techniques.
+    cves = lookup(cves, weak, ["cve_id"], ["_cwes"]).withColumns({
+        "_vector": vector_technique(cvss_letters(F.col("cvss_vector"))), "_observed": F.col("peak_reach") >= 2})
+    cves = cves.groupBy("_cwes", "_vector", "_observed", "reach_class", "confidence").agg(
+        F.count("cve_id").alias("n_cves"), F.sum("n_hosts").alias("n_hosts"))
+    cves = written(cves.withColumn("_profile", F.monotonically_increasing_id()), "profiles")
+    base = ["_profile", "n_cves", "n_hosts", "reach_class", "confidence"]
+    chain = cves.select(*base, F.explode("_cwes").alias("cwe")).join(attack.filter(present("technique")), "cwe")
     chain = chain.withColumn("tactic", F.explode(trimmed_list("tactics"))).select(
         *base, "technique", "technique_name", "map_source", "platforms", "tactic")
     names = F.create_map(*[F.lit(x) for k, v in VECTOR_TECHNIQUES.items() for x in (k, v[0])])
     steps = F.create_map(*[F.lit(x) for k, v in VECTOR_TECHNIQUES.items() for x in (k, v[1])])
-    implied = cves.select(*base, F.explode(F.array_compact(F.array(
-        F.struct(vector_technique(cvss_letters(F.col("cvss_vector"))).alias("technique"), F.lit("cvss_vector").alias("map_source")),
-        F.struct(F.when(F.col("peak_reach") >= 2, "T1190").alias("technique"), F.lit("observed").alias("map_source")),
-    ))).alias("_i")).select(*base, "_i.*").filter("technique is not null")
+    implied = cves.select(*base, F.explode(F.array(
+        F.struct(F.col("_vector").alias("technique"), F.lit("cvss_vector").alias("map_source")),
+        F.struct(F.when(F.col("_observed"), "T1190").alias("technique"), F.lit("observed").alias("map_source")),
+    )).alias("_i")).select(*base, "_i.*").filter("technique is not null")
     implied = implied.select(
         *base, "technique", F.element_at(names, F.col("technique")).alias("technique_name"), "map_source",
         F.lit("").alias("platforms"), F.element_at(steps, F.col("technique")).alias("tactic"))
@@ -154,9 +161,11 @@ def attack_placement(findings: DataFrame, reach: DataFrame, coverage: DataFrame,
     rows = rows.withColumn("map_source", F.explode(F.array("map_source", F.lit("any"))))
     # A tactic the tactic table does not list has no place in the matrix.
     rows = rows.filter(F.col("tactic_name").isNotNull())
-    per = rows.groupBy("technique", "technique_name", "tactic_name", "tactic_order", "map_source", "reach_class", "confidence")
-    return per.agg(F.count_distinct("cve_id").alias("cves"), F.sum("n_hosts").alias("hosts"),
-                   values_text(F.nullif("platforms", F.lit(""))).alias("platforms"))
+    place = ["technique", "technique_name", "tactic_name", "tactic_order", "map_source", "reach_class", "confidence"]
+    once = rows.groupBy(*place, "_profile").agg(F.first("n_cves").alias("n_cves"), F.sum("n_hosts").alias("n_hosts"),
+                                                F.collect_set(F.nullif("platforms", F.lit(""))).alias("_on"))
+    on = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_on"))))
+    return once.groupBy(*place).agg(F.sum("n_cves").alias("cves"), F.sum("n_hosts").alias("hosts"), F.array_join(on, ", ").alias("platforms"))
 
 
 def attack_ledger(findings: DataFrame, reach: DataFrame, coverage: DataFrame, advisories: DataFrame,
