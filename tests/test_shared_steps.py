@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vulnspark.functions.text import package_from_purl
-from vulnspark.operators import attack, priority, routes
+from vulnspark.operators import attack, matching, network, priority, routes
 
 FINDING = "hostname string, package string, cve_id string, severity string, status string, kev_added string"
 ADVISORY = "cve_id string, cvss_vector string"
@@ -95,3 +95,21 @@ def test_package_of_a_purl_is_parsed_without_patterns_where_none_is_needed(spark
     rows = spark.createDataFrame([(k,) for k in want], "purl string").select("purl", package_from_purl("purl").alias("package"))
     assert plan(rows).count("regexp") <= 2
     assert {r.purl: r.package for r in rows.collect()} == want
+
+
+def test_packages_are_counted_before_their_purls_are_parsed(spark, monkeypatch):
+    purl = "pkg:deb/ubuntu/a?upstream=src"
+    comps = [("h1", "DEB", "a", purl), ("h2", "deb", "a", purl), ("h3", "deb", "a", purl), ("h1", "deb", "a", ""), ("h1", "deb", "b", None),
+             ("h1", "npm", "a", ""), ("h1", None, None, None), ("h2", "deb", "a", None)]
+    ranges = spark.createDataFrame([("deb", "src"), ("deb", "src"), ("npm", "a"), ("npm", None)], "ecosystem string, package string")
+    prepare, seen = matching.identity.prepare, []
+
+    def spy(df):
+        seen.append(df.count())
+        return prepare(df)
+
+    monkeypatch.setattr(matching.identity, "prepare", spy)
+    out = matching.match_coverage(spark.createDataFrame(comps, "hostname string, type string, name string, purl string"), ranges)
+    got = {r.type: (r.components, r.in_feed, r.no_identifier, r.comparator) for r in out.collect()}
+    assert got == {"deb": (6, 3, 3, "dpkg"), "npm": (1, 1, 1, "semver"), "": (1, 0, 1, "none")}
+    assert seen == [7]
