@@ -12,6 +12,7 @@ from vulnspark.params import Params
 from vulnspark.plans.queries.registry import GONE, query
 from vulnspark.plans.testbed import NOW, Bed
 from vulnspark.sources import flows
+from vulnspark.sources.state import written
 
 _REACH = """reach AS (SELECT hostname, rk_key, max(rnk) AS reach_rank, count(DISTINCT ep) AS listeners, string_agg(DISTINCT ep, ', ' ORDER BY ep) AS ports_text,
   string_agg(DISTINCT li, ', ' ORDER BY li) AS listener_text, string_agg(DISTINCT co, ', ' ORDER BY co) AS container_text, string_agg(DISTINCT concat(ep, '|', li, '|', co), ';' ORDER BY concat(ep, '|', li, '|', co)) AS chain_text,
@@ -330,7 +331,10 @@ SELECT hostname, concat(port) AS port, observed_grade, coverage_state, sessions,
   CASE rnk WHEN 3 THEN '{network.REASONS[3]}' WHEN 2 THEN '{network.REASONS[2]}' WHEN 1 THEN concat('{network.REASONS[1]}', detail) ELSE CASE WHEN observed_grade = 'not observed' THEN '{network.REASONS["quiet"]}' ELSE coverage_state END END AS observed_reason,
   coalesce(ident, 'no edge to resolve') AS identity_state, dest AS dest_address, srcs AS srcs_text, n_srcs, n_entries, f AS addr_first_seen, l AS addr_last_seen, g AS addr_max_gap, cm AS claimants FROM g""")
 def assess_observed(bed: Bed):
-    out = network.assess_observed(bed.edge, bed.entry, bed.sql(_SMALL_CLAIM), bed.exposure, bed.finding, bed.netevidence, NOW, Params(flow_stale_days=60))
+    # Tables that the assessment reads more than once are derived once.
+    previous = bed.netevidence.select("hostname", "port", "observed_grade", "grade_changed_at", "reappeared_at")
+    edges, claims, previous = (written(df, "assess") for df in (bed.edge.drop("protocol"), bed.sql(_SMALL_CLAIM), previous))
+    out = network.assess_observed(edges, bed.entry, claims, bed.exposure, bed.finding, previous, NOW, Params(flow_stale_days=60))
     return out.select("hostname", "port", "observed_grade", "coverage_state", "sessions", "edge_first_seen", "edge_last_seen", "evidence_strength", "previous_grade",
                       "grade_changed_at", "observed_reason", "identity_state", "dest_address", "srcs_text", "n_srcs", "n_entries", "addr_first_seen",
                       "addr_last_seen", "addr_max_gap", "claimants")
