@@ -113,3 +113,46 @@ def test_packages_are_counted_before_their_purls_are_parsed(spark, monkeypatch):
     got = {r.type: (r.components, r.in_feed, r.no_identifier, r.comparator) for r in out.collect()}
     assert got == {"deb": (6, 3, 3, "dpkg"), "npm": (1, 1, 1, "semver"), "": (1, 0, 1, "none")}
     assert seen == [7]
+
+
+JUMPS = "src string, dst string, kind string, port string, protocol string, sessions double, edge_last_seen double, rk_rank int, wire_text string, foot_text string"
+
+
+def jumps(spark):
+    ends = [("e1", "a", "entry", 3), ("e2", "b", "entry", 2), ("a", "b", "host", 3), ("b", "c", "host", 3), ("c", "e2", "host", 3), ("c", "d", "host", 0)]
+    return spark.createDataFrame([(a, b, kind, "1", "tcp", 1.0, 1.0, rank, "", "") for a, b, kind, rank in ends], JUMPS)
+
+
+def test_entries_that_walk_as_one_reach_what_each_of_them_does(spark):
+    edges = routes.merge_edges(jumps(spark))
+    starts = routes.entry_nodes(edges)
+    each, one = routes._walk(edges, starts, 5).collect(), routes._walk(edges, starts, 5, apart=False).collect()
+    nodes = {r.node for r in each}
+    assert len(one) == len(nodes) < len(each)
+    assert {r.node: (r.depth, r.on_cves) for r in one} == {
+        n: (min(r.depth for r in each if r.node == n), any(r.on_cves for r in each if r.node == n)) for n in nodes}
+
+
+def test_paths_and_entries_read_merged_edges_that_are_there(spark, monkeypatch):
+    entries, plans = routes.entry_nodes, []
+
+    def spy(edges):
+        plans.append(plan(edges))
+        return entries(edges)
+
+    monkeypatch.setattr(routes, "entry_nodes", spy)
+    got = {r.path_text for r in routes.all_paths(jumps(spark), 2, fanout=8).collect()}
+    assert got == {" → ".join(p) for p in ("e1a", "e1ab", "e2b", "e2bc") for p in [[p[:2], *p[2:]]]}
+    assert len(plans) == 1 and "Aggregate" not in plans[0]
+
+
+def test_edges_meet_their_entry_points_once(spark):
+    fields = "src_ip string, dest_ip string, port bigint, protocol string, sessions bigint, edge_first_seen bigint, edge_last_seen bigint"
+    edges = spark.createDataFrame([("10.0.0.1", "FD00::1", 80, "tcp", 2, 5, 9), ("10.0.0.1", "fd00::1", 80, "udp", 3, 4, 8), ("10.0.1.1", "fd00::1", 80, "tcp", 1, 1, 1),
+                                   ("192.0.2.1", "fd00::1", 80, "tcp", 7, 0, 99), (None, "fd00::1", 80, "tcp", 7, 0, 99), ("192.0.2.1", "fd00::2", 80, "tcp", 7, 0, 99)], fields)
+    entries = spark.createDataFrame([("10.0.0.0/24", "a", "Constant"), ("10.0.1.0/24", "b", None)], "cidr string, name string, pressure string")
+    out = network.grouped_edges(edges.withColumn("dest_ip", F.concat("dest_ip", F.lit("-one-reading"))), entries)
+    assert plan(out).count("one-reading") == 0
+    got = {r.dest_ip[:7]: (r.sessions, r.edge_first_seen, r.edge_last_seen, sorted(r.entries), r.constant_edge, r.n_srcs, r.from_entry, r.n_entries, r.srcs_text)
+           for r in out.collect()}
+    assert got == {"fd00::1": (6, 1, 9, ["10.0.0.0/24", "10.0.1.0/24"], 1, 2, 1, 2, "10.0.0.1 10.0.1.1"), "fd00::2": (None, None, None, [], 0, 0, 0, 0, None)}
