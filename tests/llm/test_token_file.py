@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -43,6 +44,19 @@ def test_odd_texts_equal_the_tokenizer(plain):
         assert np.frombuffer(known.encode(text or ""), "<u4").tolist() == plain(text), text
 
 
+def test_texts_together_equal_the_tokenizer(plain, monkeypatch):
+    known, met, texts = tf.WordIds(PATH), [], [t or "" for t in ODD] + ["Foo foo, foo\nbar", "bar " * 50]
+    monkeypatch.setattr(known, "part", lambda part, of=known.part: met.append(part) or of(part))
+    ids, sizes = known.encode_all(pa.array(["left out", *texts]).slice(1), 7)
+    assert [own.tolist() for own in np.split(ids, np.cumsum(sizes))[:-1]] == [[*plain(t), 7] for t in texts]
+    # A part is looked up once however often it occurs.
+    assert len(met) == len(set(met)) and "bar" in met and "left" not in met
+
+
+def test_a_worker_reads_the_tokenizer_once():
+    assert tf.word_ids(PATH) is tf.word_ids(PATH)
+
+
 def test_every_text_equals_the_tokenizer(plain):
     known = tf.WordIds(PATH)
     for text in pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist():

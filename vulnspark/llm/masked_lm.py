@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnspark.llm.common import stored, text_or_empty
+from vulnspark.llm.common import pieces, stored, text_or_empty
 from vulnspark.llm.hashing import mix
 
 CLASSES, PER_CLASS = 64, 64
@@ -47,8 +47,6 @@ SIDE, WIDTH, HIDDEN = 2, 12, 24
 ROUNDS, STEP_POSITIONS, RATE = 2, 8192, 0.1
 #: Positions scored at once, and ids of the texts that are scored together.
 CHUNK, SCORED_IDS = 16384, 262_144
-#: Bytes of text whose words are told apart together.
-PIECE_BYTES = 8 << 20
 #: Words of a training group; beyond MAX_GROUPS groups they grow instead, as each sends every parameter.
 GROUP_WORDS, MAX_GROUPS = 1 << 22, 4096
 #: Averages are sums of parameters times this, as whole numbers.
@@ -87,17 +85,6 @@ class WordIds(dict):
         return VOCABULARY - HASHED + xxhash.xxh3_64_intdigest(word) % HASHED
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in pieces of about PIECE_BYTES of text."""
-    for batch in batches:
-        total = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
-        at = 0
-        while at < len(total):
-            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PIECE_BYTES, side="right")))
-            yield batch.slice(at, end - at)
-            at = end
-
-
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Every word of the texts on end as a place in the list of different words; words of each text; that list."""
     # Splits at the ASCII white space that ends a word; a text with some at an end has an empty word there.
@@ -230,7 +217,7 @@ def targets(owner_hash: np.ndarray, at: np.ndarray, owner: np.ndarray, turn: int
 def word_counts(docs: DataFrame) -> DataFrame:
     """hash, word and n (occurrences) of every word of the corpus."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _pieces(batches):
+        for piece in pieces(batches):
             places, _, words = split_words(piece.column("text"))
             texts = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
             n = np.bincount(places, minlength=len(words)).astype(np.int64)
@@ -272,7 +259,7 @@ def encoded(docs: DataFrame, frequent: list[str]) -> DataFrame:
     """doc_id (as text), key, n_tokens and ids (unsigned 16-bit numbers on end) of every document."""
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds(frequent)
-        for piece in _pieces(batches):
+        for piece in pieces(batches):
             texts = piece.column("text")
             places, counts, words = split_words(texts)
             ids = np.fromiter(map(known.__getitem__, words), np.uint16, len(words))[places]
@@ -366,7 +353,7 @@ def _bucket_terms(docs: DataFrame, model: Model) -> DataFrame:
     """
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fixed = {w.encode("utf-8", "surrogatepass") for w in frequent}
-        for piece in _pieces(batches):
+        for piece in pieces(batches):
             texts = piece.column("text")
             places, counts, words = split_words(texts)
             rare = np.fromiter((w not in fixed for w in words), bool, len(words))

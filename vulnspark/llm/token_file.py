@@ -21,21 +21,29 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vulnspark.llm.common import pieces
+
 BLOCK_IDS = 8192
 SHARD_IDS = 1 << 20
 #: Words whose ids a worker remembers; the memory is emptied when full.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 
 SCHEMA = ("part int, shard int, bits int, block_ids int, n_ids long, block_offset array<long>, doc_id array<long>, "
           "n_tokens array<long>, payload binary")
+ARROW_SCHEMA = pa.schema([*[(c, pa.int32()) for c in ("part", "shard", "bits", "block_ids")], ("n_ids", pa.int64()),
+                          *[(c, pa.list_(pa.int64())) for c in ("block_offset", "doc_id", "n_tokens")], ("payload", pa.binary())])
 
 
 def bits_for(vocabulary: int) -> int:
@@ -86,7 +94,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Ids of white-space-free parts of texts as little-endian u32 bytes, each different part encoded once.
+    """Ids of white-space-free parts of texts as little-endian u32 bytes; a worker remembers those of their letters or signs.
 
     For the file word_bpe_49k.json and others with its steps: composing and lower-casing, white space dropped,
     then runs of letters, single digits and runs of other signs as separate units of the byte-level model. A
@@ -103,36 +111,59 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.heads: dict[str, bytes] = {}
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _whole(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, part: str) -> bytes:
+    def __missing__(self, unit: str) -> bytes:
+        """Ids of lower-case plain letters, or of anything that is not letters and signs."""
         if len(self) >= CACHED_WORDS:
             self.clear()
-            self.heads.clear()
+        if unit.isascii() and unit.isalpha():
+            ids = [t.id for t in self.model.tokenize(unit)]
+        elif self.PLAIN.fullmatch(unit):
+            ids = [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+        ids = self[unit] = array("I", ids).tobytes()
+        return ids
+
+    def part(self, part: str) -> bytes:
+        ids = self.get(part)
+        if ids is not None:
+            return ids
         plain = self.PLAIN.fullmatch(part)
         if not plain:
-            ids = self[part] = self._whole(part)
-            return ids
-        head, tail = plain[1].lower(), plain[2]
-        ids = self.heads.get(head)
-        if ids is None:
-            unit = head if head.isascii() else head.encode().decode("latin-1").translate(self.letters)
-            ids = self.heads[head] = np.array([t.id for t in self.model.tokenize(unit)], "<u4").tobytes()
-        if tail:
-            ids += self[tail]
-        if len(self) < CACHED_WORDS:
-            self[part] = ids
-        return ids
+            return self[part]
+        return self[plain[1].lower()] + self[plain[2]] if plain[2] else self[plain[1].lower()]
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text. Such a tokenizer joins nothing over a space or line feed."""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        """The ids of a text."""
+        return self.encode_all(pa.array([text]), 0)[0][:-1].tobytes()
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, each with its end id, and how many each has; a part met twice is looked up once.
+
+        Such a tokenizer joins nothing over a space or line feed.
+        """
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        own = [*map(self.part, coded.dictionary.to_numpy(zero_copy_only=False)), array("I", [end_id]).tobytes()]
+        ids = np.frombuffer(b"".join(own), "<u4")
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts = np.cumsum(sizes) - sizes
+        bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        places = np.insert(coded.indices.to_numpy(), bounds[1:], len(own) - 1)
+        sizes = sizes[places]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(before[-1]) + np.repeat(starts[places] - before[:-1], sizes)
+        return ids[at], np.diff(before[bounds + np.arange(len(bounds))])
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The tokenizer of a file, which a worker reads once for all its tasks."""
+    return WordIds(path)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, compression: str = "uncompressed") -> None:
@@ -145,31 +176,32 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, compression:
     ordered = (rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange("doc_id", "_tie")
                .sortWithinPartitions("doc_id", "_tie").select(F.spark_partition_id().alias("part"), "doc_id", "text"))
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordIds(tokenizer)
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_ids(tokenizer)
         bits, shard = bits_for(max(known.vocabulary(), end_id + 1)), 0
         ids, doc_ids, lengths, size, part = [], [], [], 0, 0
-        end = np.array([end_id], "<u4").tobytes()
 
         def flush():
-            payload, offsets = pack(np.frombuffer(b"".join(ids), "<u4"), bits)
-            return pd.DataFrame({"part": [part], "shard": [shard], "bits": [bits], "block_ids": [BLOCK_IDS], "n_ids": [size],
-                                 "block_offset": [offsets], "doc_id": [doc_ids], "n_tokens": [lengths], "payload": [payload]})
-
-        for batch in batches:
-            for part, doc_id, text in zip(batch["part"], batch["doc_id"].astype("object"), batch["text"], strict=True):
-                own = known.encode(text) + end
-                ids.append(own)
-                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                lengths.append(len(own) // 4)
-                size += len(own) // 4
+            payload, offsets = pack(np.concatenate(ids), bits)
+            return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "bits": bits, "block_ids": BLOCK_IDS, "n_ids": size,
+                                                "block_offset": offsets, "doc_id": doc_ids, "n_tokens": lengths, "payload": payload}], ARROW_SCHEMA)
+
+        for piece in pieces(batches):
+            part = piece.column("part")[0].as_py()
+            stream, counts = known.encode_all(piece.column("text"), end_id)
+            ends = np.cumsum(counts)
+            for doc_id, n, end in zip(piece.column("doc_id").to_pylist(), counts.tolist(), ends.tolist(), strict=True):
+                ids.append(stream[end - n : end])
+                doc_ids.append(None if doc_id is None or doc_id != doc_id else int(doc_id))
+                lengths.append(n)
+                size += n
                 if size >= SHARD_IDS:
                     yield flush()
                     ids, doc_ids, lengths, size, shard = [], [], [], 0, shard + 1
         if ids:
             yield flush()
 
-    ordered.mapInPandas(shards, SCHEMA).write.option("compression", compression).parquet(path)
+    ordered.mapInArrow(shards, SCHEMA).write.option("compression", compression).parquet(path)
 
 
 def starts(files: DataFrame) -> DataFrame:
