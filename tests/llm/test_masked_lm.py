@@ -158,3 +158,15 @@ def test_the_same_model_however_the_table_is_cut(spark, monkeypatch):
     assert not (models[0].flat == lm.start()).all()
     one, other = ({r.doc_id: r.pll for r in lm.score(d, models[0], m).collect()} for d, m in ((docs, None), (docs.repartition(5), models[1].coded)))
     assert one.keys() == other.keys() and np.allclose([one[i] for i in one], [other[i] for i in one], rtol=1e-6)
+
+
+def test_only_words_that_are_not_frequent_are_told_apart():
+    texts, frequent = ["", "the odd of the", " \t", "odd odder the\n\nof"], ["the", "of"]
+    ranks, counts, at, places, others = lm.split_rare(lm.pa.array(["left out", *texts]).slice(1), frequent)
+    assert counts.tolist() == [0, 4, 0, 4] and others == [b"odd", b"odder"]
+    assert at.tolist() == [1, 4, 5] and places.tolist() == [0, 0, 1]
+    ids = ranks.copy()
+    ids[at] = [lm.WordIds(frequent)[others[i]] for i in places]
+    assert ids.tolist() == [lm.WordIds(frequent)[w.encode()] for t in texts for w in t.split()]
+    ranks, counts, at, places, others = lm.split_rare(lm.pa.array([], lm.pa.string()), [])
+    assert len(ranks) == len(counts) == len(at) == len(places) == len(others) == 0

@@ -85,21 +85,42 @@ class WordIds(dict):
         return VOCABULARY - HASHED + xxhash.xxh3_64_intdigest(word) % HASHED
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Every word of the texts on end as a place in the list of different words; words of each text; that list."""
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Every word of the texts on end, and how many each text has."""
     # Splits at the ASCII white space that ends a word; a text with some at an end has an empty word there.
     lists = pc.ascii_split_whitespace(texts)
     words = lists.flatten()
     some = pc.greater(pc.binary_length(words), 0)
     before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False), dtype=np.int64)])
-    coded = words.filter(some).dictionary_encode()
-    different = coded.dictionary
-    raw, bounds = b"", [0]
-    if len(different):
-        _, offsets, data = different.buffers()
-        bounds = np.frombuffer(offsets, np.int32)[different.offset : different.offset + len(different) + 1].tolist()
-        raw = data.to_pybytes()
-    return coded.indices.to_numpy(), np.diff(before[lists.offsets.to_numpy()]), [raw[a:b] for a, b in pairwise(bounds)]
+    return words.filter(some), np.diff(before[lists.offsets.to_numpy()])
+
+
+def _bytes(words: pa.Array) -> list[bytes]:
+    if not len(words):
+        return []
+    _, offsets, data = words.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    raw = data.to_pybytes()
+    return [raw[a:b] for a, b in pairwise(bounds)]
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Every word of the texts on end as a place in the list of different words; words of each text; that list."""
+    words, counts = _words(texts)
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(), counts, _bytes(coded.dictionary)
+
+
+def split_rare(texts: pa.Array, frequent: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Ranks of the words of the texts on end (0 for those not frequent) and words of each text; where the others are, their
+    places in the list of the different ones, and that list. A lookup among the frequent ones is cheap, so only the others are told apart.
+    """
+    words, counts = _words(texts)
+    ranks = pc.index_in(words, value_set=pa.array(frequent, words.type))
+    others = ranks.is_null()
+    coded = words.filter(others).dictionary_encode()
+    at = np.flatnonzero(others.to_numpy(zero_copy_only=False))
+    return ranks.fill_null(0).to_numpy(), counts, at, coded.indices.to_numpy(), _bytes(coded.dictionary)
 
 
 def _hashes(values: list[bytes]) -> np.ndarray:
@@ -146,11 +167,11 @@ def word_logits(p: dict[str, np.ndarray], hidden: np.ndarray, bounds: np.ndarray
     return out
 
 
-def _shares(z: np.ndarray) -> np.ndarray:
-    """Softmax of every row, in place."""
+def _less_shares(z: np.ndarray) -> np.ndarray:
+    """Softmax of every row with its sign turned, in place."""
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    z /= -(z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
@@ -184,12 +205,12 @@ def gradient(p: dict[str, np.ndarray], stream: np.ndarray, at: np.ndarray, flat:
     rows, ones = np.arange(n), np.ones(n, hidden.dtype)
     klass = hidden @ p["klass"]
     klass += p["klass_bias"]
-    d = np.negative(_shares(klass), out=klass)
+    d = _less_shares(klass)
     d[rows, target // PER_CLASS] += 1
     g["klass"][:], g["klass_bias"][:] = hidden.T @ d, ones @ d
     dh = d @ p["klass"].T
     e = word_logits(p, hidden, bounds)
-    np.negative(_shares(e), out=e)
+    _less_shares(e)
     e[rows, target % PER_CLASS] += 1
     for c, (a, b) in enumerate(pairwise(bounds)):
         if a < b:
@@ -218,10 +239,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """hash, word and n (occurrences) of every word of the corpus."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            places, _, words = split_words(piece.column("text"))
-            texts = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
-            n = np.bincount(places, minlength=len(words)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_hashes(words).view(np.int64)), texts, pa.array(n)], ["hash", "word", "n"])
+            coded = _words(piece.column("text"))[0].dictionary_encode()
+            n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).astype(np.int64)
+            hashes = _hashes(_bytes(coded.dictionary)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), coded.dictionary.cast(pa.string()), pa.array(n)], ["hash", "word", "n"])
 
     rows = docs.select(text_or_empty().alias("text")).mapInArrow(count, "hash long, word string, n long")
     return rows.groupBy("hash", "word").agg(F.sum("n").alias("n"))
@@ -258,11 +279,11 @@ def within_bucket(n: Column, size: Column, bucket: Column, buckets: np.ndarray)
 def encoded(docs: DataFrame, frequent: list[str]) -> DataFrame:
     """doc_id (as text), key, n_tokens and ids (unsigned 16-bit numbers on end) of every document."""
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(frequent)
         for piece in pieces(batches):
             texts = piece.column("text")
-            places, counts, words = split_words(texts)
-            ids = np.fromiter(map(known.__getitem__, words), np.uint16, len(words))[places]
+            ranks, counts, at, places, others = split_rare(texts, frequent)
+            ids = ranks.astype(np.uint16)
+            ids[at] = (VOCABULARY - HASHED + _hashes(others) % np.uint64(HASHED)).astype(np.uint16)[places]
             ends = np.concatenate([[0], np.cumsum(counts * ids.itemsize)]).astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(_text_keys(texts).view(np.int64)), pa.array(counts), packed],
@@ -352,21 +373,16 @@ def _bucket_terms(docs: DataFrame, model: Model) -> DataFrame:
     which counts the rows of a text.
     """
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed = {w.encode("utf-8", "surrogatepass") for w in frequent}
         for piece in pieces(batches):
             texts = piece.column("text")
-            places, counts, words = split_words(texts)
-            rare = np.fromiter((w not in fixed for w in words), bool, len(words))
-            at = np.flatnonzero(rare[places])
+            _, counts, at, places, words = split_rare(texts, frequent)
             owner = np.repeat(np.arange(len(counts)), counts)[at]
             keys = _text_keys(texts)[owner] << np.uint64(1)
             keys[np.flatnonzero(np.diff(owner, prepend=-1))] |= np.uint64(1)
-            order = np.argsort(places[at], kind="stable")
-            own = places[at][order]
-            firsts = np.flatnonzero(np.diff(own, prepend=-1))
-            met = [words[i] for i in own[firsts]]
-            ends = pa.array(np.append(firsts, len(own)), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(_hashes(met).view(np.int64)), pa.array(np.fromiter(map(len, met), np.int64, len(met))),
+            order = np.argsort(places, kind="stable")
+            firsts = np.flatnonzero(np.diff(places[order], prepend=-1))
+            ends = pa.array(np.append(firsts, len(order)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(words).view(np.int64)), pa.array(np.fromiter(map(len, words), np.int64, len(words))),
                                               pa.ListArray.from_arrays(ends, pa.array(keys[order].view(np.int64)))], ["hash", "size", "keys"])
 
     frequent = model.frequent
