@@ -49,6 +49,8 @@ ROUNDS, STEP_POSITIONS, RATE = 2, 8192, 0.1
 CHUNK, SCORED_IDS = 16384, 262_144
 #: Words of a training group; beyond MAX_GROUPS groups they grow instead, as each sends every parameter.
 GROUP_WORDS, MAX_GROUPS = 1 << 22, 4096
+#: Bytes of text whose words are told apart together: the larger, the fewer rows the tables of words get before they are merged.
+PIECE_BYTES = 16 << 20
 #: Averages are sums of parameters times this, as whole numbers.
 FIXED_POINT = 1 << 20
 PAD = VOCABULARY
@@ -238,7 +240,7 @@ def targets(owner_hash: np.ndarray, at: np.ndarray, owner: np.ndarray, turn: int
 def word_counts(docs: DataFrame) -> DataFrame:
     """hash, word and n (occurrences) of every word of the corpus."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, PIECE_BYTES):
             coded = _words(piece.column("text"))[0].dictionary_encode()
             n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).astype(np.int64)
             hashes = _hashes(_bytes(coded.dictionary)).view(np.int64)
@@ -279,7 +281,7 @@ def within_bucket(n: Column, size: Column, bucket: Column, buckets: np.ndarray)
 def encoded(docs: DataFrame, frequent: list[str]) -> DataFrame:
     """doc_id (as text), key, n_tokens and ids (unsigned 16-bit numbers on end) of every document."""
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, PIECE_BYTES):
             texts = piece.column("text")
             ranks, counts, at, places, others = split_rare(texts, frequent)
             ids = ranks.astype(np.uint16)
@@ -373,7 +375,7 @@ def _bucket_terms(docs: DataFrame, model: Model) -> DataFrame:
     which counts the rows of a text.
     """
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, PIECE_BYTES):
             texts = piece.column("text")
             _, counts, at, places, words = split_rare(texts, frequent)
             owner = np.repeat(np.arange(len(counts)), counts)[at]

@@ -37,6 +37,8 @@ from vulnspark.llm.common import pieces
 
 BLOCK_IDS = 8192
 SHARD_IDS = 1 << 20
+#: Bytes of text whose words are told apart together.
+PIECE_BYTES = 8 << 20
 #: Words whose ids a worker remembers; the memory is emptied when full.
 CACHED_WORDS = 400_000
 
@@ -186,7 +188,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, compression:
             return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "bits": bits, "block_ids": BLOCK_IDS, "n_ids": size,
                                                 "block_offset": offsets, "doc_id": doc_ids, "n_tokens": lengths, "payload": payload}], ARROW_SCHEMA)
 
-        for piece in pieces(batches):
+        for piece in pieces(batches, PIECE_BYTES):
             part = piece.column("part")[0].as_py()
             stream, counts = known.encode_all(piece.column("text"), end_id)
             ends = np.cumsum(counts)
